@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup
+from sparkloom.llm import exact_dedup, packing
 from sparkloom.shipping import ship
 
 
@@ -18,8 +18,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_groups(table(spark, sf_dir, "documents"))
 
 
+def word_vocabulary() -> str:
+    """The tokenizer file of the contracts; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary(), seq_len=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_pattern_packing": op5_pattern_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
