@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, packing
+from sparkloom.llm import exact_dedup, near_dedup, packing
 from sparkloom.shipping import ship
 
 
@@ -29,9 +29,14 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary(), seq_len=2048, end_id=0)
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_pattern_packing": op5_pattern_packing,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
