@@ -28,7 +28,7 @@ from sparkloom.shipping import checkpoint
 SEQ_LEN = 2048
 #: Ids of cached words a worker keeps; the cache starts anew beyond that.
 CACHE_WORDS = 600_000
-RANK_ROWS = 100_000
+RANK_ROWS = 1_000
 
 PIECES = T.StructType(
     [
@@ -253,12 +253,12 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
 
     Only the histogram of lengths reaches the driver, ``seq_len`` cells at most. Ranks within a length
     are counted over hashed buckets of about RANK_ROWS rows, so that a length that many documents share
-    is dealt over many tasks.
+    is dealt over many tasks; only that many rows less of bucket counts are summed per length.
     """
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = plan_slots(histogram, seq_len)
-    buckets = max(1, -(-max(histogram.values(), default=0) // RANK_ROWS))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    per_length = pieces.sparkSession.createDataFrame([(x, -(-n // RANK_ROWS)) for x, n in histogram.items()], "length long, buckets long")
+    keyed = pieces.join(F.broadcast(per_length), "length").select(*PIECES.names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")).alias("bucket"))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))).join(starts, ["length", "bucket"])
