@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, mixing, near_dedup, packing
+from sparkloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 from sparkloom.shipping import ship
 
 
@@ -37,10 +37,15 @@ def op9_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3.0)
 
 
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_pattern_packing": op5_pattern_packing,
     "op10_dart_minhash": op10_dart_minhash,
+    "op7_factorisation_machine": op7_factorisation_machine,
     "op9_entropy_balancing": op9_entropy_balancing,
 }
 
