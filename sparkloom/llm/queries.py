@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, mixing, near_dedup, packing, quality
+from sparkloom.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality
 from sparkloom.shipping import ship
 
 
@@ -41,11 +41,16 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_maximum_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_pattern_packing": op5_pattern_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op7_factorisation_machine": op7_factorisation_machine,
+    "op8_maximum_entropy": op8_maximum_entropy,
     "op9_entropy_balancing": op9_entropy_balancing,
 }
 
