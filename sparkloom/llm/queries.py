@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality
+from sparkloom.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, text_media
 from sparkloom.shipping import ship
 
 
@@ -45,8 +45,13 @@ def op8_maximum_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media.text_media(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_tiff": op2_tiff,
     "op5_pattern_packing": op5_pattern_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op7_factorisation_machine": op7_factorisation_machine,
