@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality, text_media
+from sparkloom.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
 from sparkloom.shipping import ship
 
 
@@ -49,11 +49,32 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media.text_media(table(spark, sf_dir, "documents"))
 
 
+#: The contract's rules.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op3_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = url_templates.labels_from(table(spark, sf_dir, "labels"))
+    return url_templates.url_verdicts(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_pairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_tiff": op2_tiff,
+    "op3_template_tree": op3_template_tree,
     "op5_pattern_packing": op5_pattern_packing,
     "op10_dart_minhash": op10_dart_minhash,
+    "op6_preference_pairs": op6_preference_pairs,
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_maximum_entropy": op8_maximum_entropy,
     "op9_entropy_balancing": op9_entropy_balancing,
