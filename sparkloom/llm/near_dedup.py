@@ -256,20 +256,22 @@ def _compare(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), the smallest node of each.
 
-    Every node takes the smallest label among its neighbours' and its own, then the label of its label,
-    until nothing changes. Each round is two joins and two aggregations; only a count of changes
+    Every node takes the smallest label of its neighbours and itself; from the third round on also the
+    label of its label, which halves what is left of long chains. Only whether anything changed
     reaches the driver.
     """
     both = checkpoint(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    rounds = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = checkpoint(step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        new = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
+        if rounds >= 2:
+            jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            new = new.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
+        new = checkpoint(new)
+        labels, rounds = new.select("node", "component"), rounds + 1
+        if new.where("component <> was").isEmpty():
             return labels
 
 
@@ -288,8 +290,8 @@ def _near_sketches(pairs: DataFrame, sketches: DataFrame, slack: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(differ, "a long, b long")
 
 
-def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: float, slack: int) -> DataFrame:
-    """Links (a, b) of a similarity of at least ``threshold`` between classes (rep, keys, sketch).
+def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: float, slack: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and their components, of a similarity of at least ``threshold`` between classes (rep, keys, sketch).
 
     At the end any two classes that share a bucket are in one component or have been compared. First
     every bucket's members are compared with its smallest. As long as pairs from different components
@@ -307,9 +309,9 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: fl
     pairs = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     tried = checkpoint(_near_sketches(pairs, sketches, slack))
     links = checkpoint(_compare(tried, texts, words).where(F.col("similarity") >= threshold).select("a", "b"))
+    labels = components(links)
     buckets = buckets.where("rep <> pivot").select("key", "rep")
     while True:
-        labels = components(links)
         placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
         mixed = checkpoint(
@@ -317,10 +319,10 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: fl
             .agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min(F.struct("n", "first")).getField("first").alias("pivot"))
             .where("total * total > squares")
         )
-        buckets = checkpoint(placed.join(mixed.select("key", "pivot"), "key"))
         left = mixed.agg(F.coalesce(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
         if not left:
-            return links
+            return links, labels
+        buckets = checkpoint(placed.join(mixed.select("key", "pivot"), "key"))
         other = buckets.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
         if left > limit:
             pairs = buckets.where("rep = pivot").select("key", F.col("rep").alias("a"), "component").join(other, "key").where("component <> other")
@@ -328,9 +330,12 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: fl
             pairs = buckets.select("key", F.col("rep").alias("a"), "component").join(other, "key").where("component <> other and a < b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         new = checkpoint(_near_sketches(pairs, sketches, slack))
-        links = checkpoint(links.unionByName(_compare(new, texts, words).where(F.col("similarity") >= threshold).select("a", "b")))
+        more = checkpoint(_compare(new, texts, words).where(F.col("similarity") >= threshold).select("a", "b"))
+        if not more.isEmpty():
+            links = checkpoint(links.unionByName(more))
+            labels = components(links)
         if left <= limit:
-            return links
+            return links, labels
         tried = checkpoint(tried.unionByName(new))
         buckets = buckets.where("rep <> pivot").select("key", "rep")
 
@@ -355,13 +360,13 @@ def near_duplicates(
 def groups_of(docs: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
     known = docs.where("doc_id is not null")
     signed = checkpoint(known.mapInArrow(_sign(words, bands, rows), SIGNED))
-    smallest = signed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"))
+    # apart from the join, so that Spark can split a text that holds a large share of the rows
+    smallest = checkpoint(signed.groupBy("digest").agg(F.min("doc_id").alias("rep_id")))
     members = checkpoint(signed.select("doc_id", "digest").join(smallest, "digest").select("doc_id", "rep_id", "digest"))
     first = members.where("doc_id = rep_id").select("doc_id", "digest")
     classes = checkpoint(signed.join(first, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), "keys", "sketch").dropDuplicates(["rep"]))
     slack = int((1 - max(threshold - SLACK, 0.0)) * bands * rows)
-    links = similar_pairs(classes, known, words, threshold, slack)
-    labels = components(links)
+    links, labels = similar_pairs(classes, known, words, threshold, slack)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = labels.join(degree, "node").withColumnRenamed("node", "rep_id")
     out = members.join(found, "rep_id", "left").select(
