@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
+from sparkloom.llm import exact_dedup, license_scan, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
 from sparkloom.shipping import ship
 
 
@@ -64,6 +64,10 @@ def op3_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.url_verdicts(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_pairs(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_tiff": op2_tiff,
     "op3_template_tree": op3_template_tree,
+    "op4_license_scan": op4_license_scan,
     "op5_pattern_packing": op5_pattern_packing,
     "op10_dart_minhash": op10_dart_minhash,
     "op6_preference_pairs": op6_preference_pairs,
