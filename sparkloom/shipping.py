@@ -29,14 +29,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which the driver and all executors share; one of
+    our own only where the session names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and not at.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-cp-"))
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return named or at.get()
 
-    The folder is the one that ``spark.checkpoint.dir`` names; a folder of our own is set only
-    where the session names none, as in tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-cp-"))
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in :func:`shared_folder`."""
+    folder = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
