@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import col
+from sparkloom.shipping import checkpoint
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
@@ -119,7 +120,8 @@ def preference_pairs(df: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     first = F.element_at("turns", 1)
     key = F.sha2(F.to_json(F.struct(first["role"].alias("r"), first["text"].alias("t"))), 256)
     keyed = convs.withColumn("opening", key)
-    least = keyed.groupBy("opening").agg(F.min("conv_id").alias("partner"))
+    # apart from the join, so that Spark can split an opening that many conversations share
+    least = checkpoint(keyed.groupBy("opening").agg(F.min("conv_id").alias("partner")))
     placed = keyed.join(least, "opening").withColumn("rejected_id", F.when(~F.col("conv_id").eqNullSafe(F.col("partner")), F.col("partner")))
     others = convs.where("conv_id is not null").select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("other"))
     joined = placed.join(others, "rejected_id", "left")
