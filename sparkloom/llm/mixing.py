@@ -21,7 +21,7 @@ CAP = 3.0
 WEIGHTS = (1, 2, 3)
 TOLERANCE = 1e-9
 MAX_STEPS = 60
-CELL_ROWS = 50_000
+CELL_ROWS = 2_000
 BROADCAST_ROWS = 20_000
 LARGE_PARTS = 1000
 SIZE_CLASSES_PER_OCTAVE = 4
@@ -86,11 +86,16 @@ def balance(grouped: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
     Newton steps are damped to one unit and kept inside the bracket in which the solution is known to
     lie. Where priors of 0 keep a target from being met, the largest rates stand.
     """
-    state = checkpoint(targets.select("*", F.lit(0.0).alias("tilt"), F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi")))
+    # without a cap the words at the prior rates tell how far to tilt; Newton starts from there
+    prior_words = grouped.groupBy("skey").agg(F.sum(F.col("words") * F.col("prior")).alias("w"))
+    start = F.when(F.col("target") <= 0, F.lit(-40.0)).otherwise(F.coalesce(F.ln(F.try_divide("target", "w")), F.lit(0.0)))
+    first = F.greatest(F.lit(-40.0), F.least(F.lit(30.0), start)).alias("tilt")
+    state = checkpoint(targets.join(prior_words, "skey", "left").select(*targets.columns, first, F.lit(-700.0).alias("lo"), F.lit(700.0).alias("hi")))
+    small = state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for _ in range(MAX_STEPS):
         raw = F.col("prior") * F.exp("tilt")
         met = (
-            joined_small(grouped, state.select("skey", "tilt"), "skey")
+            grouped.join(F.broadcast(state.select("skey", "tilt")) if small else state.select("skey", "tilt"), "skey")
             .groupBy("skey")
             .agg(F.sum(F.col("words") * F.least(raw, F.lit(float(cap)))).alias("got"), F.sum(F.when(raw < cap, F.col("words") * raw).otherwise(0.0)).alias("slope"))
         )
@@ -103,7 +108,7 @@ def balance(grouped: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         moved = F.when(F.col("done"), F.col("was")).otherwise(F.greatest("lo", F.least("hi", "next")))
         step = checkpoint(step.select("skey", "source_size", "target", moved.alias("tilt"), "lo", "hi", "done"))
         state = step.drop("done")
-        if step.where(~F.col("done")).limit(1).count() == 0:
+        if step.where(~F.col("done")).isEmpty():
             break
     return state.select("skey", "source_size", "target", "tilt")
 
