@@ -94,9 +94,16 @@ def words(text: Column) -> Column:
 
 
 def grams(tokens: Column) -> Column:
-    """Words and pairs of neighbouring words."""
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(tokens, pairs)
+    """Words and pairs of neighbouring words; the last word, without a neighbour, comes twice.
+
+    ``tokens`` should be a column of its own, as it is used more than once.
+    """
+    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.concat(tokens, F.zip_with(tokens, following, lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def with_grams(df: DataFrame) -> DataFrame:
+    return df.withColumn("tokens", words(F.col("text"))).withColumn("grams", grams(F.col("tokens"))).drop("tokens")
 
 
 def _hashed() -> HashingTF:
@@ -111,11 +118,15 @@ class LicenseModel:
 
 
 def background(docs: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` paragraphs of the documents with the smallest hashed texts, one of each document's
-    paragraphs. The bound is a parameter."""
-    chosen = docs.where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(most)
+    """At most ``most`` paragraphs, one each of the documents with the smallest hashed texts. The bound is a
+    parameter; documents are first thinned by their hash to about twice as many, so that sorting them
+    takes no more than that, and only the paragraph is moved."""
+    some = docs.where("text is not null")
+    share = min(1.0, 2.0 * most / max(1, some.count()))
+    h = F.xxhash64("text")
+    thin = some.select("text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     lines = F.split("text", "\n")
-    return chosen.select(F.element_at(lines, (F.pmod("h", F.size(lines)) + 1).cast("int")).alias("text"))
+    return thin.select(F.element_at(lines, (F.pmod("h", F.size(lines)) + 1).cast("int")).alias("text"), "h").orderBy("h", "text").limit(most).select("text")
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, most_background: int) -> DataFrame:
@@ -123,7 +134,7 @@ def training_rows(spark: SparkSession, docs: DataFrame, most_background: int) ->
     notices += [(f, s) for f, s in SENTENCES for _ in range(4)] + [(NONE, s) for s in NEAR_MISSES for _ in range(4)]
     made = spark.createDataFrame(notices, "family string, text string")
     # a notice among the corpus' paragraphs must not be learnt as none
-    other = background(docs, most_background).withColumn("grams", grams(words(F.col("text")))).where(template_similarity(F.col("grams")) < LIKE_TEMPLATE)
+    other = with_grams(background(docs, most_background)).where(template_similarity(F.col("grams")) < LIKE_TEMPLATE)
     return made.unionByName(other.select(F.lit(NONE).alias("family"), "text"))
 
 
@@ -132,7 +143,7 @@ def train(docs: DataFrame, most_background: int = BACKGROUND) -> LicenseModel:
     spark = docs.sparkSession
     families = [NONE, *FAMILIES]
     label = reduce(lambda c, k: F.when(F.col("family") == families[k], float(k)).otherwise(c), range(len(families)), F.lit(0.0))
-    rows = _hashed().transform(training_rows(spark, docs, most_background).select(label.alias("label"), F.xxhash64("text", "family").alias("h"), grams(words(F.col("text"))).alias("grams")))
+    rows = _hashed().transform(with_grams(training_rows(spark, docs, most_background)).select(label.alias("label"), F.xxhash64("text", "family").alias("h"), "grams"))
     # the table is small by its parameters; it is read in every step of the fit
     rows = rows.select("label", "features", (F.pmod("h", F.lit(5)) == 0).alias("aside")).coalesce(4).cache()
     weight = F.when(F.col("label") == 0, 1.0).otherwise(2.0)
@@ -178,13 +189,13 @@ def findings(docs: DataFrame, model: LicenseModel, confirmed: float = CONFIRMED)
     and ``text``."""
     kept = [c for c in docs.columns if c != "text"]
     lines = docs.select(*kept, F.posexplode(F.split(text_or_empty(F.col("text")), "\n")).alias("paragraph", "text"))
-    vectors = _hashed().transform(lines.withColumn("grams", grams(words(F.col("text")))))
+    vectors = _hashed().transform(with_grams(lines))
     raw = model.regression.transform(vectors).select(*kept, "paragraph", "text", vector_to_array("rawPrediction").alias("raw"))
     # the likeliest class needs no temperature, so only notices are calibrated
     notices = raw.where(F.array_position("raw", F.array_max("raw")) > 1).withColumn("p", softmax(F.col("raw"), model.temperature))
     names = F.array(*[F.lit(f) for f in model.families])
     told = notices.select(*kept, "paragraph", "text", (1 - F.element_at("p", 1)).alias("probability"), F.element_at(names, F.array_position("raw", F.array_max("raw")).cast("int")).alias("predicted"))
-    compared = told.withColumn("grams", grams(words(F.col("text")))).withColumn("similarity", template_similarity(F.col("grams"), F.col("predicted")))
+    compared = with_grams(told).withColumn("similarity", template_similarity(F.col("grams"), F.col("predicted")))
     family = F.when(F.col("similarity") >= confirmed, F.col("predicted")).otherwise(F.lit(UNKNOWN))
     return compared.where(F.col("probability") >= NOTICE).select(*kept, "paragraph", family.alias("family"), "predicted", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "text")
 
