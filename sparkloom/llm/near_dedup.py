@@ -33,10 +33,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 5
-#: Signatures estimate similarity with a standard deviation of at most 0.046; pairs below the
-#: threshold by five of them are not compared. A pair of similarity 0.8 falls there once in 10^6.
-SLACK = 0.2
-PAIRS_A_ROW = 20
+PAIRS_A_ROW = 4
+BROADCAST_ROWS = 200_000
 CACHE_WORDS = 400_000
 ELEMENTS_AT_ONCE = 400_000
 
@@ -65,7 +63,7 @@ class Shingler:
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         tokens = text.encode("utf-8", "replace").split()
@@ -73,14 +71,14 @@ class Shingler:
             return np.empty(0, np.uint64)
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        known, digest = self.known, xxhash.xxh64_intdigest
+        known, digest = self.known, xxhash.xxh64_digest
         found = list(map(known.get, tokens))
         if None in found:
             for i, h in enumerate(found):
                 if h is None:
                     w = tokens[i]
                     found[i] = known[w] = digest(w)
-        h = np.array(found, np.uint64)
+        h = np.frombuffer(b"".join(found), np.uint64)
         n = max(1, len(h) - self.words + 1)
         out = np.zeros(n, np.uint64)
         for k in range(min(self.words, len(h))):
@@ -122,6 +120,7 @@ def _throw(elements, owner, weights, low, high, k, seed, ranks, signature) -> No
     weight_bands = [(0.0, 1.0)]
     while weight_bands[-1][1] < top_weight:
         weight_bands.append((weight_bands[-1][1], 2 * weight_bands[-1][1]))
+    thrown: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for v, (w0, w1) in enumerate(weight_bands):
         for r, (r0, r1) in enumerate(rank_bands):
             at = np.flatnonzero((weights > w0) & (high[owner] > r0) & (low[owner] < r1))
@@ -132,26 +131,27 @@ def _throw(elements, owner, weights, low, high, k, seed, ranks, signature) -> No
             width = (r1 - r0) / cells
             mean = (w1 - w0) * width
             steps = np.cumsum([np.exp(-mean) * mean**n / float(np.prod(np.arange(1, n + 1))) for n in range(13)])
+            none = np.uint64(min(float(steps[0]), 1 - 2.0**-53) * 2.0**64)
+            part, all_inside = elements[at], bool((weights[at] >= w1).all())
             for c in range(cells):
-                base = mix(elements[at] ^ mix(np.full(1, (seed << 48) ^ (v << 40) ^ (r << 32) ^ c, np.uint64)))
-                u = uniform(base)
-                some = np.flatnonzero(u > steps[0])
-                count = np.searchsorted(steps, u[some])
+                base = mix(part ^ mix(np.full(1, (seed << 48) ^ (v << 40) ^ (r << 32) ^ c, np.uint64)))
+                some = np.flatnonzero(base >= none)  # the others have no dart here
+                count = np.searchsorted(steps, uniform(base[some]))
                 for d in range(int(count.max(initial=0))):
                     hit = some[count > d]
                     dart = mix(base[hit] + np.uint64(2 * d + 1))
                     who = owner[at[hit]]
                     rank = r0 + width * (c + uniform(mix(dart ^ np.uint64(1))))
-                    inside = (w0 + (w1 - w0) * uniform(mix(dart ^ np.uint64(2))) < weights[at[hit]]) & (rank < high[who]) & (rank >= low[who])
-                    who, rank, dart = who[inside], rank[inside], dart[inside]
-                    slot = who * k + (dart % np.uint64(k)).astype(np.int64)
-                    order = np.lexsort((rank, slot))
-                    slot, rank, dart = slot[order], rank[order], dart[order]
-                    firsts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if slot.size else np.empty(0, np.int64)
-                    slot, rank, dart = slot[firsts], rank[firsts], dart[firsts]
-                    flat_rank, flat_sig = ranks.reshape(-1), signature.reshape(-1)
-                    better = rank < flat_rank[slot]
-                    flat_rank[slot[better]], flat_sig[slot[better]] = rank[better], dart[better]
+                    inside = (rank < high[who]) & (rank >= low[who])
+                    if not all_inside:
+                        inside &= w0 + (w1 - w0) * uniform(mix(dart ^ np.uint64(2))) < weights[at[hit]]
+                    thrown.append((who[inside] * k + (dart[inside] % np.uint64(k)).astype(np.int64), rank[inside], dart[inside]))
+    if thrown:
+        slot, rank, dart = (np.concatenate(x) for x in zip(*thrown, strict=True))
+        order = np.argsort(-rank, kind="stable")  # of those assigned to a coordinate, the last and earliest stays
+        order = order[rank[order] < ranks.reshape(-1)[slot[order]]]
+        signature.reshape(-1)[slot[order]] = dart[order]
+        ranks.reshape(-1)[slot[order]] = rank[order]
 
 
 def signatures_of_texts(texts: list[str], shingler: Shingler, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +188,12 @@ SIGNED = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.BinaryType()),
     ]
 )
 
 
 def _sign(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text) to (id, digest of the word sequence, one hash a band, one byte a coordinate); keys and
-    sketch are null for a text without words."""
+    """(id, text) to (id, digest of the word sequence, one hash a band); no hashes for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = shingler_of(words)
@@ -208,7 +206,6 @@ def _sign(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatc
                     for r in range(rows):
                         keys = mix(keys * np.uint64(31) + sig[:, r * bands : (r + 1) * bands] + np.uint64(r + 1))
                     keys = mix(keys + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
-                    sketch = (sig >> np.uint64(32)).astype(np.uint8)
                     some = sizes > 0
                     digests = [hashlib.sha256(b" ".join(t.encode("utf-8", "replace").split())).digest() for t in texts[a:b]]
                     yield pa.RecordBatch.from_arrays(
@@ -216,7 +213,6 @@ def _sign(words: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatc
                             ids.slice(a, b - a),
                             pa.array(digests, pa.binary()),
                             pa.array([k if x else None for k, x in zip(keys, some, strict=True)], pa.list_(pa.int64())),
-                            pa.array([k.tobytes() if x else None for k, x in zip(sketch, some, strict=True)], pa.binary()),
                         ],
                         names=SIGNED.names,
                     )
@@ -245,12 +241,21 @@ def _jaccard(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Exact similarity of distinct pairs (a, b); the texts of the documents in pairs only are shuffled."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_jaccard(words), "a long, b long, similarity double")
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a checkpointed one, marked for broadcast if it has at most BROADCAST_ROWS rows (of a few
+    numbers each); else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links among the checkpointed pairs (a, b). Texts of documents in pairs are shuffled, once a pair; those
+    of others too only if the pairs are too many to be broadcast."""
+    p = small(pairs)
+    left = docs.join(p, docs["doc_id"] == p["a"]).select("a", "b", F.coalesce("text", F.lit("")).alias("text_a"))
+    right = docs.join(p, docs["doc_id"] == p["b"]).select("a", "b", F.coalesce("text", F.lit("")).alias("text_b"))
+    joined = left.join(right, ["a", "b"]).select("a", "b", "text_a", "text_b").dropDuplicates(["a", "b"])  # an id may repeat
+    found = joined.mapInArrow(_jaccard(words), "a long, b long, similarity double")
+    return found.where(F.col("similarity") >= threshold).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,14 +265,16 @@ def components(edges: DataFrame) -> DataFrame:
     label of its label, which halves what is left of long chains. Only whether anything changed
     reaches the driver.
     """
-    both = checkpoint(edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct())
+    both = checkpoint(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     rounds = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        new = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
+        known = small(labels)
+        sent = both.join(known, both["b"] == known["node"]).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+        own = labels.select("node", "component", F.col("component").alias("was"))
+        new = sent.unionByName(own).groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         if rounds >= 2:
-            jump = new.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            jump = known.select(F.col("node").alias("component"), F.col("component").alias("further"))
             new = new.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component"))
         new = checkpoint(new)
         labels, rounds = new.select("node", "component"), rounds + 1
@@ -275,23 +282,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _near_sketches(pairs: DataFrame, sketches: DataFrame, slack: int) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in at most ``slack`` coordinates."""
-    left = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                yield batch.select([0, 1]).filter(pa.array((x != y).sum(1) <= slack))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(differ, "a long, b long")
-
-
-def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: float, slack: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), and their components, of a similarity of at least ``threshold`` between classes (rep, keys, sketch).
+def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), and their components, of a similarity of at least ``threshold`` between classes
+    (rep, keys).
 
     At the end any two classes that share a bucket are in one component or have been compared. First
     every bucket's members are compared with its smallest. As long as pairs from different components
@@ -300,19 +293,15 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: fl
     then at most linear in the classes, are compared.
     """
     members = classes.where("keys is not null").select("rep", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = checkpoint(members.join(shared.select("key", "pivot"), "key"))
-    some = buckets.select("rep").distinct()
-    limit = PAIRS_A_ROW * max(1000, some.count())
-    texts = checkpoint(docs.join(some, docs["doc_id"] == some["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]))
-    sketches = classes.select("rep", "sketch")
-    pairs = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = checkpoint(_near_sketches(pairs, sketches, slack))
-    links = checkpoint(_compare(tried, texts, words).where(F.col("similarity") >= threshold).select("a", "b"))
+    shared = checkpoint(members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"))
+    buckets = checkpoint(members.join(small(shared), "key").where("rep <> pivot"))
+    limit = PAIRS_A_ROW * max(1000, classes.count())
+    tried = checkpoint(buckets.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    links = checkpoint(_compare(tried, docs, words, threshold))
     labels = components(links)
-    buckets = buckets.where("rep <> pivot").select("key", "rep")
+    buckets = buckets.select("key", "rep")
     while True:
-        placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        placed = buckets.join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
         mixed = checkpoint(
             sizes.groupBy("key")
@@ -322,15 +311,13 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: fl
         left = mixed.agg(F.coalesce(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
         if not left:
             return links, labels
-        buckets = checkpoint(placed.join(mixed.select("key", "pivot"), "key"))
-        other = buckets.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
-        if left > limit:
-            pairs = buckets.where("rep = pivot").select("key", F.col("rep").alias("a"), "component").join(other, "key").where("component <> other")
-        else:
-            pairs = buckets.select("key", F.col("rep").alias("a"), "component").join(other, "key").where("component <> other and a < b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = checkpoint(_near_sketches(pairs, sketches, slack))
-        more = checkpoint(_compare(new, texts, words).where(F.col("similarity") >= threshold).select("a", "b"))
+        buckets = checkpoint(placed.join(small(mixed.select("key", "pivot")), "key"))
+        other = small(buckets.select("key", F.col("rep").alias("b"), F.col("component").alias("other")))
+        mine = buckets.select("key", F.col("rep").alias("a"), "component", "pivot")
+        pairs = mine.join(other, "key").where("component <> other and " + ("a = pivot" if left > limit else "a < b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(small(tried), ["a", "b"], "left_anti")
+        new = checkpoint(pairs)
+        more = checkpoint(_compare(new, docs, words, threshold))
         if not more.isEmpty():
             links = checkpoint(links.unionByName(more))
             labels = components(links)
@@ -360,16 +347,13 @@ def near_duplicates(
 def groups_of(docs: DataFrame, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
     known = docs.where("doc_id is not null")
     signed = checkpoint(known.mapInArrow(_sign(words, bands, rows), SIGNED))
-    # apart from the join, so that Spark can split a text that holds a large share of the rows
-    smallest = checkpoint(signed.groupBy("digest").agg(F.min("doc_id").alias("rep_id")))
-    members = checkpoint(signed.select("doc_id", "digest").join(smallest, "digest").select("doc_id", "rep_id", "digest"))
-    first = members.where("doc_id = rep_id").select("doc_id", "digest")
-    classes = checkpoint(signed.join(first, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("rep"), "keys", "sketch").dropDuplicates(["rep"]))
-    slack = int((1 - max(threshold - SLACK, 0.0)) * bands * rows)
-    links, labels = similar_pairs(classes, known, words, threshold, slack)
+    # equal word sequences have equal keys
+    classes = checkpoint(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    members = signed.select("doc_id", "digest").join(small(classes.select("digest", F.col("rep").alias("rep_id"))), "digest").select("doc_id", "rep_id")
+    links, labels = similar_pairs(classes, known, words, threshold)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = labels.join(degree, "node").withColumnRenamed("node", "rep_id")
-    out = members.join(found, "rep_id", "left").select(
+    found = checkpoint(labels.join(degree, "node").withColumnRenamed("node", "rep_id"))
+    out = members.join(small(found), "rep_id", "left").select(
         "doc_id",
         "rep_id",
         F.coalesce("component", "rep_id").alias("group_id"),
