@@ -9,9 +9,9 @@ at which k coordinates are expected to be hit, so the work is near (elements + k
 similarity, and documents that agree in all rows of a band become candidates.
 
 Equal word sequences are one class from the start. In each band's bucket the members are compared
-with the bucket's pivot, never all with all; members of one component need no further comparison.
-Only pairs of different components that share a bucket follow, in rounds whose pairs stay linear in
-the number of classes, so no link that joins two groups is lost.
+with the bucket's pivot; members of one component need no further comparison. Only pairs of different
+components that share a bucket follow, those of large buckets in blocks within tasks, so no link that
+joins two groups is lost.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,7 +34,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 5
-PAIRS_A_ROW = 4
+PAIR_ROWS = 32
+BLOCK_ROWS = 256
 BROADCAST_ROWS = 200_000
 CACHE_WORDS = 400_000
 ELEMENTS_AT_ONCE = 400_000
@@ -287,44 +289,80 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, words: int, threshold: fl
     (rep, keys).
 
     At the end any two classes that share a bucket are in one component or have been compared. First
-    every bucket's members are compared with its smallest. As long as pairs from different components
-    of one bucket are more than PAIRS_A_ROW times the classes, each bucket's next pivot, from its
-    smallest component, is compared with all its members and leaves; then the pairs that are left, by
-    then at most linear in the classes, are compared.
+    every bucket's members are compared with its smallest. Then only pairs of different components
+    matter: those of buckets of up to PAIR_ROWS members are compared as distinct pairs, larger buckets
+    in blocks of BLOCK_ROWS members, whose pairs never leave the task.
     """
     members = classes.where("keys is not null").select("rep", F.explode("keys").alias("key"))
     shared = checkpoint(members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"))
     buckets = checkpoint(members.join(small(shared), "key").where("rep <> pivot"))
-    limit = PAIRS_A_ROW * max(1000, classes.count())
     tried = checkpoint(buckets.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     links = checkpoint(_compare(tried, docs, words, threshold))
     labels = components(links)
-    buckets = buckets.select("key", "rep")
-    while True:
-        placed = buckets.join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("rep").alias("first"))
-        mixed = checkpoint(
-            sizes.groupBy("key")
-            .agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min(F.struct("n", "first")).getField("first").alias("pivot"))
-            .where("total * total > squares")
-        )
-        left = mixed.agg(F.coalesce(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
-        if not left:
-            return links, labels
-        buckets = checkpoint(placed.join(small(mixed.select("key", "pivot")), "key"))
-        other = small(buckets.select("key", F.col("rep").alias("b"), F.col("component").alias("other")))
-        mine = buckets.select("key", F.col("rep").alias("a"), "component", "pivot")
-        pairs = mine.join(other, "key").where("component <> other and " + ("a = pivot" if left > limit else "a < b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(small(tried), ["a", "b"], "left_anti")
-        new = checkpoint(pairs)
-        more = checkpoint(_compare(new, docs, words, threshold))
-        if not more.isEmpty():
-            links = checkpoint(links.unionByName(more))
-            labels = components(links)
-        if left <= limit:
-            return links, labels
-        tried = checkpoint(tried.unionByName(new))
-        buckets = buckets.where("rep <> pivot").select("key", "rep")
+    placed = buckets.select("key", "rep").join(small(labels).withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = checkpoint(placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n"))
+    rest = checkpoint(placed.join(small(mixed), "key"))
+    few, many = rest.where(F.col("n") <= PAIR_ROWS), rest.where(F.col("n") > PAIR_ROWS)
+    other = few.select("key", F.col("rep").alias("b"), F.col("component").alias("other"))
+    pairs = few.select("key", F.col("rep").alias("a"), "component").join(other, "key").where("component <> other and a < b")
+    new = checkpoint(pairs.select("a", "b").distinct().join(small(tried), ["a", "b"], "left_anti"))
+    more = _compare(new, docs, words, threshold)
+    if not many.isEmpty():
+        more = more.unionByName(_compare_blocks(many, docs, words, threshold))
+    more = checkpoint(more)
+    if more.isEmpty():
+        return links, labels
+    links = checkpoint(links.unionByName(more).distinct())
+    return links, components(links)
+
+
+def _compare_blocks(rows: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links that join components of ``rows`` (key, rep, component, n), bucket by bucket.
+
+    A bucket's members are dealt to blocks by their hash, and every two blocks meet in one task, which
+    holds those two only. There the pairs of different components are compared, sizes first (sets
+    whose sizes differ too much cannot be similar), and a link merges its two components, so a
+    component is compared on only until one link is found.
+    """
+    last = F.ceil(F.col("n") / BLOCK_ROWS).cast("int") - 1
+    block = F.pmod(F.xxhash64("rep", "key"), last + 1).cast("int")
+    each = rows.select("key", "rep", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    placed = each.select("key", "rep", "component", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
+    some = checkpoint(rows.select("rep").distinct())
+    texts = docs.join(small(some), docs["doc_id"] == some["rep"], "left_semi").select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = checkpoint(texts)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        shingler = shingler_of(words)
+        frame = frame.drop_duplicates("rep").sort_values("rep")
+        reps, blocks = frame["rep"].tolist(), frame["block"].tolist()
+        sets = [shingler(t) for t in frame["text"]]
+        parent = {c: c for c in frame["component"]}
+        component = frame["component"].tolist()
+        apart = frame["x"].iloc[0] != frame["y"].iloc[0]
+        out = []
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        order = sorted(range(len(reps)), key=lambda i: len(sets[i]))
+        for at, i in enumerate(order):
+            for j in order[at + 1 :]:
+                if len(sets[i]) < threshold * len(sets[j]):
+                    break
+                if apart and blocks[i] == blocks[j]:
+                    continue  # these two meet in their own block's task
+                u, v = root(component[i]), root(component[j])
+                if u != v:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+                        parent[u] = v
+                        out.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return placed.join(texts, "rep").groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(

@@ -62,10 +62,11 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("most", [4, 0.01])
-def test_groups_equal_brute_force(make_docs, planted, monkeypatch, most):
-    """``most`` 0.01 forces rounds of single pivots."""
-    monkeypatch.setattr(N, "PAIRS_A_ROW", most)
+@pytest.mark.parametrize("pair_rows, block_rows", [(32, 256), (0, 256), (0, 2)])
+def test_groups_equal_brute_force(make_docs, planted, monkeypatch, pair_rows, block_rows):
+    """Pairs, whole buckets, and many small blocks."""
+    monkeypatch.setattr(N, "PAIR_ROWS", pair_rows)
+    monkeypatch.setattr(N, "BLOCK_ROWS", block_rows)
     got = {r["doc_id"]: r["group_id"] for r in N.near_duplicates(make_docs(*planted)).collect()}
     assert got == brute_groups(planted)
 
