@@ -36,8 +36,8 @@ NEAR_BUCKETS = 128
 SKIP_BUCKETS = 32
 PAIR_BUCKETS = 512
 LISTED_WORDS = 65_536
-STEPS = 16
-PARTS = 4
+STEPS = 30
+PARTS = 8
 FLUSH_TOKENS = 1_000_000
 
 
@@ -238,12 +238,12 @@ def train(contexts: DataFrame, lex: Lexicon, steps: int = STEPS, classes: int =
     """log10 P(event | context) after ``steps`` full-batch gradient steps (Adam).
 
     ``contexts`` (context, event, n) covers all training tokens; its size is bounded by contexts x
-    events. It is dealt to PARTS tasks once; a step broadcasts the weights, and PARTS partial
-    gradients return. The bias row starts at the events' frequencies.
+    events. It is dealt to PARTS tasks once, also where Spark deals it to more partitions; a step
+    broadcasts the weights, and PARTS partial gradients return. The bias row starts at the events' frequencies.
     """
     spark = contexts.sparkSession
     events = lex.events
-    parts = checkpoint(contexts.repartition(PARTS, F.xxhash64("context")).sortWithinPartitions("context"))
+    parts = checkpoint(contexts.repartition(PARTS, F.xxhash64("context")).sortWithinPartitions("context")).coalesce(PARTS)
     by_event = np.zeros(events)
     for r in parts.groupBy("event").agg(F.sum("n").alias("n")).collect():
         by_event[r["event"]] = r["n"]

@@ -134,6 +134,13 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_the_stated_steps_fit_better_than_half_of_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fit = {n: sum(r["score"] for r in S.lm_scores(docs, steps=n).collect() if r["held_out"]) for n in (16, S.STEPS)}
+    print("held-out log10 likelihood by steps", fit)
+    assert S.STEPS >= 30 and fit[S.STEPS] > fit[16]
+
+
 def test_probabilities_add_up_and_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(1)
     m = S.MaxEnt(np.array([0, 0, 1, 1, 1, 2]))
