@@ -1,11 +1,11 @@
 """License scan by a trained paragraph classifier. DataFrame functions and pyspark.ml on the JVM only.
 
-Paragraphs (lines) become sparse binary vectors of hashed words and word pairs; a multinomial logistic
-regression with an L1 share, fitted on notices made from the families' names and texts and on a bounded
-sample of paragraphs of the corpus, gives a family or "none". Its scores are calibrated by a
-temperature, fitted on training rows that were set aside. A paragraph that the classifier takes for a
-notice is confirmed by comparison with the family's templates; one that no template confirms is of
-the family "unknown".
+Paragraphs (lines, neighbouring lines and whole blocks of lines) become sparse binary vectors of hashed
+words and word pairs; a multinomial logistic regression with an L1 share, fitted on notices made from
+the families' names and texts and on a bounded sample of paragraphs of the corpus, gives a family,
+"unknown" (a notice of no listed family) or "none". The scores of every paragraph are calibrated by a temperature, fitted on training rows and licences that were set aside. What is
+probably not "none" is a notice. It has a family if that is likely enough and one of its templates
+confirms it; else it is of the family "unknown".
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import col, text_or_empty
@@ -80,12 +81,23 @@ NEAR_MISSES = [
     "Das Haus mit dem Garten ist mit Holz gebaut.",
     "Cc: by noon, and the by line is under the fold.",
 ]
+#: Licences outside the families: their notices are of the class "unknown". The second list is never
+#: fitted on; it only serves the temperature and the confidence below which a family is not named.
+UNLISTED = ["zlib License", "Boost Software License 1.0", "Artistic License 2.0", "SIL Open Font License, version 1.1", "PostgreSQL License", "Common Development and Distribution License", "Microsoft Public License", "BSL-1.0"]
+UNLISTED_ASIDE = ["European Union Public Licence 1.2", "Python Software Foundation License", "Academic Free License, version 3.0", "Open Data Commons License", "Zope Public License 2.1", "IBM Public License", "NCSA Open Source License"]
 NONE, UNKNOWN = "none", "unknown"
 FEATURES = 1 << 12
 BACKGROUND = 2000
 CONFIRMED = 0.75
 NOTICE = 0.8
+#: Parts of words without which no template can be confirmed, and no notice that the model is fitted on is
+#: made: lines are joined only in texts that hold one.
+HINTS = ["licen", "permi", "copyright", "software", "redistribut", "rights", "gpl", "mpl", "epl", "bsd", "apache", "under", "public", "document", "notice", "hereby", "source", "modif", "terms", "later", "general", "reserved", "written", "publication", "reproduced", "obtain", "compliance", "provided", "conditions", "binary", "associated", "substantial", "portions", "universal", "domain", "dedication", "distribute", "purpose"]
+HINT_WORDS = r"\b(?:cc0?|by\W+(?:nc|nd|sa)|creative|or\W+later)\b"
+#: Marks of comments at the ends of a line.
+COMMENT_MARKS = r"^\s*(?:/\*+|\*+/?|/{2,}!?|#+|;+|-{2,}|%+|<!--|\"{3}|'{3})|(?:\*+/|-->|\*+|#+)\s*$"
 LIKE_TEMPLATE = 0.6
+CONFIDENCES = [0.1, 0.2, 0.3, 0.4, 0.5]
 TEMPERATURES = [0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 
 
@@ -115,45 +127,64 @@ class LicenseModel:
     regression: LogisticRegressionModel
     families: list[str]
     temperature: float
+    confidence: float
 
 
 def background(docs: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` paragraphs, one each of the documents with the smallest hashed texts. The bound is a
-    parameter; documents are first thinned by their hash to about twice as many, so that sorting them
-    takes no more than that, and only the paragraph is moved."""
+    """A line and the joined lines of each of the at most ``most`` documents with the smallest hashed texts.
+    The bound is a parameter; documents are first thinned by their hash to about twice as many, so that sorting them
+    takes no more than that."""
     some = docs.where("text is not null")
     share = min(1.0, 2.0 * most / max(1, some.count()))
     h = F.xxhash64("text")
     thin = some.select("text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     lines = F.split("text", "\n")
-    return thin.select(F.element_at(lines, (F.pmod("h", F.size(lines)) + 1).cast("int")).alias("text"), "h").orderBy("h", "text").limit(most).select("text")
+    least = thin.orderBy("h", "text").limit(most)
+    line = F.element_at(lines, (F.pmod("h", F.size(lines)) + 1).cast("int"))
+    return least.select(F.explode(F.array_distinct(F.array(line, F.array_join(lines, " ")))).alias("text"))
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, most_background: int) -> DataFrame:
     notices = [(f, p.format(n)) for f, names in FAMILIES.items() for n in names for p in PHRASES]
     notices += [(f, s) for f, s in SENTENCES for _ in range(4)] + [(NONE, s) for s in NEAR_MISSES for _ in range(4)]
-    made = spark.createDataFrame(notices, "family string, text string")
+    notices += [(UNKNOWN, p.format(n)) for n in UNLISTED for p in PHRASES]
+    # texts that come several times are always fitted on: set aside, none of their copies would be
+    several = {s for _, s in SENTENCES} | {*NEAR_MISSES}
+    rows = [(f, t, False if t in several else None) for f, t in notices] + [(UNKNOWN, p.format(n), True) for n in UNLISTED_ASIDE for p in PHRASES]
+    made = spark.createDataFrame(rows, "family string, text string, aside boolean")
     # a notice among the corpus' paragraphs must not be learnt as none
     other = with_grams(background(docs, most_background)).where(template_similarity(F.col("grams")) < LIKE_TEMPLATE)
-    return made.unionByName(other.select(F.lit(NONE).alias("family"), "text"))
+    return made.unionByName(other.select(F.lit(NONE).alias("family"), "text", F.lit(None).cast("boolean").alias("aside")))
 
 
 def train(docs: DataFrame, most_background: int = BACKGROUND) -> LicenseModel:
-    """Fit on four fifths of the training rows, choose the temperature on the rest by its likelihood."""
+    """Fit on four fifths of the training rows. On the rest and on notices of licences that the fit has not
+    seen, choose the temperature by its likelihood, then the confidence by which fewest notices get a
+    wrong family."""
     spark = docs.sparkSession
-    families = [NONE, *FAMILIES]
+    families = [NONE, *FAMILIES, UNKNOWN]
     label = reduce(lambda c, k: F.when(F.col("family") == families[k], float(k)).otherwise(c), range(len(families)), F.lit(0.0))
-    rows = _hashed().transform(with_grams(training_rows(spark, docs, most_background)).select(label.alias("label"), F.xxhash64("text", "family").alias("h"), "grams"))
+    rows = _hashed().transform(with_grams(training_rows(spark, docs, most_background)).select(label.alias("label"), F.xxhash64("text", "family").alias("h"), "aside", "grams"))
     # the table is small by its parameters; it is read in every step of the fit
-    rows = rows.select("label", "features", (F.pmod("h", F.lit(5)) == 0).alias("aside")).coalesce(4).cache()
+    rows = rows.select("label", "features", F.coalesce("aside", F.pmod("h", F.lit(5)) == 0).alias("aside")).coalesce(4).cache()
     weight = F.when(F.col("label") == 0, 1.0).otherwise(2.0)
     fit = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.3, maxIter=40, standardization=False, weightCol="weight")
     model = fit.fit(rows.where("not aside").withColumn("weight", weight))
     raw = model.transform(rows.where("aside")).select("label", vector_to_array("rawPrediction").alias("raw"))
     losses = raw.agg(*[F.avg(-F.log(F.greatest(F.element_at(softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]).first()
-    rows.unpersist()
     order = sorted(range(len(TEMPERATURES)), key=lambda k: (losses[k] if losses[k] is not None else 0.0, abs(TEMPERATURES[k] - 1)))
-    return LicenseModel(model, families, TEMPERATURES[order[0]])
+    temperature = TEMPERATURES[order[0]]
+    told = raw.where("label > 0").select("label", softmax(F.col("raw"), temperature).alias("p")).select("label", "p", best_family("p").alias("best"))
+    wrong = [F.count_if(F.when(F.element_at("p", F.col("best")) >= c, F.col("best") - 1).otherwise(len(families) - 1) != F.col("label")).alias(f"c{k}") for k, c in enumerate(CONFIDENCES)]
+    errors = told.agg(*wrong).first()
+    rows.unpersist()
+    return LicenseModel(model, families, temperature, CONFIDENCES[min(range(len(CONFIDENCES)), key=lambda k: (errors[k], k))])
+
+
+def best_family(p: str) -> Column:
+    """Place, from 1, of the likeliest family; neither "none", the first, nor "unknown", the last, is one."""
+    named = F.slice(p, F.lit(2), F.size(p) - 2)
+    return (F.array_position(named, F.array_max(named)) + 1).cast("int")
 
 
 def softmax(raw: Column, temperature: float) -> Column:
@@ -183,28 +214,90 @@ def template_similarity(mine: Column, family: Column | None = None) -> Column:
     return reduce(lambda c, f: F.when(family == f, best[f]).otherwise(c), best, F.lit(0.0))
 
 
+def hinted(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, h: a | low.contains(h), HINTS[1:], low.contains(HINTS[0])) | low.rlike(HINT_WORDS)
+
+
+def paragraphs_of(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but its text; ``paragraph`` and ``last``, the first and last line (from 0),
+    ``block``, ``whole`` and ``text``.
+
+    A block is a run of lines with letters or digits, so empty lines and bare comment marks end it. Each line
+    is a row; so are each block of several lines, and each two and three neighbouring lines of longer blocks, if
+    they are :func:`hinted`. Joined lines lose the marks of comments.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    cut = docs.select(*kept, F.split(text_or_empty(F.col("text")), "\n").alias("lines"), hinted(text_or_empty(F.col("text"))).alias("hinted"))
+    cut = cut.withColumn("plain", F.when((F.size("lines") > 1) & F.col("hinted"), F.transform("lines", lambda x: F.trim(F.regexp_replace(x, COMMENT_MARKS, "")))).otherwise(F.array().cast("array<string>")))
+    cut = cut.withColumn("full", F.transform("plain", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    n = F.size("plain")
+    places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def on(i: Column) -> Column:
+        return F.coalesce(F.get("full", i - 1), F.lit(False))
+
+    cut = cut.withColumn("starts", F.filter(places, lambda i: on(i) & ~on(i - 1))).withColumn("ends", F.filter(places, lambda i: on(i) & ~on(i + 1)))
+    cut = cut.withColumn("blocks", F.filter(F.arrays_zip("starts", "ends"), lambda b: b["ends"] > b["starts"]))
+
+    def row(first: Column, last: Column, block: Column, whole: bool) -> Column:
+        text = F.array_join(F.slice("plain", first, last - first + 1), " ")
+        return F.struct((first - 1).alias("paragraph"), (last - 1).alias("last"), (block - 1).alias("block"), F.lit(whole).alias("whole"), text.alias("text"))
+
+    def windows(size: int) -> Column:
+        longer = F.filter("blocks", lambda b: b["ends"] - b["starts"] >= size)
+        return F.flatten(F.transform(longer, lambda b: F.transform(F.sequence(b["starts"], b["ends"] - (size - 1)), lambda i: row(i, i + (size - 1), b["starts"], False))))
+
+    whole = F.transform("blocks", lambda b: row(b["starts"], b["ends"], b["starts"], True))
+    # an outer explode, as others add a filter that computes the array once more, line by line
+    joined = cut.select(*kept, F.explode_outer(F.concat(whole, windows(2), windows(3))).alias("r")).where("r is not null").select(*kept, "r.*").where(hinted(F.col("text")))
+    lines = cut.select(*kept, "blocks", F.posexplode("lines").alias("paragraph", "text"))
+    block = F.get(F.filter("blocks", lambda b: (b["starts"] <= F.col("paragraph") + 1) & (b["ends"] > F.col("paragraph"))), F.lit(0))["starts"] - 1
+    lines = lines.select(*kept, "paragraph", F.col("paragraph").alias("last"), F.coalesce(block, "paragraph").alias("block"), F.lit(False).alias("whole"), "text")
+    return lines  # joined lines follow
+
+
 def findings(docs: DataFrame, model: LicenseModel, confirmed: float = CONFIRMED) -> DataFrame:
-    """One row per paragraph that the classifier takes for a notice: the columns of ``docs`` but its text,
-    ``paragraph`` (from 0), ``family``, ``predicted``, ``probability`` (of being a notice), ``similarity``
-    and ``text``."""
+    """One row per notice: the columns of ``docs`` but its text, ``paragraph`` and ``last`` (its lines, from
+    0), ``family``, ``predicted``, ``probability`` (of being a notice), ``similarity`` and ``text``.
+
+    A family's notice that no line of a block holds alone is the smallest and most similar run of lines that
+    does, once a block. Lines within it that are confirmed for no family are parts of it. A whole block is
+    an unknown notice only if nothing else is found in it.
+    """
     kept = [c for c in docs.columns if c != "text"]
-    lines = docs.select(*kept, F.posexplode(F.split(text_or_empty(F.col("text")), "\n")).alias("paragraph", "text"))
-    vectors = _hashed().transform(with_grams(lines))
-    raw = model.regression.transform(vectors).select(*kept, "paragraph", "text", vector_to_array("rawPrediction").alias("raw"))
-    # the likeliest class needs no temperature, so only notices are calibrated
-    notices = raw.where(F.array_position("raw", F.array_max("raw")) > 1).withColumn("p", softmax(F.col("raw"), model.temperature))
+    mine = [*kept, "paragraph", "last", "block", "whole", "text"]
+    vectors = _hashed().transform(with_grams(paragraphs_of(docs)))
+    raw = model.regression.transform(vectors).select(*mine, vector_to_array("rawPrediction").alias("raw"))
+    # a filter is not moved below the explode, where it would score each paragraph several times
+    raw = raw.select(*mine, F.explode(F.array("raw")).alias("raw"))
+    none = F.element_at("raw", 1)
+    odds = F.aggregate(F.slice("raw", 2, len(model.families) - 1), F.lit(0.0), lambda a, x: a + F.exp((x - none) / model.temperature))
+    notices = raw.where(1 - 1 / (1 + odds) >= NOTICE).withColumn("p", softmax(F.col("raw"), model.temperature))
+    notices = notices.select(*mine, F.explode(F.array("p")).alias("p"))
     names = F.array(*[F.lit(f) for f in model.families])
-    told = notices.select(*kept, "paragraph", "text", (1 - F.element_at("p", 1)).alias("probability"), F.element_at(names, F.array_position("raw", F.array_max("raw")).cast("int")).alias("predicted"))
+    told = notices.withColumn("best", best_family("p"))
+    told = told.select(*mine, (1 - F.element_at("p", 1)).alias("probability"), F.element_at("p", F.col("best")).alias("sure"), F.element_at(names, F.col("best")).alias("predicted"))
     compared = with_grams(told).withColumn("similarity", template_similarity(F.col("grams"), F.col("predicted")))
-    family = F.when(F.col("similarity") >= confirmed, F.col("predicted")).otherwise(F.lit(UNKNOWN))
-    return compared.where(F.col("probability") >= NOTICE).select(*kept, "paragraph", family.alias("family"), "predicted", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "text")
+    compared = compared.select(*mine, "probability", "sure", "predicted", F.explode(F.array("similarity")).alias("similarity"))
+    family = F.when((F.col("similarity") >= confirmed) & (F.col("sure") >= model.confidence), F.col("predicted")).otherwise(F.lit(UNKNOWN))
+    one, known = F.col("paragraph") == F.col("last"), F.col("family") != UNKNOWN
+    found = compared.withColumn("family", family).where(one | known | F.col("whole")).distinct()
+    in_block = [*kept, "block"]
+    best = W.partitionBy(*in_block, "family").orderBy(F.col("last") - F.col("paragraph"), F.desc("similarity"), "paragraph")
+    found = found.withColumn("at", F.row_number().over(best)).where(one | ~known | (F.col("at") == 1))
+    wide = F.collect_list(F.when(known & ~one, F.struct("paragraph", "last"))).over(W.partitionBy(*in_block))
+    inside = F.exists(wide, lambda w: (w["paragraph"] <= F.col("paragraph")) & (F.col("last") <= w["last"]))
+    found = found.withColumn("inside", inside).where(known | ~one | ~F.col("inside"))
+    found = found.withColumn("others", F.count_if(known | one).over(W.partitionBy(*in_block))).where(known | one | (F.col("others") == 0))
+    return found.select(*kept, "paragraph", "last", "family", "predicted", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "text")
 
 
 def scan(df: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text", most_background: int = BACKGROUND) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_paragraphs, n_notices, licenses, paragraphs, similarity``.
 
-    ``licenses`` are the families found, sorted and joined by commas, empty if none; ``paragraphs`` their
-    places; ``similarity`` the best template comparison, null if none. A null text counts as one empty
+    ``n_paragraphs`` counts lines. ``licenses`` are the families found, sorted and joined by commas, empty if
+    none; ``paragraphs`` the lines where they begin; ``similarity`` the best template comparison, null if none. A null text counts as one empty
     paragraph. Rows of equal id and text are scanned once and repeated; a null id is like any other.
     """
     docs = df.select(col(df, id_col).alias("doc_id"), col(df, text_col).cast("string").alias("text"))

@@ -56,6 +56,20 @@ def test_template_grams_are_those_of_columns(spark):
         assert mine == L._template_grams()[family][: len(names)]
 
 
+def scanned(spark, model, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["licenses"], r["paragraphs"]) for r in sorted(L.scan(df, model).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_notices_of_unlisted_licences_are_unknown(spark, licence_model):
+    names = ["Sleepycat License", "Ruby License", "Vim License", "Eiffel Forum License", "Sun Public License"]
+    assert not set(names) & {*L.UNLISTED, *L.UNLISTED_ASIDE}
+    texts = [p.format(n) for n in names for p in ("Licensed under the {}.", "This work is licensed under the {}.", "Released under the {}.")]
+    got = scanned(spark, licence_model, *(f"First some words.\n{t}\nAnd then others." for t in texts))
+    assert got == [("unknown", [1])] * len(texts)
+    assert licence_model.families[-1] == L.UNKNOWN and licence_model.confidence in L.CONFIDENCES
+
+
 # --- quality
 
 
