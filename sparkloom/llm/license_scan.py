@@ -254,7 +254,7 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
     lines = cut.select(*kept, "blocks", F.posexplode("lines").alias("paragraph", "text"))
     block = F.get(F.filter("blocks", lambda b: (b["starts"] <= F.col("paragraph") + 1) & (b["ends"] > F.col("paragraph"))), F.lit(0))["starts"] - 1
     lines = lines.select(*kept, "paragraph", F.col("paragraph").alias("last"), F.coalesce(block, "paragraph").alias("block"), F.lit(False).alias("whole"), "text")
-    return lines  # joined lines follow
+    return lines.unionByName(joined)
 
 
 def findings(docs: DataFrame, model: LicenseModel, confirmed: float = CONFIRMED) -> DataFrame:

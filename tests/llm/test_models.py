@@ -70,6 +70,24 @@ def test_notices_of_unlisted_licences_are_unknown(spark, licence_model):
     assert licence_model.families[-1] == L.UNKNOWN and licence_model.confidence in L.CONFIDENCES
 
 
+def test_wrapped_notices_are_seen_whole(spark, licence_model):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles"
+    bsd = " * Redistribution and use in source and binary forms, with or\n * without modification, are permitted provided that the\n * following conditions are met"
+    apache = "# you may not use this file except in compliance with\n# the License. You may obtain a copy of the License at\n# apache.org"
+    prose = "Sie kam mit ihm und mit den Kindern.\nThe public library is open to the general public."
+    got = scanned(spark, licence_model, f"Some words.\n\n{mit}\n\nOthers.", f"/*\n{bsd}\n */\nint x;", apache, f"{prose}\n{mit}\n{prose}", prose)
+    assert got == [("mit", [2]), ("bsd", [1]), ("apache", [0]), ("mit", [2]), ("", [])]
+
+
+def test_no_notice_is_without_a_hint(spark):
+    made = [p.format(n) for names in [*L.FAMILIES.values(), L.UNLISTED, L.UNLISTED_ASIDE] for n in names for p in L.PHRASES] + [t for _, t in L.SENTENCES]
+    assert all(any(h in t.lower() for h in L.HINTS) or re.search(L.HINT_WORDS, t.lower()) for t in made)
+    for templates in L._template_grams().values():
+        for grams in templates:
+            left = [g for g in grams if not any(h in g for h in L.HINTS) and not re.search(L.HINT_WORDS, g)]
+            assert len(left) / len(grams) < L.CONFIRMED, grams
+
+
 # --- quality
 
 
