@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import col
+from sparkloom.llm.caching import WordCache, kept_by_worker
+from sparkloom.llm.common import col, fresh
 from sparkloom.shipping import checkpoint
 
 WORDS = 5
@@ -37,7 +38,6 @@ ROWS = 5
 PAIR_ROWS = 32
 BLOCK_ROWS = 256
 BROADCAST_ROWS = 200_000
-CACHE_WORDS = 400_000
 ELEMENTS_AT_ONCE = 400_000
 
 
@@ -65,21 +65,13 @@ class Shingler:
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
-        self.known: dict[bytes, bytes] = {}
+        self.known = WordCache()
 
     def __call__(self, text: str) -> np.ndarray:
         tokens = text.encode("utf-8", "replace").split()
         if not tokens:
             return np.empty(0, np.uint64)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known, digest = self.known, xxhash.xxh64_digest
-        found = list(map(known.get, tokens))
-        if None in found:
-            for i, h in enumerate(found):
-                if h is None:
-                    w = tokens[i]
-                    found[i] = known[w] = digest(w)
+        found = self.known.values(tokens, xxhash.xxh64_digest)
         h = np.frombuffer(b"".join(found), np.uint64)
         n = max(1, len(h) - self.words + 1)
         out = np.zeros(n, np.uint64)
@@ -165,13 +157,9 @@ def signatures_of_texts(texts: list[str], shingler: Shingler, k: int) -> tuple[n
     return dart_signatures(elements, owner, np.ones(len(elements)), len(sets), k), sizes
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def shingler_of(words: int) -> Shingler:
-    if words not in _shinglers:
-        _shinglers[words] = Shingler(words)
-    return _shinglers[words]
+    """One per worker process."""
+    return kept_by_worker(("shingles", words), lambda: Shingler(words))
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -403,6 +391,7 @@ def groups_of(docs: DataFrame, words: int, threshold: float, bands: int, rows: i
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of ``df`` that stay: of each group the one with the smallest id; rows without an id too."""
-    found = near_duplicates(df, id_col, text_col, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id_")).distinct()
+    (kept_id,) = fresh(df, "kept_id")
+    found = near_duplicates(df, id_col, text_col, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)).distinct()
     at = col(df, id_col)
-    return df.join(found, at == F.col("kept_id_"), "left_semi").unionByName(df.where(at.isNull()))
+    return df.join(found, at == F.col(kept_id), "left_semi").unionByName(df.where(at.isNull()))

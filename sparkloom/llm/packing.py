@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from sparkloom.llm.caching import WordCache, kept_by_worker
 from sparkloom.llm.common import col
 from sparkloom.shipping import checkpoint
 
 SEQ_LEN = 2048
-#: Ids of cached words a worker keeps; the cache starts anew beyond that.
-CACHE_WORDS = 600_000
 RANK_ROWS = 1_000
 
 PIECES = T.StructType(
@@ -59,7 +58,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
+        self.known = WordCache()
 
     @staticmethod
     def words(text: str) -> list[bytes]:
@@ -79,30 +78,16 @@ class WordIds:
         # a word that ends in a letter and the punctuation after it are separate pieces
         stem = word.rstrip(b".,")
         if stem != word and stem[-1:].isalpha() and b"<|" not in word:
-            end = word[len(stem) :]
-            ids = (self.known.get(stem) or self._word(stem)) + (self.known.get(end) or self._word(end))
-        else:
-            ids = self._word(word)
-        self.known[word] = ids
-        return ids
+            return self.known.value(stem, self._word) + self.known.value(word[len(stem) :], self._word)
+        return self._word(word)
 
     def ids(self, words: list[bytes]) -> bytes:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        found = list(map(self.known.get, words))
-        if None in found:
-            found = [ids if ids is not None else self.known.get(word) or self.learn(word) for ids, word in zip(found, words, strict=True)]
-        return b"".join(found)
-
-
-_loaded: dict[str, WordIds] = {}
+        return b"".join(self.known.values(words, self.learn))
 
 
 def word_ids(path: str) -> WordIds:
     """One per worker process, so that tasks that follow find the words of those before."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return kept_by_worker(("word ids", path), lambda: WordIds(path))
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

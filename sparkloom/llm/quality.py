@@ -22,15 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.caching import WordCache, kept_by_worker
 from sparkloom.llm.common import col, id_fold
 
 BUCKETS = 1 << 15
 MAX_LABELLED = 4000
-CACHE_WORDS = 400_000
 STATISTICS = 16
 _LETTERS = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word.lower()) % BUCKETS
+
+
+def featurizer() -> Featurizer:
+    """One per worker process."""
+    return kept_by_worker("quality features", Featurizer)
+
+
 @dataclass
 class Model:
     """Weights of a factorisation machine; statistics come before hashed words."""
@@ -46,20 +55,13 @@ class Featurizer:
     """Distinct hashed words with damped counts, and STATISTICS numbers."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = WordCache()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = text.encode("utf-8", "replace")
         words = Counter(raw.split())
         n = sum(words.values())
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        at = list(map(known.get, words))
-        if None in at:
-            for i, w in enumerate(words):
-                if at[i] is None:
-                    at[i] = known[w] = zlib.crc32(w.lower()) % BUCKETS
+        at = self.known.values(words, _bucket)
         weight = np.log1p(np.fromiter(words.values(), np.float64, len(words)))
         index = np.array(at, np.int64) + STATISTICS
         if len(index):
@@ -182,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     (of a repeated id, of each of its rows)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Featurizer()
+        f = featurizer()
         for batch in batches:
             if batch.num_rows:
                 rows = [f(t or "") for t in batch.column(1).to_pylist()]
@@ -201,18 +203,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return fit(rows, np.array([r["y"] for r in found], float))
 
 
-_featurizer: list[Featurizer] = []
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) to (doc_id, score); a null text counts as empty."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Model(model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32), model.mean, model.scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _featurizer:
-            _featurizer.append(Featurizer())
-        m, f = shared.value, _featurizer[0]
+        m, f = shared.value, featurizer()
         for batch in batches:
             for part in range(0, batch.num_rows, 250):
                 rows = [f(t or "") for t in batch.column(1).slice(part, 250).to_pylist()]
@@ -242,7 +239,7 @@ def keep_good(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, f = shared.value, Featurizer()
+        m, f = shared.value, featurizer()
         for batch in batches:
             for part in range(0, batch.num_rows, 250):
                 some = batch.slice(part, 250)
