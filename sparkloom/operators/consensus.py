@@ -68,3 +68,13 @@ def deliveries(messages: DataFrame, now: int, a: list[int], b: list[int]) -> Dat
     the partition cuts them off when due; others are queued."""
     outcome = F.when(F.col("due") > now, "queued").when(blocked(F.col("from_id"), F.col("to_id"), a, b), "dropped").otherwise("delivered")
     return messages.groupBy("from_id", "to_id", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def convergence(entries: DataFrame) -> DataFrame:
+    """(seed, n_nodes, n_indexes, n_diverged): indexes of a log (seed, node_id, index, entry) that not all nodes
+    of the seed hold alike. None diverges once all live nodes have converged."""
+    nodes = entries.groupBy("seed").agg(F.count_distinct("node_id").alias("n_nodes"))
+    held = entries.groupBy("seed", "index", "node_id").agg(F.max("entry").alias("hi"), F.min("entry").alias("lo"))
+    at = held.groupBy("seed", "index").agg(F.count("*").alias("holders"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    told = at.join(nodes, "seed").withColumn("differs", (F.col("holders") < F.col("n_nodes")) | ~F.col("hi").eqNullSafe(F.col("lo")))
+    return told.groupBy("seed").agg(F.max("n_nodes").alias("n_nodes"), F.count("*").alias("n_indexes"), F.count_if("differs").alias("n_diverged"))

@@ -161,7 +161,13 @@ def retrain_decision(summarised: DataFrame, n_labelled: int, fraction: float = R
     """``decision`` and ``reason``: retrain only strictly above ``fraction`` and with enough labelled rows."""
     above = F.col("fraction") > fraction
     decision = F.when(~above, "no_action").when(F.lit(n_labelled < rows), "insufficient_labels").otherwise("retrain")
-    return summarised.select("n_checked", "n_significant", "fraction", decision.alias("decision"), F.lit(n_labelled).cast("long").alias("n_labelled"))
+    share = F.format_string("%.2f", "fraction")
+    counted = F.concat(F.col("n_significant").cast("string"), F.lit("/"), F.col("n_checked").cast("string"))
+    quiet = F.concat(F.lit("No retrain: "), counted, F.lit(" features significant (fraction "), share, F.lit(f" <= {fraction:.2f})"))
+    few = F.concat(F.lit("Drift threshold exceeded (fraction "), share, F.lit(f" > {fraction:.2f}) but only {n_labelled} labelled rows available (need {rows}); retrain skipped"))
+    done = F.concat(F.lit("Auto-retrain: "), counted, F.lit(" features significantly drifted (fraction "), share, F.lit(f" > threshold {fraction:.2f}); retrained on {n_labelled} recent production rows"))
+    reason = F.when(~above, quiet).when(F.lit(n_labelled < rows), few).otherwise(done)
+    return summarised.select("n_checked", "n_significant", "fraction", decision.alias("decision"), F.lit(n_labelled).cast("long").alias("n_labelled"), reason.alias("reason"))
 
 
 def histogram(samples: DataFrame, bins: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.vectors import METRICS, NORM_FLOOR
+from sparkloom.shipping import checkpoint
 
 #: Queries of one pass; they are broadcast, and further ones take further passes.
 QUERY_BLOCK = 4096
@@ -19,8 +20,10 @@ DIGITS = 9
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.array(rows, dtype=np.float64) if rows else np.empty((0, 0))
+    """The lists of a column, all of one length, as rows; a view of Arrow's values where they are doubles."""
+    if not len(column):
+        return np.empty((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -48,36 +51,75 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(sorted(METRICS))}")
     if k < 1:
         raise ValueError("k must be at least 1")
-    queries = queries.where("qid is not null and v is not null")
+    queries = queries.where("qid is not null and v is not null").select(F.col("qid").cast("long").alias("qid"), "v")
     n = queries.count()
     passes = max(1, -(-n // block))
     out = None
     for p in range(passes):
         part = queries if passes == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
-        rows = part.select("qid", "v").collect()  # a block
-        near = _nearest(corpus, [r["qid"] for r in rows], [r["v"] for r in rows], k, metric)
+        block = part.select("qid", "v").toArrow()
+        qids, v = block.column("qid").to_numpy(), matrix(block.column("v").combine_chunks())
+        shared = corpus.sparkSession.sparkContext.broadcast((qids, v))
+        near = _nearest(corpus, shared, k, metric)
+        if passes > 1:  # a pass is over, and its queries are gone, before the next begins
+            near = checkpoint(near)
+            shared.destroy()
         out = near if out is None else out.unionByName(near)
     w = W.partitionBy("qid").orderBy("dist", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist")
 
 
-def _nearest(corpus: DataFrame, qids: list[int], vectors: list[list[float]], k: int, metric: str) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast((np.array(qids, np.int64), np.array(vectors, np.float64)))
-
+class _Best:
+    """The k nearest of the vectors seen so far, of each query. Products of whole blocks tell which vectors
+    may be among them; only those get their exact distance."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: str) -> None:
+        self.q, self.k, self.cosine = q, k, metric == "cosine"
+        self.norm = np.maximum(np.linalg.norm(q, axis=1), NORM_FLOOR)
+        self.square = (q * q).sum(1)
+        self.unit = q / self.norm[:, None]
+        self.bound = np.full(len(q), np.inf)
+        self.who, self.ids, self.dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        square = np.einsum("ij,ij->i", v, v)
+        if self.cosine:
+            near = 1 - self.unit @ (v / np.maximum(np.sqrt(square), NORM_FLOOR)[:, None]).T
+            slack = 1e-8
+        else:
+            near = self.square[:, None] + square[None, :] - 2 * (self.q @ v.T)
+            slack = 1e-8 * (1 + self.square[:, None] + square[None, :])
+        limit = self.bound if self.cosine else self.bound * self.bound
+        if near.shape[1] > 4 * self.k and np.isinf(limit).any():
+            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+        i, j = np.nonzero(near <= limit[:, None] + slack)
+        if not len(i):
+            return
+        if self.cosine:
+            dist = np.clip(near[i, j], 0.0, 2.0)
+        else:
+            dist = np.concatenate([np.linalg.norm(self.q[i[at : at + 65536]] - v[j[at : at + 65536]], axis=1) for at in range(0, len(i), 65536)])
+        who, all_ids, dist = np.concatenate((self.who, i)), np.concatenate((self.ids, ids[j])), np.concatenate((self.dist, np.round(dist, DIGITS)))
+        order = np.lexsort((all_ids, dist, who))
+        place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+        order = order[place < self.k]
+        self.who, self.ids, self.dist = who[order], all_ids[order], dist[order]
+        n = np.bincount(self.who, minlength=len(self.q))
+        full = np.flatnonzero(n == self.k)
+        self.bound[full] = self.dist[np.cumsum(n)[full] - 1]
+
+
+def _nearest(corpus: DataFrame, shared, k: int, metric: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
-        best_d, best_i = np.full((len(qid), 0), np.inf), np.full((len(qid), 0), -1, np.int64)
+        best = _Best(q, k, metric)
         for batch in batches:
             for at in range(0, batch.num_rows if len(qid) else 0, 2048):
-                ids = batch.column(0).slice(at, 2048).to_numpy()
-                d = np.concatenate((best_d, distances(q, matrix(batch.column(1).slice(at, 2048)), metric)), axis=1)
-                i = np.concatenate((best_i, np.broadcast_to(ids, (len(qid), len(ids)))), axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        if best_i.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_i.shape[1])), pa.array(best_i.reshape(-1)), pa.array(best_d.reshape(-1))], names=["qid", "vec_id", "dist"])
-
-    return corpus.where("v is not null").select("vec_id", "v").mapInArrow(run, "qid long, vec_id long, dist double")
+                best.add(batch.column(0).slice(at, 2048).to_numpy(), matrix(batch.column(1).slice(at, 2048)))
+        if best.who.size:
+            yield pa.RecordBatch.from_arrays([pa.array(qid[best.who]), pa.array(best.ids), pa.array(best.dist)], names=["qid", "vec_id", "dist"])
+
+    return corpus.where("v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, "qid long, vec_id long, dist double")
 
 
 def recall(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:

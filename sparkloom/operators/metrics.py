@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.functions.draws import digest_number
 from sparkloom.operators.ordered import running_sums
+from sparkloom.shipping import checkpoint
 
 WINDOW = 300
 MOST_LISTED = 5000
@@ -64,8 +66,33 @@ def align(log: DataFrame, columns: list[str]) -> DataFrame:
     return log.select("id", *[F.coalesce(F.try_element_at("features", F.lit(c)).try_cast("double"), F.lit(0.0)).alias(c) for c in columns])
 
 
-def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """``df`` with ``in_train``: a hash of the id decides, class by class, so classes keep their shares up
-    to chance however large they are."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("in_train", u < share)
+def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.8, seed: str = "42", bits: int = 16) -> DataFrame:
+    """``df`` with ``in_train``: of n rows, n - ceil(n (1 - share)) train, each class by its share.
+
+    Classes get the whole part of theirs, the rest goes to the largest remainders. Within a class the rows
+    of the smallest digest of seed and id train, ties by id (rows that repeat an id go where it goes).
+    Digests are counted in 2^bits cells, so that only the rows of each class's last cell are ranked. A
+    null label is a class of its own; a null id has the largest digest.
+    """
+    key = F.coalesce(digest_number(F.col(id_col), seed), F.lit((1 << 32) - 1))
+    cell = F.shiftright(key, 32 - bits).cast("int")
+    # without nulls: joins on it are plain ones; the mark keeps a null apart from any text
+    kind = F.coalesce(F.concat(F.lit("1"), F.col(label).cast("string")), F.lit("0"))
+    rows = df.select(kind.alias("kind"), key.alias("key"), cell.alias("cell"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
+    cells = checkpoint(rows.groupBy("kind", "cell").agg(F.count("*").alias("n")))
+    kinds = cells.groupBy("kind").agg(F.sum("n").alias("n"))
+    n_train = F.col("all") - F.ceil(F.round(F.col("all") * (1 - share), 6)).cast("long")
+    part = kinds.crossJoin(F.broadcast(kinds.agg(F.sum("n").alias("all")))).select("kind", "all", n_train.alias("n_train"), (n_train * F.col("n") / F.col("all")).alias("quota"))
+    everywhere = W.partitionBy()  # classes are few: one row each
+    part = part.withColumn("least", F.floor("quota")).withColumn("rest", F.col("n_train") - F.sum("least").over(everywhere))
+    order = F.row_number().over(everywhere.orderBy(F.desc(F.round(F.col("quota") - F.col("least"), 9)), "kind"))
+    take = part.select("kind", (F.col("least") + F.when(order <= F.col("rest"), 1).otherwise(0)).alias("take"))
+    upto = F.sum("n").over(W.partitionBy("kind").orderBy("cell"))
+    placed = cells.withColumn("upto", upto).join(F.broadcast(take), "kind")
+    last = checkpoint(placed.where("upto - n < take and upto >= take").select("kind", "cell", (F.col("take") - F.col("upto") + F.col("n")).alias("room")))
+    ranked = rows.join(F.broadcast(last), ["kind", "cell"]).withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy("key", "id")))
+    limits = ranked.where("r = room").select(F.struct("kind").alias("k"), F.struct("key", "id").alias("bound"))
+    found = {r["k"]["kind"]: (r["bound"]["key"], r["bound"]["id"]) for r in limits.collect()}  # one a class
+    bound = F.create_map(*[x for k, (n, i) in found.items() for x in (F.lit(k), F.struct(F.lit(n).cast("long").alias("key"), F.lit(i).alias("id")))]) if found else None
+    mine = F.struct(key.alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
+    return df.withColumn("in_train", F.coalesce(mine <= F.try_element_at(bound, kind), F.lit(False)) if found else F.lit(False))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import drift, metrics
+from sparkloom.operators import drift, drift_stream, metrics, models
+from sparkloom.operators.drift_stream import Shift
 from sparkloom.sources.catalog import LINE_FEATURES, event_samples, line_samples, predictions, table
 
 
@@ -146,40 +147,48 @@ def auc_ranksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and labels on either side of the split, by class."""
+    """Which side of the split each labelled document is on."""
     s = metrics.stratified_split(table(spark, sf_dir, "labels"), "quality", "doc_id")
-    return s.groupBy("quality", "in_train").agg(F.count("*").alias("n"))
+    return s.select("doc_id", "quality", F.col("in_train").cast("int").alias("in_train"))
 
 
 def train_score_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scaler and a logistic regression on line features, trained on one side of the split, scored on all:
-    metrics on the other side."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.xxhash64("l_orderkey", "l_linenumber").alias("id"), (F.col("l_linestatus") == "F").cast("int").alias("label"), (F.year("l_shipdate") - 1992).alias("year"), *LINE_FEATURES
-    )
-    split = metrics.stratified_split(lines, "label", "id")
-    stages = [
-        VectorAssembler(inputCols=[*LINE_FEATURES, "year"], outputCol="raw", handleInvalid="keep"),
-        StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-        LogisticRegression(labelCol="label", maxIter=20, regParam=1e-4),
-    ]
-    model = Pipeline(stages=stages).fit(split.where("in_train"))
-    scored = model.transform(split.where("not in_train")).select("label", F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("score"))
-    m = metrics.classification(scored).crossJoin(F.broadcast(metrics.auc(scored)))  # one row each
+    """A scaler and a logistic regression on inferred line features, trained on one side of a split by class,
+    measured on the other."""
+    lines = _lines(spark, sf_dir).select("id", (F.year("l_shipdate") - 1992).alias("year"), *LINE_FEATURES, (F.col("l_linestatus") == "F").cast("int").alias("target"))
+    m = models.train(lines, "id", settings={"maxIter": 20, "regParam": 1e-4}).metrics
     return m.select("tp", "fp", "fn", "tn", F.round("accuracy", 6).alias("accuracy"), F.round("auc", 6).alias("auc"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+
+
+#: What drifts in the stream of lines.
+LINE_SHIFTS = {"l_quantity": Shift("mean_shift_up", 0.28, 4), "l_extendedprice": Shift("variance_inflation", 0.35, 6), "l_discount": Shift("mean_shift_down", 0.24, 8)}
+
+
+def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).select("id", *[F.col(c).cast("double").alias(c) for c in LINE_FEATURES], (F.col("l_returnflag") == "R").cast("int").alias("target"))
+    baseline, pool = drift_stream.split_baseline(lines, "id")
+    return drift_stream.stream(pool, baseline, "id", "target", LINE_SHIFTS)
+
+
+def drift_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch, drifted features and possibly flipped label of every row of the stream."""
+    return _line_stream(spark, sf_dir).select("id", "batch", "target", *[F.round(c, 4).alias(c) for c in LINE_FEATURES])
+
+
+def drift_stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_stream.manifest(_line_stream(spark, sf_dir), LINE_SHIFTS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         drift_decile_edges, drift_psi, drift_psi_lines, drift_psi_bins, drift_severity, drift_ks_stat, drift_ks_lines, drift_ks_pvalue_asym, drift_feature_moments, drift_summary, drift_report,
         drift_retrain_decision, feature_histogram, drift_timeline, recent_window, rolling_accuracy, positive_rate, prediction_listing, coerce_features, experiment_runs, run_listing, entity_counts,
-        classification_metrics, auc_ranksum, stratified_split, train_score_pipeline,
+        classification_metrics, auc_ranksum, stratified_split, train_score_pipeline, drift_stream_rows, drift_stream_manifest,
     )
 }
 
@@ -215,7 +224,32 @@ _SCORED = """
     sc AS (SELECT doc_id, quality AS label, round(1 - length(regexp_replace(text, '[^!#$%&*]', '', 'g')) / greatest(length(text), 1), 6) AS score FROM documents JOIN labels USING (doc_id)),
     sp AS (SELECT *, (score > 0.98)::INT AS predicted FROM sc)"""
 
+
+
+def _draw(key: str, seed: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT"
+
+
+_STREAM = f"""
+    li AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS e, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t, (l_returnflag = 'R')::INT AS y FROM lineitem),
+    dr AS (SELECT *, {_draw("id", "baseline")} / 4294967296 < 0.6 AS base, ({_draw("id", "stream")} % 12)::INT + 1 AS batch, {_draw("id", "stream-flip")} / 4294967296 AS u FROM li),
+    mo AS (SELECT avg(q) AS qm, stddev_pop(q) AS qs, avg(e) AS em, avg(d) AS dm, stddev_pop(d) AS ds FROM dr WHERE base),
+    st AS (SELECT id, batch, CASE WHEN u < 0.04 * greatest(0, batch - 6) THEN 1 - y ELSE y END AS target, q + 0.28 * greatest(0, batch - 3) * qs AS l_quantity,
+                  em + (e - em) * (1 + 0.35 * greatest(0, batch - 5)) AS l_extendedprice, d - 0.24 * greatest(0, batch - 7) * ds AS l_discount, t AS l_tax FROM dr, mo WHERE NOT base)"""
+
 ORACLE_SQL = {
+    "stratified_split": f"""
+        WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_draw("doc_id", "42")}, doc_id::VARCHAR) AS r FROM labels),
+        k AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), a AS (SELECT sum(n)::BIGINT AS n, (sum(n) - ceil(round(sum(n) * 0.2, 6)))::BIGINT AS t FROM k),
+        p AS (SELECT quality, t * k.n / a.n AS quota, floor(t * k.n / a.n) AS least, t FROM k, a),
+        o AS (SELECT *, t - sum(least) OVER () AS rest, row_number() OVER (ORDER BY round(quota - least, 9) DESC, quality) AS o FROM p),
+        m AS (SELECT quality, least + CASE WHEN o <= rest THEN 1 ELSE 0 END AS take FROM o)
+        SELECT doc_id, r.quality, (r <= take)::INT AS in_train FROM r JOIN m ON r.quality IS NOT DISTINCT FROM m.quality""",
+    "drift_stream_rows": f"""WITH {_STREAM} SELECT id, batch, target, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, round(l_discount, 4) AS l_discount, round(l_tax, 4) AS l_tax FROM st""",
+    "drift_stream_manifest": f"""WITH {_STREAM}, c AS (SELECT batch, count(*) AS rows FROM st GROUP BY batch),
+        f AS (SELECT *, concat_ws(',', CASE WHEN batch >= 8 THEN 'l_discount=' || (batch - 7) END, CASE WHEN batch >= 6 THEN 'l_extendedprice=' || (batch - 5) END, CASE WHEN batch >= 4 THEN 'l_quantity=' || (batch - 3) END) AS drifting,
+                     round(0.04 * greatest(0, batch - 6), 4)::DOUBLE AS p_flip FROM c)
+        SELECT batch, rows, drifting, p_flip, drifting = '' AND p_flip = 0 AS clean FROM f""",
     "drift_decile_edges": f"""WITH {_EVENTS},
         q AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM s WHERE NOT cur GROUP BY feature)
         SELECT feature, (i - 1)::INT AS pos, round(e[i + 1], 6) AS edge FROM q, unnest(range(1, len(e) - 1)) AS t(i)""",
@@ -237,7 +271,11 @@ ORACLE_SQL = {
         a AS (SELECT count(*) AS n_checked, count(*) FILTER (severity = 'significant') AS n_significant FROM r),
         b AS (SELECT count(actual_label) AS n_labelled FROM lg)
         SELECT n_checked, n_significant, round(n_significant / n_checked, 6) AS fraction,
-               CASE WHEN n_significant / n_checked <= 0.3 THEN 'no_action' WHEN n_labelled < 60 THEN 'insufficient_labels' ELSE 'retrain' END AS decision, n_labelled FROM a, b""",
+               CASE WHEN n_significant / n_checked <= 0.3 THEN 'no_action' WHEN n_labelled < 60 THEN 'insufficient_labels' ELSE 'retrain' END AS decision, n_labelled,
+               CASE WHEN n_significant / n_checked <= 0.3 THEN printf('No retrain: %d/%d features significant (fraction %.2f <= 0.30)', n_significant, n_checked, n_significant / n_checked)
+                    WHEN n_labelled < 60 THEN printf('Drift threshold exceeded (fraction %.2f > 0.30) but only %d labelled rows available (need 60); retrain skipped', n_significant / n_checked, n_labelled)
+                    ELSE printf('Auto-retrain: %d/%d features significantly drifted (fraction %.2f > threshold 0.30); retrained on %d recent production rows', n_significant, n_checked, n_significant / n_checked, n_labelled)
+               END AS reason FROM a, b""",
     "feature_histogram": f"""WITH {_EVENTS},
         m AS (SELECT feature, min(x) AS lo, CASE WHEN max(x) > min(x) THEN max(x) ELSE min(x) + 1 END AS hi FROM s GROUP BY feature),
         w AS (SELECT feature, lo, (hi - lo) / 20 AS width FROM m),

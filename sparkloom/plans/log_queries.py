@@ -145,6 +145,12 @@ def raft_up_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.up_to_date(trace(spark, sf_dir))
 
 
+def raft_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the nodes of a seed hold one log, the commit index being the place and the term the entry."""
+    t = trace(spark, sf_dir)
+    return consensus.convergence(t.select("seed", "node_id", F.col("commit_index").alias("index"), F.col("term").alias("entry")))
+
+
 def raft_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     messages = e.select((F.col("user_id") % 5).cast("int").alias("from_id"), (F.col("event_id") % 5).cast("int").alias("to_id"), F.floor(F.col("value") * 10).cast("int").alias("due"))
@@ -156,7 +162,7 @@ QUERIES = {
     for f in (
         wal_replay_latest, snapshot_read_asof, version_history, write_conflicts, vacuum_dropped, vacuum_kept, vacuum_cutoff, txn_status, next_txn_id, wal_round_trip, secret_findings,
         secret_severity_counts, large_documents, findings_report, human_sizes, path_ancestors, ignore_match, ignore_audit, snake_names, raft_one_leader_per_term, raft_current_leader,
-        raft_transitions, raft_quorum_commit, raft_elections, raft_up_to_date, raft_deliveries,
+        raft_transitions, raft_quorum_commit, raft_elections, raft_up_to_date, raft_deliveries, raft_convergence,
     )
 }
 
@@ -245,6 +251,9 @@ ORACLE_SQL = {
             count(DISTINCT node_id) AS n FROM t GROUP BY ALL) SELECT seed, term, candidates, voters, voters >= n // 2 + 1 AS won FROM c""",
     "raft_up_to_date": f"""WITH {_TRACE}, n AS (SELECT seed, node_id, max({{'a': term, 'b': log_length}}) AS x FROM t GROUP BY ALL)
         SELECT seed, node_id, x >= max(x) OVER (PARTITION BY seed) AS fresh FROM n""",
+    "raft_convergence": f"""WITH {_TRACE}, n AS (SELECT seed, count(DISTINCT node_id) AS n_nodes FROM t GROUP BY seed),
+        i AS (SELECT seed, commit_index, count(DISTINCT node_id) AS holders, count(DISTINCT term) AS kinds FROM t GROUP BY ALL)
+        SELECT seed, any_value(n_nodes) AS n_nodes, count(*) AS n_indexes, count(*) FILTER (holders < n_nodes OR kinds <> 1) AS n_diverged FROM i JOIN n USING (seed) GROUP BY seed""",
     "raft_deliveries": """
         WITH m AS (SELECT (user_id % 5)::INT AS from_id, (event_id % 5)::INT AS to_id, floor(value * 10)::INT AS due FROM events)
         SELECT from_id, to_id, CASE WHEN due > 300 THEN 'queued' WHEN (from_id IN (0, 1) AND to_id IN (2, 3)) OR (from_id IN (2, 3) AND to_id IN (0, 1)) THEN 'dropped' ELSE 'delivered' END AS outcome,

@@ -106,3 +106,30 @@ def random_unit_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) ->
     from sparkloom.functions.vectors import unit
 
     return spark.range(n).select(F.col("id").alias("vec_id"), unit(F.array(*[F.randn(seed + k) for k in range(dim)])).alias("v"))
+
+
+def base_table(spark: SparkSession, source: str, kept: str) -> DataFrame:
+    """The table at ``source`` with names in snake case, kept as CSV at ``kept``; later calls read that."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{kept}/_SUCCESS")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        df = load(spark, source)
+        df.toDF(*[c.strip().replace(" ", "_").replace("-", "_").lower() for c in df.columns]).write.mode("overwrite").csv(kept, header=True)
+    return load(spark, kept)
+
+
+def save_batches(batches: DataFrame, folder: str) -> None:
+    """A CSV folder a batch (``batch=1``, ...), with headers; batches of an earlier run are replaced."""
+    batches.repartition("batch").write.mode("overwrite").partitionBy("batch").csv(folder, header=True)
+
+
+def batch_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, n_files) of a folder of :func:`save_batches`, by its names alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(folder).select("path")
+    batch = F.regexp_extract("path", r"batch=(\d+)/[^/]*$", 1).cast("int")
+    return files.select(batch.alias("batch")).groupBy("batch").agg(F.count("*").alias("n_files"))
+
+
+def save_manifest(rows: DataFrame, folder: str) -> None:
+    """One JSON line a batch, in one file: batches are few."""
+    rows.coalesce(1).write.mode("overwrite").json(folder)

@@ -21,19 +21,20 @@ def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a file
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run all that is available now; the checkpoint lies in the shared folder, so a restart goes on."""
-    at = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", name: str | None = None) -> None:
+    """Run all that is available now. The checkpoint lies in the shared folder under ``name``, so a later call
+    of that name takes only what is new; without one, each call starts anew."""
+    at = f"{shared_folder(stream.sparkSession)}/stream-{name or uuid.uuid4().hex}"
     query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def replay(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replay(stream: DataFrame, summarise: Callable[[DataFrame], DataFrame], name: str | None = None) -> DataFrame:
     """``summarise`` of each micro-batch, appended to a table with its ``batch_id``. A batch that runs again
-    replaces its own rows."""
+    replaces its own rows; batches of earlier calls of one ``name`` stay."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    drain(stream, lambda df, k: summarise(df).write.mode("overwrite").parquet(f"{at}/batch_id={k}"))
+    at = f"{shared_folder(spark)}/replay-{name or uuid.uuid4().hex}"
+    drain(stream, lambda df, k: summarise(df).write.mode("overwrite").parquet(f"{at}/batch_id={k}"), name=name)
     return spark.read.parquet(at)
 
 
