@@ -1,44 +1,42 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-The next word's probability is P(class | context) * P(word | class, context), both log-linear in hashed
-features of the context: the word before (n-gram), the pair of words before (n-gram) and the word
-before that alone (skip). The model's own words are the most frequent ones of the training texts and
-the end of a text; all other words are one event, "other", within which a word follows its smoothed
-relative frequency. So the probability of a text is normalised over all words, a class for unknown
-words included.
-
-Everything is gathered from all training texts: counts of all words, and counts of (context, next
-word), the sufficient statistics of the model. Each training step is a distributed pass over those
-statistics that sums gradients. Texts are scored in numpy batches, a lookup a token; counts of words
-beyond the broadcast list of frequent ones come from a join.
+The model itself is described in :mod:`maxent`. Everything is gathered from all training texts: counts of all words, and
+those of features and pairs of words. The LISTED_WORDS most frequent words and the end of a text are words of the model;
+all others fall into classes by their first and last letters, and within one of these a word follows
+its smoothed relative frequency. So the probability of a text is normalised over all words, with one
+unknown word in each of those classes.
+
+Texts are encoded once, as places in the list, and written to the shared folder in slices; each training
+step is a distributed pass over a slice that sums gradients. Texts are scored in numpy batches; counts of
+words beyond the broadcast list come from a join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.llm import maxent
 from sparkloom.llm.common import col, id_fold
-from sparkloom.shipping import checkpoint
+from sparkloom.shipping import checkpoint, shared_folder
 
 #: The end of a text; words hold no white space, so none equals it.
 END = b"\n"
-MODEL_WORDS = 510
-CLASSES = 23
-NEAR_BUCKETS = 128
-SKIP_BUCKETS = 32
-PAIR_BUCKETS = 512
 LISTED_WORDS = 65_536
-STEPS = 30
-PARTS = 8
+STEPS = 32
+SLICES = 32
 FLUSH_TOKENS = 1_000_000
+#: Tokens of a written row.
+ROW_TOKENS = 200_000
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -48,10 +46,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return out
 
 
-def _bucket(word: bytes, n: int, seed: int) -> int:
-    return xxhash.xxh64_intdigest(word, seed) % n
-
-
 # --- counts -----------------------------------------------------------------------------------------
 
 
@@ -80,205 +74,99 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Frequent words with their counts; the first ones, and END, are the model's own.
-
-    ``rank`` gives a listed word's place; ``event`` maps places to the model's events (the last event
-    is "other"); ``near`` and ``skip`` map places to buckets of the context. One further place stands
-    for all words that are not listed.
-    """
+    """Listed words, most frequent first, with their counts; END is always one. ``tokens`` and ``distinct``
+    are those of all training texts."""
 
     rank: dict[bytes, int]
     counts: np.ndarray
-    event: np.ndarray
-    near: np.ndarray
-    skip: np.ndarray
-    events: int
     tokens: int
     distinct: int
-    other_tokens: int
-    other_distinct: int
 
+    @property
+    def end(self) -> int:
+        return self.rank[END]
+
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        found, n = list(map(self.rank.get, tokens)), len(self.rank)
+        if None in found:
+            for i, place in enumerate(found):
+                if place is None:
+                    found[i] = n + maxent.code_of(tokens[i])
+        return np.array(found, np.int32)
 
-def lexicon(counts: DataFrame, model_words: int = MODEL_WORDS, listed: int = LISTED_WORDS) -> Lexicon:
-    """At most ``listed`` words reach the driver: those above the smallest count that keeps to the number.
+
+def lexicon(counts: DataFrame, listed: int = LISTED_WORDS) -> Lexicon:
+    """At most about ``listed`` words reach the driver: those above the smallest count that keeps to the
+    number, and of those that share the next count a part by their hash.
 
     The limit comes from a histogram of counts, a cell each up to 1024 and 64 an octave above.
     """
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    cell = F.when(F.col("c") <= 1024, F.col("c")).otherwise(1024 + F.floor((F.log2("c") - 10) * 64))
-    cells = counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("cell")).collect()
-    least, n = None, 0
+    cell = F.when(F.col("c") <= 1024, F.col("c")).otherwise(1024 + F.floor((F.log2("c") - 10) * 64)).cast("int")
+    cells = counts.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy(F.desc("cell")).collect()
+    least, part, room = 1 << 30, 0, listed
     for r in cells:
-        n += r["n"]
-        if n > listed:
+        if r["n"] > room:
+            part = int((1 << 20) * 0.98 * room / r["n"])
             break
-        least = r["least"]
-    found = [] if least is None else counts.where(F.col("c") >= int(least)).collect()
-    top = sorted(((bytes(r["word"]), int(r["c"])) for r in found), key=lambda x: (-x[1], x[0]))
-    own = [w for w, _ in top if w != END][:model_words]
-    events = len(own) + 2  # END, other
-    place = {w: i for i, (w, _) in enumerate(top)}
-    n = len(top) + 1
-    event = np.full(n, events - 1)
-    for i, w in enumerate(own):
-        event[place[w]] = i
-    if END in place:
-        event[place[END]] = events - 2
-    near, skip = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for w, i in place.items():
-        near[i], skip[i] = 2 + _bucket(w, NEAR_BUCKETS - 2, 1), 2 + _bucket(w, SKIP_BUCKETS - 2, 2)
-    near[-1] = skip[-1] = 1  # bucket 0 is the beginning of a text, 1 a word that is not listed
-    c = np.array([x for _, x in top] + [0], np.float64)
-    own_places = np.flatnonzero(event < events - 1)
-    return Lexicon(place, c, event, near, skip, events, int(tokens), int(distinct), int(tokens - c[own_places].sum()), int(distinct - len(own_places)))
-
-
-def _places(lex: Lexicon, tokens: list[bytes]) -> np.ndarray:
-    get, missing = lex.rank.get, len(lex.rank)
-    return np.array([get(w, missing) for w in tokens], np.int64)
-
-
-def _contexts(lex: Lexicon, places: np.ndarray) -> np.ndarray:
-    near, skip = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-    near[1:] = lex.near[places[:-1]]
-    skip[2:] = lex.skip[places[:-2]]
-    return near * SKIP_BUCKETS + skip
-
-
-def context_counts(texts: DataFrame, lex: Lexicon) -> DataFrame:
-    """(context, event, n) over all tokens of ``texts``; at most contexts x events rows."""
-    shared = texts.sparkSession.sparkContext.broadcast(lex)
+        least, room = r["cell"], room - r["n"]
+    tied = F.lit(False) if not part else (cell == r["cell"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < part)
+    found = counts.where((cell >= least) | tied | (F.col("word") == F.lit(END))).toArrow()
+    top = sorted(zip(found.column("word").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    if all(w != END for w, _ in top):
+        top.append((END, 0))
+    return Lexicon({w: i for i, (w, _) in enumerate(top)}, np.array([c for _, c in top], np.float64), int(tokens), int(distinct))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def write_encoded(texts: DataFrame, shared, slices: int) -> str:
+    """Places of all tokens of ``texts`` (one column), a text after the other, in a folder of ``slices`` parts
+    in the shared folder. A text's part follows from its hash."""
+    folder = f"{shared_folder(texts.sparkSession)}/lm-{uuid.uuid4().hex}"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def merge() -> None:
-            nonlocal keys, sums, held, size
-            if held:
-                new, n = np.unique(np.concatenate(held), return_counts=True)
-                both = np.concatenate((keys, new))
-                keys, at = np.unique(both, return_inverse=True)
-                sums = np.bincount(at, np.concatenate((sums, n)), len(keys)).astype(np.int64)
-                held, size = [], 0
+        held: list[list[np.ndarray]] = [[] for _ in range(slices)]
+        sizes = [0] * slices
+
+        def out(k: int) -> pa.RecordBatch:
+            data = np.concatenate(held[k]).tobytes()
+            held[k], sizes[k] = [], 0
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([k], pa.int32())], names=["places", "slice"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                places = _places(lex, tokens_of(text))
-                held.append(_contexts(lex, places) * lex.events + lex.event[places])
-                size += len(places)
-                if size > FLUSH_TOKENS:
-                    merge()
-        merge()
-        yield pa.RecordBatch.from_arrays([pa.array((keys // lex.events).astype(np.int32)), pa.array((keys % lex.events).astype(np.int32)), pa.array(sums)], names=["context", "event", "n"])
-
-    return texts.mapInArrow(count, "context int, event int, n long").groupBy("context", "event").agg(F.sum("n").alias("n"))
-
-
-# --- the model --------------------------------------------------------------------------------------
-
-
-class MaxEnt:
-    """Parameters: a block for classes and one for events, each with a bias row and rows for the hashed
-    features near, pair and skip. Events are numbered so that each class is a run of them."""
-
-    def __init__(self, class_of: np.ndarray) -> None:
-        self.class_of = class_of
-        self.events, self.classes = len(class_of), int(class_of.max(initial=0)) + 1
-        self.starts = np.searchsorted(class_of, np.arange(self.classes))
-        self.rows = 1 + NEAR_BUCKETS + PAIR_BUCKETS + SKIP_BUCKETS
-        self.weights = np.zeros((self.rows, self.classes + self.events), np.float64)
-
-    @staticmethod
-    def features(contexts: np.ndarray) -> np.ndarray:
-        """Rows of the weights that are on: bias, near, pair, skip."""
-        near, skip = contexts // SKIP_BUCKETS, contexts % SKIP_BUCKETS
-        pair = (contexts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PAIR_BUCKETS
-        return np.stack([np.zeros_like(contexts), 1 + near, 1 + NEAR_BUCKETS + pair, 1 + NEAR_BUCKETS + PAIR_BUCKETS + skip], axis=1)
-
-    def log_probabilities(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of classes, and of events within their class."""
-        raw = self.weights[self.features(contexts)].sum(axis=1)
-        by_class, by_event = raw[:, : self.classes], raw[:, self.classes :]
-        by_class = by_class - by_class.max(axis=1, keepdims=True)
-        log_class = by_class - np.log(np.exp(by_class).sum(axis=1, keepdims=True))
-        top = np.maximum.reduceat(by_event, self.starts, axis=1)
-        shifted = by_event - top[:, self.class_of]
-        norm = np.log(np.add.reduceat(np.exp(shifted), self.starts, axis=1))
-        return log_class, shifted - norm[:, self.class_of]
-
-    def table(self) -> np.ndarray:
-        """log10 P(event | context) of all contexts."""
-        log_class, log_event = self.log_probabilities(np.arange(NEAR_BUCKETS * SKIP_BUCKETS))
-        return ((log_class[:, self.class_of] + log_event) / np.log(10)).astype(np.float32)
-
-    def gradient(self, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-        """Sums over contexts of (observed - expected) per weight, and the log likelihood."""
-        log_class, log_event = self.log_probabilities(contexts)
-        observed = np.add.reduceat(counts, self.starts, axis=1)
-        total = counts.sum(axis=1, keepdims=True)
-        error = np.concatenate((observed - total * np.exp(log_class), counts - observed[:, self.class_of] * np.exp(log_event)), axis=1)
-        out = np.zeros_like(self.weights)
-        for on in self.features(contexts).T:
-            np.add.at(out, on, error)
-        return out, float((observed * log_class).sum() + (counts * log_event).sum())
-
-
-def classes_by_frequency(event_counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Events in descending frequency, cut into runs of about equal mass: (order, class of each place)."""
-    order = np.argsort(-event_counts, kind="stable")
-    mass = np.cumsum(np.sqrt(event_counts[order] + 1.0))
-    cuts = np.minimum((classes * (mass - 1e-9) / mass[-1]).astype(int), classes - 1)
-    return order, np.unique(cuts, return_inverse=True)[1]
-
-
-def train(contexts: DataFrame, lex: Lexicon, steps: int = STEPS, classes: int = CLASSES, rate: float = 0.3, ridge: float = 1e-4) -> np.ndarray:
-    """log10 P(event | context) after ``steps`` full-batch gradient steps (Adam).
-
-    ``contexts`` (context, event, n) covers all training tokens; its size is bounded by contexts x
-    events. It is dealt to PARTS tasks once, also where Spark deals it to more partitions; a step
-    broadcasts the weights, and PARTS partial gradients return. The bias row starts at the events' frequencies.
-    """
-    spark = contexts.sparkSession
-    events = lex.events
-    parts = checkpoint(contexts.repartition(PARTS, F.xxhash64("context")).sortWithinPartitions("context")).coalesce(PARTS)
-    by_event = np.zeros(events)
-    for r in parts.groupBy("event").agg(F.sum("n").alias("n")).collect():
-        by_event[r["event"]] = r["n"]
-    order, class_of = classes_by_frequency(by_event, classes)
-    place = np.argsort(order)
-    model = MaxEnt(class_of)
-    mass = by_event[order] + 0.5
-    class_mass = np.add.reduceat(mass, model.starts)
-    model.weights[0] = np.concatenate((np.log(class_mass / class_mass.sum()), np.log(mass / class_mass[class_of])))
-    total = max(1.0, by_event.sum())
-    m, v = np.zeros_like(model.weights), np.zeros_like(model.weights)
-    for step in range(1, steps + 1):
-        shared = spark.sparkContext.broadcast(model.weights.astype(np.float32))
-
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found = [b for b in batches if b.num_rows]
-            if not found:
-                return
-            t = pa.Table.from_batches(found)
-            keys, at = np.unique(t.column(0).to_numpy(), return_inverse=True)
-            counts = np.zeros((len(keys), events))
-            counts[at, place[t.column(1).to_numpy()]] = t.column(2).to_numpy()
-            now = MaxEnt(class_of)
-            now.weights = shared.value.astype(np.float64)
-            g, fit = now.gradient(keys.astype(np.int64), counts)
-            yield pa.RecordBatch.from_arrays([pa.array([int(keys[0])]), pa.array([g.astype(np.float32).tobytes()], pa.binary()), pa.array([fit])], names=["part", "g", "fit"])
-
-        sums = parts.mapInArrow(partial, "part long, g binary, fit double").collect()
-        # added in one order, so that reruns agree
-        g = sum((np.frombuffer(r["g"], np.float32).astype(np.float64) for r in sorted(sums, key=lambda r: r["part"])), np.zeros(model.weights.size)).reshape(model.weights.shape)
-        shared.destroy()  # the driver keeps nothing of a step that is done
-        g = g / total - ridge * model.weights * (np.arange(model.rows) > 0)[:, None] / 100
-        m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
-        model.weights += rate * min(1.0, 2 * (1 - (step - 1) / steps)) * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-7)
-    return model.table()[:, place]
+                k = xxhash.xxh32_intdigest((text or "").encode("utf-8", "replace")) % slices
+                held[k].append(lex.places(tokens_of(text)))
+                sizes[k] += len(held[k][-1])
+                if sizes[k] > ROW_TOKENS:
+                    yield out(k)
+        for k in range(slices):
+            if held[k]:
+                yield out(k)
+
+    texts.mapInArrow(encode, "places binary, slice int").write.partitionBy("slice").option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def train(texts: DataFrame, lex: Lexicon, shared, steps: int = STEPS, slices: int = SLICES) -> tuple[maxent.Model, list[float]]:
+    """The model of the words of ``texts`` (one column), and each step's mean log likelihood of classes."""
+    spark = texts.sparkSession
+    folder = write_encoded(texts, shared, slices)
+    encoded = spark.read.schema("places binary, slice int").parquet(folder)
+    # a sum of the model's size comes from each task of a pass, so there are no more than Spark runs at once
+    at_once = spark.sparkContext.defaultParallelism
+
+    def part(k: int) -> DataFrame:
+        return encoded.where(F.col("slice") == k % slices).select("places").coalesce(at_once)
+
+    whole, n = encoded.select("places").coalesce(at_once), len(lex.rank)
+    own = maxent.cluster_words(maxent.neighbour_counts(whole, n, lex.end))
+    classes = maxent.make_classes(list(lex.rank), lex.counts, lex.end, own)
+    tables = maxent.word_tables(whole, classes)
+    pairs = maxent.word_pairs(whole, classes, tables)
+    counts = maxent.class_counts(whole, classes, maxent.ClassModel(classes))
+    model, fits = maxent.train_classes(part, steps, 1 / slices, classes, counts)
+    return maxent.Model(classes, model.weights, tables, pairs), fits
 
 
 # --- scoring ----------------------------------------------------------------------------------------
@@ -291,48 +179,72 @@ _ROW = T.StructType(
         T.StructField("tf", T.LongType()),
         T.StructField("tokens", T.LongType()),
         T.StructField("known", T.LongType()),
-        T.StructField("others", T.LongType()),
         T.StructField("logs", T.DoubleType()),
-        T.StructField("other_logs", T.DoubleType()),
         T.StructField("model", T.DoubleType()),
     ]
 )
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, table: np.ndarray) -> DataFrame:
+def rare_norms(counts: DataFrame, shared) -> np.ndarray:
+    """log10 of what the smoothed counts of each class of unlisted words add up to, an unknown word's included."""
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, model = shared.value
+        c = model.classes
+        tokens, distinct = np.zeros(c.count - c.rare), np.zeros(c.count - c.rare)
+        for batch in batches:
+            place = lex.places(batch.column(0).to_pylist())
+            some = place >= c.n
+            of = c.of[place[some]] - c.rare
+            tokens += np.bincount(of, batch.column(1).to_numpy()[some], len(tokens))
+            distinct += np.bincount(of, minlength=len(tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tokens), dtype=np.int32)), pa.array(tokens), pa.array(distinct)], names=["k", "tokens", "distinct"])
+
+    sums = counts.select("word", "c").mapInArrow(classify, "k int, tokens double, distinct double").groupBy("k").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"))
+    c = shared.value[1].classes
+    out = np.full(c.count - c.rare, np.log10(0.5))
+    for r in sums.collect():
+        out[r["k"]] = np.log10(r["tokens"] + 0.5 * (r["distinct"] + 1))
+    return out
+
+
+def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared, norms: np.ndarray) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, n_known, base_score, score).
 
     A text yields one row with what the listed words give, and one row for each distinct other word.
     Those rows join the counts by word, words that are not frequent by construction, and are summed
     by document. Rows that repeat id and text are summed together and parted again.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((lex, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, table = shared.value
-        logs = np.log10(lex.counts + 0.5)
-        other = lex.event == lex.events - 1
-        missing = len(lex.rank)
+        lex, model = shared.value
+        logs, c, end = np.log10(lex.counts + 0.5), model.classes, lex.end
+        seen = lex.counts > 0
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = tokens_of(text)
-                places = _places(lex, tokens)
-                mine = places != missing
-                listed_other = mine & other[places]
-                h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace")) >> 1
-                rare: dict[bytes, int] = {}
-                for i in np.flatnonzero(~mine).tolist():
-                    rare[tokens[i]] = rare.get(tokens[i], 0) + 1
-                model = float(table[_contexts(lex, places), lex.event[places]].sum(dtype=np.float64))
-                # a key of its own, which no word equals, keeps these rows from meeting in one task
-                own = b"\n%d %d" % (h, doc_id or 0)
-                out.append((doc_id, h, own, 0, len(tokens), int(mine.sum()), int(other[places].sum()), float(logs[places[mine]].sum()), float(logs[places[listed_other]].sum()), model))
-                out.extend((doc_id, h, w, n, None, None, None, None, None, None) for w, n in rare.items())
-                if len(out) > 50_000:
-                    yield _arrow(out)
-                    out = []
-            if out:
+            for part in _by_size(batch):
+                texts = part.column(1).to_pylist()
+                tokens = [tokens_of(t) for t in texts]
+                sizes = [len(t) for t in tokens]
+                flat = [w for t in tokens for w in t]
+                places = lex.places(flat)
+                listed = places < c.n
+                owner = np.repeat(np.arange(len(texts)), sizes)
+                scores = model.scores(places, maxent.histories(places, end))
+                scores[~listed] -= norms[c.of[places[~listed]] - c.rare]
+                n = len(texts)
+                base = np.bincount(owner[listed], logs[places[listed]], n)
+                known = np.bincount(owner[listed], seen[places[listed]], n).astype(int)
+                score = np.bincount(owner, scores, n)
+                rare: list[dict[bytes, int]] = [{} for _ in texts]
+                for i in np.flatnonzero(~listed).tolist():
+                    mine, w = rare[owner[i]], flat[i]
+                    mine[w] = mine.get(w, 0) + 1
+                out: list[tuple] = []
+                for i, doc_id in enumerate(part.column(0).to_pylist()):
+                    h = xxhash.xxh64_intdigest((texts[i] or "").encode("utf-8", "replace")) >> 1
+                    # a key of its own, which no word equals, keeps these rows from meeting in one task
+                    out.append((doc_id, h, b"\n%d %d" % (h, doc_id or 0), 0, sizes[i], int(known[i]), float(base[i]), float(score[i])))
+                    out.extend((doc_id, h, w, tf, None, None, None, None) for w, tf in rare[i].items())
                 yield _arrow(out)
 
     rows = docs.mapInArrow(run, _ROW)
@@ -347,48 +259,59 @@ def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, table: np.ndar
         .agg(
             n.alias("copies"),
             F.max("tokens").alias("tokens"),
-            F.max("others").alias("others"),
             F.max("known").alias("known"),
             F.max("logs").alias("logs"),
-            F.max("other_logs").alias("other_logs"),
             F.max("model").alias("model"),
             (F.coalesce(F.sum("rare"), F.lit(0.0)) / n).alias("rare"),
             (F.coalesce(F.sum("found"), F.lit(0)) / n).cast("long").alias("found"),
         )
     )
-
-    def norm(tokens: int, distinct: int) -> Column:
-        return F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))
-
+    norm = float(np.log10(lex.tokens + 0.5 * (lex.distinct + 1)))
     return summed.select(
         "doc_id",
         F.col("tokens").alias("n_tokens"),
         (F.col("known") + F.col("found")).alias("n_known"),
-        (F.col("logs") + F.col("rare") - F.col("tokens") * norm(lex.tokens, lex.distinct)).alias("base_score"),
-        (F.col("model") + F.col("other_logs") + F.col("rare") - F.col("others") * norm(lex.other_tokens, lex.other_distinct)).alias("score"),
+        (F.col("logs") + F.col("rare") - F.col("tokens") * norm).alias("base_score"),
+        (F.col("model") + F.col("rare")).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
 
 
+def _by_size(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` characters; a longer text is a run of its own."""
+    start, size = 0, 0
+    for i, text in enumerate(batch.column(1)):
+        size += len(text.as_py() or "")
+        if size >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ROW.names)
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, model_words: int = MODEL_WORDS, listed: int = LISTED_WORDS, steps: int = STEPS) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, listed: int = LISTED_WORDS, steps: int = STEPS, slices: int = SLICES) -> DataFrame:
     """One row per row of ``df``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model and all counts come from the rows outside the held-out fold of the id. A null text
     counts as empty: its only token is the end. A null id is in no held-out fold. Repeated rows are
-    scored each, and train each. Without training rows all words are unknown and the model is uniform
-    over its events. A table without rows gives none.
+    scored each, and train each. Without training rows all words are unknown and their classes are equally likely. A table without rows gives none. Other columns
+    are not read.
     """
+    spark = df.sparkSession
     docs = df.select(col(df, id_col).cast("long").alias("doc_id"), col(df, text_col).cast("string").alias("text"))
     texts = docs.where(id_fold(F.col("doc_id"), folds) != held_fold).select("text")
     counts = checkpoint(word_counts(texts))
-    lex = lexicon(counts, model_words, listed)
-    table = train(context_counts(texts, lex), lex, steps)
-    scored = score_texts(docs, counts, lex, table)
+    lex = lexicon(counts, listed)
+    words = spark.sparkContext.broadcast(lex)
+    model, _ = train(texts, lex, words, steps, slices)
+    words.destroy()
+    shared = spark.sparkContext.broadcast((lex, model))
+    scored = score_texts(docs, counts, lex, shared, rare_norms(counts, shared))
     return scored.select(
         "doc_id", (id_fold(F.col("doc_id"), folds) == held_fold).alias("held_out"), "n_tokens", "n_known", F.lit(lex.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

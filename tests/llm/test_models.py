@@ -1,15 +1,12 @@
-"""Trained operators: licence scan, quality classifier, LM scoring."""
+"""Trained operators: licence scan, quality classifier."""
 
-import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
 
 from sparkloom.llm import license_scan as L
-from sparkloom.llm import lm_scoring as S
 from sparkloom.llm import quality as Q
 
 # --- licences
@@ -137,60 +134,3 @@ def test_quality_without_usable_labels(spark, make_docs):
     none = spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in Q.classify(make_docs((1, "a"), (2, None)), none).collect()] == [0.5, 0.5]
     assert Q.classify(make_docs((1, "a")).where("false"), none).count() == 0
-
-
-# --- language model
-
-
-def plain_tokens(text):
-    ascii_lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return re.findall(r"[^\x20\x09-\x0D]+", ascii_lower) + [None]
-
-
-def test_base_scores_against_plain_counting(make_docs, documents):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(5000, None), (5001, ""), (5002, "THE İ É the"), (5002, "THE İ É the"), (None, "of of"), (5003, "the " * 50_000)]
-    got = sorted(S.lm_scores(make_docs(*rows), model_words=100, listed=500, steps=4).collect(), key=lambda r: (r["doc_id"] or -1, r["n_tokens"]))
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-    c = Counter(t for i, x in rows if not held(i) for t in plain_tokens(x))
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(rows)
-    for r, (i, x) in zip(got, sorted(rows, key=lambda r: (r[0] or -1, len(plain_tokens(r[1])))), strict=True):
-        t = plain_tokens(x)
-        assert (r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i, held(i), len(t), sum(k in c for k in t), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[k] + 0.5) / (n + 0.5 * (v + 1))) for k in t))
-
-
-def test_model_beats_the_base_on_held_out_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    held = [r for r in S.lm_scores(docs).collect() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_the_stated_steps_fit_better_than_half_of_them(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    fit = {n: sum(r["score"] for r in S.lm_scores(docs, steps=n).collect() if r["held_out"]) for n in (16, S.STEPS)}
-    print("held-out log10 likelihood by steps", fit)
-    assert S.STEPS >= 30 and fit[S.STEPS] > fit[16]
-
-
-def test_probabilities_add_up_and_gradient_is_that_of_the_likelihood():
-    rng = np.random.default_rng(1)
-    m = S.MaxEnt(np.array([0, 0, 1, 1, 1, 2]))
-    m.weights = rng.normal(0, 0.5, m.weights.shape)
-    contexts = np.array([0, 5, 700, 4095])
-    a, b = m.log_probabilities(contexts)
-    assert np.exp(a[:, m.class_of] + b).sum(axis=1) == pytest.approx(np.ones(4))
-    counts = rng.integers(0, 5, (4, 6)).astype(float)
-    g, fit = m.gradient(contexts, counts)
-    for row in (0, 1, 1 + 5 // S.SKIP_BUCKETS):
-        for column in (0, 2, 4, 8):
-            m.weights[row, column] += 1e-6
-            assert (m.gradient(contexts, counts)[1] - fit) / 1e-6 == pytest.approx(g[row, column], abs=1e-3)
-            m.weights[row, column] -= 1e-6
-
-
-def test_lm_on_nothing(make_docs):
-    assert S.lm_scores(make_docs((1, "a")).where("false")).count() == 0
-    only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
-    r = S.lm_scores(make_docs((only_held, "a b"))).first()
-    assert (r["n_known"], r["train_tokens"], r["n_tokens"]) == (0, 0, 3) and math.isfinite(r["score"])
