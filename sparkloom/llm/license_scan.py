@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import col, text_or_empty
+from sparkloom.llm.common import col, fresh, text_or_empty
 
 # Names of licence families, and sentences of their notices.
 FAMILIES: dict[str, list[str]] = {
@@ -90,8 +90,8 @@ FEATURES = 1 << 12
 BACKGROUND = 2000
 CONFIRMED = 0.75
 NOTICE = 0.8
-#: Parts of words without which no template can be confirmed, and no notice that the model is fitted on is
-#: made: lines are joined only in texts that hold one.
+#: Parts of words, one of which every notice holds that the model is fitted on, and without which no template can be
+#: confirmed. A paragraph without any is no notice, by definition; the others are classified.
 HINTS = ["licen", "permi", "copyright", "software", "redistribut", "rights", "gpl", "mpl", "epl", "bsd", "apache", "under", "public", "document", "notice", "hereby", "source", "modif", "terms", "later", "general", "reserved", "written", "publication", "reproduced", "obtain", "compliance", "provided", "conditions", "binary", "associated", "substantial", "portions", "universal", "domain", "dedication", "distribute", "purpose"]
 HINT_WORDS = r"\b(?:cc0?|by\W+(?:nc|nd|sa)|creative|or\W+later)\b"
 #: Marks of comments at the ends of a line.
@@ -221,15 +221,17 @@ def hinted(text: Column) -> Column:
 
 def paragraphs_of(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but its text; ``paragraph`` and ``last``, the first and last line (from 0),
-    ``block``, ``whole`` and ``text``.
+    ``block``, ``whole`` and ``text``; only paragraphs that are :func:`hinted`.
 
     A block is a run of lines with letters or digits, so empty lines and bare comment marks end it. Each line
-    is a row; so are each block of several lines, and each two and three neighbouring lines of longer blocks, if
-    they are :func:`hinted`. Joined lines lose the marks of comments.
+    is a row; so are each block of several lines, and each two and three neighbouring lines of longer blocks.
+    Joined lines lose the marks of comments. Texts without a hint are not cut at all.
     """
     kept = [c for c in docs.columns if c != "text"]
-    cut = docs.select(*kept, F.split(text_or_empty(F.col("text")), "\n").alias("lines"), hinted(text_or_empty(F.col("text"))).alias("hinted"))
-    cut = cut.withColumn("plain", F.when((F.size("lines") > 1) & F.col("hinted"), F.transform("lines", lambda x: F.trim(F.regexp_replace(x, COMMENT_MARKS, "")))).otherwise(F.array().cast("array<string>")))
+    text = text_or_empty(F.col("text"))
+    cut = docs.where(hinted(text)).select(*kept, F.split(text, "\n").alias("lines"))
+    several = F.size("lines") > 1
+    cut = cut.withColumn("plain", F.when(several, F.transform("lines", lambda x: F.trim(F.regexp_replace(x, COMMENT_MARKS, "")))).otherwise(F.array().cast("array<string>")))
     cut = cut.withColumn("full", F.transform("plain", lambda x: x.rlike(r"[\p{L}\p{N}]")))
     n = F.size("plain")
     places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
@@ -237,37 +239,39 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
     def on(i: Column) -> Column:
         return F.coalesce(F.get("full", i - 1), F.lit(False))
 
+    # arrays are computed once, before the rows that use them: an explode keeps them from being moved
     cut = cut.withColumn("starts", F.filter(places, lambda i: on(i) & ~on(i - 1))).withColumn("ends", F.filter(places, lambda i: on(i) & ~on(i + 1)))
-    cut = cut.withColumn("blocks", F.filter(F.arrays_zip("starts", "ends"), lambda b: b["ends"] > b["starts"]))
+    cut = cut.select(*kept, "lines", "plain", F.explode_outer(F.array(F.filter(F.arrays_zip("starts", "ends"), lambda b: b["ends"] > b["starts"]))).alias("blocks"))
+    one = F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), i.alias("last"), F.lit(None).cast("int").alias("block"), F.lit(False).alias("whole"), x.alias("text")))
 
     def row(first: Column, last: Column, block: Column, whole: bool) -> Column:
-        text = F.array_join(F.slice("plain", first, last - first + 1), " ")
-        return F.struct((first - 1).alias("paragraph"), (last - 1).alias("last"), (block - 1).alias("block"), F.lit(whole).alias("whole"), text.alias("text"))
+        return F.struct((first - 1).alias("paragraph"), (last - 1).alias("last"), (block - 1).alias("block"), F.lit(whole).alias("whole"), F.array_join(F.slice("plain", first, last - first + 1), " ").alias("text"))
 
     def windows(size: int) -> Column:
         longer = F.filter("blocks", lambda b: b["ends"] - b["starts"] >= size)
         return F.flatten(F.transform(longer, lambda b: F.transform(F.sequence(b["starts"], b["ends"] - (size - 1)), lambda i: row(i, i + (size - 1), b["starts"], False))))
 
     whole = F.transform("blocks", lambda b: row(b["starts"], b["ends"], b["starts"], True))
-    # an outer explode, as others add a filter that computes the array once more, line by line
-    joined = cut.select(*kept, F.explode_outer(F.concat(whole, windows(2), windows(3))).alias("r")).where("r is not null").select(*kept, "r.*").where(hinted(F.col("text")))
-    lines = cut.select(*kept, "blocks", F.posexplode("lines").alias("paragraph", "text"))
-    block = F.get(F.filter("blocks", lambda b: (b["starts"] <= F.col("paragraph") + 1) & (b["ends"] > F.col("paragraph"))), F.lit(0))["starts"] - 1
-    lines = lines.select(*kept, "paragraph", F.col("paragraph").alias("last"), F.coalesce(block, "paragraph").alias("block"), F.lit(False).alias("whole"), "text")
-    return lines.unionByName(joined)
+    rows = cut.select(*kept, "blocks", F.explode_outer(F.concat(one, whole, windows(2), windows(3))).alias("r")).where(hinted(F.col("r.text")))
+    inside = F.get(F.filter("blocks", lambda b: (b["starts"] <= F.col("r.paragraph") + 1) & (b["ends"] > F.col("r.paragraph"))), F.lit(0))["starts"] - 1
+    return rows.select(*kept, "r.paragraph", "r.last", F.coalesce("r.block", inside, "r.paragraph").alias("block"), "r.whole", "r.text")
 
 
 def findings(docs: DataFrame, model: LicenseModel, confirmed: float = CONFIRMED) -> DataFrame:
     """One row per notice: the columns of ``docs`` but its text, ``paragraph`` and ``last`` (its lines, from
-    0), ``family``, ``predicted``, ``probability`` (of being a notice), ``similarity`` and ``text``.
+    0), ``family``, ``predicted``, ``probability`` (of being a notice), ``similarity`` and ``text``; ours are
+    lengthened by ``_`` where a column that stays has the name.
 
     A family's notice that no line of a block holds alone is the smallest and most similar run of lines that
     does, once a block. Lines within it that are confirmed for no family are parts of it. A whole block is
     an unknown notice only if nothing else is found in it.
     """
-    kept = [c for c in docs.columns if c != "text"]
+    columns = [c for c in docs.columns if c != "text"]
+    # in one column, so that their names meet none of ours
+    packed = docs.select(F.struct(*[col(docs, c) for c in columns]).alias("kept"), "text")
+    kept = ["kept"]
     mine = [*kept, "paragraph", "last", "block", "whole", "text"]
-    vectors = _hashed().transform(with_grams(paragraphs_of(docs)))
+    vectors = _hashed().transform(with_grams(paragraphs_of(packed)))
     raw = model.regression.transform(vectors).select(*mine, vector_to_array("rawPrediction").alias("raw"))
     # a filter is not moved below the explode, where it would score each paragraph several times
     raw = raw.select(*mine, F.explode(F.array("raw")).alias("raw"))
@@ -290,7 +294,10 @@ def findings(docs: DataFrame, model: LicenseModel, confirmed: float = CONFIRMED)
     inside = F.exists(wide, lambda w: (w["paragraph"] <= F.col("paragraph")) & (F.col("last") <= w["last"]))
     found = found.withColumn("inside", inside).where(known | ~one | ~F.col("inside"))
     found = found.withColumn("others", F.count_if(known | one).over(W.partitionBy(*in_block))).where(known | one | (F.col("others") == 0))
-    return found.select(*kept, "paragraph", "last", "family", "predicted", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "text")
+    own = {"paragraph": F.col("paragraph"), "last": F.col("last"), "family": F.col("family"), "predicted": F.col("predicted"), "probability": F.round("probability", 6), "similarity": F.round("similarity", 6)}
+    names = fresh(docs, *own)
+    made = F.struct(*[c.alias(n) for n, c in zip(names, own.values(), strict=True)], "text")
+    return found.select("kept", made.alias("made")).select("kept.*", "made.*")
 
 
 def scan(df: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text", most_background: int = BACKGROUND) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import col
+from sparkloom.llm.common import col, fresh
 from sparkloom.shipping import checkpoint
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -78,23 +78,27 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     Its other columns stay, followed by ``prompt, chosen, rejected`` (texts), ``chosen_spans,
     rejected_spans, prompt_turns`` and ``identical``.
 
-    Identical conversations have an empty completion each; without a common turn the prompt is empty.
+    Identical conversations have an empty completion each; without a common turn the prompt is empty. Where
+    a column that stays has one of these names, ours is lengthened by ``_``.
     """
     none = F.array().cast(f"array<{_TURN}>")
     kept = [c for c in pairs.columns if c not in ("chosen", "rejected")]
     a, b = F.coalesce(pairs["chosen"], none), F.coalesce(pairs["rejected"], none)
-    cut = pairs.select(*[col(pairs, c) for c in kept], a.alias("a"), b.alias("b")).withColumn("k", common_turns(F.col("a"), F.col("b")))
-    parts = cut.select(*[f"`{c}`" for c in kept], "k", F.slice("a", F.lit(1), F.col("k")).alias("p"), _after(F.col("a"), F.col("k")).alias("a"), _after(F.col("b"), F.col("k")).alias("b"))
-    return parts.select(
-        *[f"`{c}`" for c in kept],
-        render(F.col("p")).alias("prompt"),
-        render(F.col("a")).alias("chosen"),
-        render(F.col("b")).alias("rejected"),
-        trained_spans(F.col("a")).alias("chosen_spans"),
-        trained_spans(F.col("b")).alias("rejected_spans"),
-        F.col("k").alias("prompt_turns"),
-        ((F.size("a") == 0) & (F.size("b") == 0)).alias("identical"),
-    )
+    whole = F.struct(*[col(pairs, c) for c in kept]) if kept else F.struct(F.lit(0))
+    cut = pairs.select(whole.alias("row"), a.alias("a"), b.alias("b")).withColumn("k", common_turns(F.col("a"), F.col("b")))
+    parts = cut.select("row", "k", F.slice("a", F.lit(1), F.col("k")).alias("p"), _after(F.col("a"), F.col("k")).alias("a"), _after(F.col("b"), F.col("k")).alias("b"))
+    made = {
+        "prompt": render(F.col("p")),
+        "chosen": render(F.col("a")),
+        "rejected": render(F.col("b")),
+        "chosen_spans": trained_spans(F.col("a")),
+        "rejected_spans": trained_spans(F.col("b")),
+        "prompt_turns": F.col("k"),
+        "identical": (F.size("a") == 0) & (F.size("b") == 0),
+    }
+    names = fresh(pairs.select(*[col(pairs, c) for c in kept]), *made)
+    both = parts.select("row", F.struct(*[c.alias(n) for n, c in zip(names, made.values(), strict=True)]).alias("made"))
+    return both.select(*(["row.*"] if kept else []), "made.*")
 
 
 def degraded(turns: Column) -> Column:
