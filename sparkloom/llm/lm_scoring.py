@@ -163,7 +163,7 @@ def train(texts: DataFrame, lex: Lexicon, shared, steps: int = STEPS, slices: in
     own = maxent.cluster_words(maxent.neighbour_counts(whole, n, lex.end))
     classes = maxent.make_classes(list(lex.rank), lex.counts, lex.end, own)
     tables = maxent.word_tables(whole, classes)
-    pairs = maxent.word_pairs(whole, classes, tables)
+    pairs = maxent.word_pairs(encoded.select("places"), classes, tables)
     counts = maxent.class_counts(whole, classes, maxent.ClassModel(classes))
     model, fits = maxent.train_classes(part, steps, 1 / slices, classes, counts)
     return maxent.Model(classes, model.weights, tables, pairs), fits

@@ -32,13 +32,14 @@ from sparkloom.shipping import checkpoint
 CODE_BITS = 10
 CODES = 1 << 2 * CODE_BITS
 CLUSTERS = 16
-CLASSES = 40
+CLASSES = 24
 DIMS = 64
 WORD_ROWS = 4096
 SKIP_ROWS = 1024
 PAIR_ROWS = 4096
 PAIRS = 1 << 19
-LEAST_PAIR = 1
+#: Features (by their place in ClassModel.features) that a step moves, in turn, and how far.
+TURNS = (((2, 4), 0.2), ((0,), 0.5), ((1, 3), 0.4))
 LEAST_GAIN = 2.0
 DISCOUNT = 0.75
 CHUNK = 1 << 13
@@ -312,30 +313,32 @@ def start_weights(counts: np.ndarray, first: np.ndarray, smooth: float = 8.0) ->
     return weights.astype(np.float32)
 
 
-def train_classes(slices: Callable[[int], DataFrame], steps: int, share: float, classes: Classes, counts: np.ndarray, rate: float = 0.12, prior: float = 4.0) -> tuple[ClassModel, list[float]]:
+def train_classes(slices: Callable[[int], DataFrame], steps: int, share: float, classes: Classes, counts: np.ndarray, prior: float = 4.0) -> tuple[ClassModel, list[float]]:
     """The model after ``steps`` steps; step s takes the gradient over all texts of ``slices(s)``, which are about
-    ``share`` of all. A weight's step is scaled by its curvature, which about equals the count of its
-    feature and class, and by ``prior`` more, so rare features move little. Also the mean log
-    likelihood of each step's texts before it."""
+    ``share`` of all, and moves the weights of one of TURNS. A weight's step is scaled by its curvature,
+    which about equals the count of its feature and class, and by ``prior`` more, so rare features
+    move little. Also the mean log likelihood of each step's texts before it."""
     model = ClassModel(classes)
     model.weights = start_weights(counts, model.first)
     sizes = [*model.blocks(), 2]
     curvature = (counts * share + prior).astype(np.float32)
     fits = []
     for step in range(steps):
+        which, rate = TURNS[step % len(TURNS)]
         texts = slices(step)
         shared = texts.sparkSession.sparkContext.broadcast((classes, model.weights))
-        sums = _gather(sum_blocks(texts.mapInArrow(_gradient(shared, sizes), _PART), "<f4"), sizes)
+        sums = _gather(sum_blocks(texts.mapInArrow(_gradient(shared, sizes, which), _PART), "<f4"), sizes)
         shared.destroy()  # the driver keeps nothing of a step that is done
         n, fit = sums[-2:]
         fits.append(float(fit / max(1.0, n)))
         g = sums[:-2].reshape(model.weights.shape)
-        model.marginals(g)
+        if 2 in which:
+            model.marginals(g)
         model.weights += (rate * min(1.0, 2 * (1 - step / steps)) * g / curvature).astype(np.float32)
     return model, fits
 
 
-def _gradient(shared, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _gradient(shared, sizes: list[int], which: tuple[int, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, weights = shared.value
         model = ClassModel(c)
@@ -343,8 +346,8 @@ def _gradient(shared, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]],
         total, n, fit = np.zeros(weights.shape, np.float32), 0, 0.0
         for words, *before in chunks_of(batches, c.end):
             g, f = gradient(model, c, words, before)
-            for at, rows in g:
-                _add_rows(total, at, rows)
+            for k in which:
+                _add_rows(total, *g[k])
             n, fit = n + len(words), fit + f
         yield from _parts([*np.split(total.reshape(-1), np.cumsum(sizes[:-1])[:-1]), np.array([n, fit], np.float32)])
 
@@ -437,8 +440,7 @@ class Pairs:
 
 
 def word_pairs(encoded: DataFrame, classes: Classes, tables: np.ndarray, most: int = PAIRS) -> Pairs:
-    """Pairs of listed words that occur at least LEAST_PAIR times and whose share in the texts gains LEAST_GAIN
-    in log likelihood over the tables'; where more than ``most`` do, those of the largest gains (a bound on
+    """Pairs of listed words whose share in the texts gains LEAST_GAIN in log likelihood over the tables'; where more than ``most`` do, those of the largest gains (a bound on
     the model's size). Counts cover all texts."""
     shared = encoded.sparkSession.sparkContext.broadcast((classes, tables))
 
@@ -462,8 +464,7 @@ def word_pairs(encoded: DataFrame, classes: Classes, tables: np.ndarray, most: i
         return pa.RecordBatch.from_arrays([pa.array(head), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["head", "word", "n"])
 
     counted = encoded.mapInArrow(count, "head long, word int, n long").groupBy("head", "word").agg(F.sum("n").alias("n"))
-    many = F.col("n") >= LEAST_PAIR
-    by_head = counted.groupBy("head").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.when(many, F.struct("word", "n")))).alias("found")).where(F.size("found") > 0)
+    by_head = counted.groupBy("head").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("word", "n"))).alias("found"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, tables = shared.value
