@@ -83,6 +83,9 @@ _TOPK = """
 _COSINE = "CASE WHEN list_inner_product(q.v, q.v) = 0 OR list_inner_product(c.v, c.v) = 0 THEN 1.0 ELSE list_cosine_distance(q.v, c.v) END"
 
 ORACLE_SQL = {
+    "ann_levels": """
+        WITH u AS (SELECT (('0x' || substr(md5('0:' || vec_id), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u FROM embeddings)
+        SELECT floor(-ln(u) / ln(16.0::DOUBLE))::INT AS level, count(*) AS n FROM u GROUP BY 1""",
     "knn_cosine_topk": _TOPK.format(distance=_COSINE),
     "knn_euclidean_topk": _TOPK.format(distance="list_distance(q.v, c.v)"),
     "vector_norms": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
