@@ -121,11 +121,12 @@ def token_pieces(df: DataFrame, tokenizer_path: str, seq_len: int = SEQ_LEN, end
     return df.select(col(df, id_col).cast("long"), col(df, text_col).cast("string")).mapInArrow(pieces, PIECES)
 
 
-def enumerate_patterns(lengths: list[int], seq_len: int, most: int = 40_000) -> list[tuple[int, ...]]:
-    """Patterns of one to four documents, and repeats of one length, that leave little room.
+def enumerate_patterns(lengths: list[int], seq_len: int, most: int = 40_000, fill: float = 0.98) -> list[tuple[int, ...]]:
+    """Patterns of one to four documents, and repeats of one length, that fill at least ``fill`` of a sequence.
 
-    Singles and pairs are complete up to the best partner; triples and quadruples take, for a grid of
-    first lengths, the longest last document that still fits.
+    Singles and pairs are complete up to the best partner; of triples and quadruples, ``most`` drawn
+    choices each of the first lengths get the longest last document that still fits. What the
+    patterns lack is left to the residuals.
     """
     have = np.array(sorted(lengths))
     longest = np.full(seq_len + 1, -1)  # the longest length that fits a room
@@ -134,7 +135,7 @@ def enumerate_patterns(lengths: list[int], seq_len: int, most: int = 40_000) ->
     found: set[tuple[int, ...]] = set()
 
     def add(*p: int) -> None:
-        if p[-1] > 0 and sum(p) >= 0.98 * seq_len:
+        if p[-1] > 0 and sum(p) >= fill * seq_len:
             found.add(tuple(sorted(p, reverse=True)))
 
     for a in map(int, have):
@@ -176,6 +177,25 @@ def fit_counts(patterns: list[tuple[int, ...]], histogram: np.ndarray, sweeps: i
     return x
 
 
+def round_counts(patterns: list[tuple[int, ...]], fitted: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Whole counts near the fitted ones, which ``rest``, the documents left of each length, allows; it is
+    lowered by them. Whole parts come first; then each pattern, the largest remainders first, once more
+    while its documents last. So a fit that spreads over many patterns is not rounded away."""
+    out = np.zeros(len(patterns), np.int64)
+    columns = [np.unique(p, return_counts=True) for p in patterns]
+    whole = np.floor(fitted + 1e-9).astype(np.int64)
+    for j in np.argsort(-whole, kind="stable"):
+        lengths, times = columns[j]
+        out[j] = n = max(0, int(min(whole[j], (rest[lengths] // times).min())))
+        rest[lengths] -= n * times
+    for j in np.argsort(whole - fitted, kind="stable"):
+        lengths, times = columns[j]
+        if fitted[j] > whole[j] + 1e-9 and (rest[lengths] >= times).all():
+            out[j] += 1
+            rest[lengths] -= times
+    return out
+
+
 def best_fit_patterns(histogram: np.ndarray, seq_len: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit decreasing on a histogram: each sequence starts with the longest document left and takes
     the longest that fits; equal sequences are made at once. Each step uses up a length."""
@@ -212,13 +232,8 @@ def plan_slots(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> tuple[dict[
     rest = h.copy()
     plan: list[tuple[tuple[int, ...], int]] = []
     patterns = enumerate_patterns([int(x) for x in np.flatnonzero(h)], seq_len) if h.any() else []
-    counts = np.floor(fit_counts(patterns, h) + 1e-9).astype(np.int64)
-    for j in np.argsort(-counts, kind="stable"):
-        lengths, times = np.unique(patterns[j], return_counts=True)
-        n = int(min(counts[j], (rest[lengths] // times).min()))
-        if n > 0:
-            rest[lengths] -= n * times
-            plan.append((patterns[j], n))
+    rounded = round_counts(patterns, fit_counts(patterns, h), rest)
+    plan += [(patterns[j], int(rounded[j])) for j in np.argsort(-rounded, kind="stable") if rounded[j]]
     plan += best_fit_patterns(rest, seq_len)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     used: dict[int, int] = {}

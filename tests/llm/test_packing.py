@@ -101,3 +101,19 @@ def test_least_squares_recovers_repeat_counts():
         for x in p:
             h[x] += n
     assert np.allclose(packing.fit_counts(patterns, h, sweeps=500), (5, 8, 3, 6), atol=0.3)
+
+
+def test_the_fit_places_most_pieces():
+    """Of a histogram with many lengths the rounded patterns take most documents, and no more than there are."""
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(2047, rng.lognormal(5.5, 1.0, 8000).astype(int) + 2)
+    h = np.bincount(lengths, minlength=2049)
+    patterns = packing.enumerate_patterns([int(x) for x in np.flatnonzero(h)], 2048)
+    rest = h.copy()
+    counts = packing.round_counts(patterns, packing.fit_counts(patterns, h), rest)
+    used = np.zeros_like(h)
+    for j in np.flatnonzero(counts):
+        np.add.at(used, list(patterns[j]), counts[j])
+    assert (used + rest == h).all() and (rest >= 0).all()
+    assert used.sum() > 0.6 * h.sum()
+    assert packing.plan_slots({int(x): int(n) for x, n in enumerate(h) if n})[1] <= -(-int((h * np.arange(2049)).sum()) // 2048) + 1
