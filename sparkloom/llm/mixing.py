@@ -10,6 +10,8 @@ documents of a source by size, so that rounding errors cancel.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,6 +112,8 @@ def balance(grouped: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         state = step.drop("done")
         if step.where(~F.col("done")).isEmpty():
             break
+    else:
+        warnings.warn(f"targets were not met to {tolerance} after {MAX_STEPS} Newton steps", stacklevel=2)
     return state.select("skey", "source_size", "target", "tilt")
 
 

@@ -169,19 +169,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, folds: int, held_fold: int) -> DataFrame:
     """(doc_id, text, y) of at most ``max_labelled`` labelled documents outside the held-out fold, those
-    whose hashed id is smallest. Labels of a repeated id are averaged (half: 1); null labels do not count.
-    The chosen ids, bounded by the parameter, are broadcast."""
+    whose hashed id is smallest. Labels of a repeated id are averaged (half: 1), and of its rows the one whose
+    text has the smallest hash counts; null labels do not. The chosen ids, bounded by the parameter,
+    are broadcast."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("q")).where(
         F.col("doc_id").isNotNull() & F.col("q").isNotNull() & (id_fold(F.col("doc_id"), folds) != held_fold)
     )
     one = usable.groupBy("doc_id").agg((F.avg("q") >= 0.5).cast("int").alias("y"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"))).alias("t"))
+    return found.select("doc_id", "t.text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, folds: int = 3, held_fold: int = 1) -> Model:
-    """Features are computed by the executors; the driver gets those of ``max_labelled`` rows at most
-    (of a repeated id, of each of its rows)."""
+    """Features are computed by the executors; the driver gets those of ``max_labelled`` rows at most."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = featurizer()
@@ -197,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                     names=["doc_id", "y", "i", "w", "s"],
                 )
 
-    found = labelled_rows(docs, labels, max_labelled, folds, held_fold).mapInArrow(features, "doc_id long, y int, i binary, w binary, s binary").limit(2 * max_labelled).collect()
+    found = labelled_rows(docs, labels, max_labelled, folds, held_fold).mapInArrow(features, "doc_id long, y int, i binary, w binary, s binary").collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["i"])))
     rows = [(np.frombuffer(r["i"], "<u4").astype(np.int64), np.frombuffer(r["w"], "<f4").astype(float), np.frombuffer(r["s"], "<f8")) for r in found]
     return fit(rows, np.array([r["y"] for r in found], float))
