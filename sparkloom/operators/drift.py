@@ -163,6 +163,7 @@ def retrain_decision(summarised: DataFrame, n_labelled: int, fraction: float = R
     decision = F.when(~above, "no_action").when(F.lit(n_labelled < rows), "insufficient_labels").otherwise("retrain")
     share = F.format_string("%.2f", "fraction")
     counted = F.concat(F.col("n_significant").cast("string"), F.lit("/"), F.col("n_checked").cast("string"))
+    # The wording of the reasons.
     quiet = F.concat(F.lit("No retrain: "), counted, F.lit(" features significant (fraction "), share, F.lit(f" <= {fraction:.2f})"))
     few = F.concat(F.lit("Drift threshold exceeded (fraction "), share, F.lit(f" > {fraction:.2f}) but only {n_labelled} labelled rows available (need {rows}); retrain skipped"))
     done = F.concat(F.lit("Auto-retrain: "), counted, F.lit(" features significantly drifted (fraction "), share, F.lit(f" > threshold {fraction:.2f}); retrained on {n_labelled} recent production rows"))
