@@ -215,7 +215,11 @@ def template_similarity(mine: Column, family: Column | None = None) -> Column:
 
 
 def hinted(text: Column) -> Column:
-    low = F.lower(text)
+    return hinted_lower(F.lower(text))
+
+
+def hinted_lower(low: Column) -> Column:
+    """:func:`hinted` of a text in lower case; that should be a column of its own, as it is used many times."""
     return reduce(lambda a, h: a | low.contains(h), HINTS[1:], low.contains(HINTS[0])) | low.rlike(HINT_WORDS)
 
 
@@ -229,7 +233,9 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
     """
     kept = [c for c in docs.columns if c != "text"]
     text = text_or_empty(F.col("text"))
-    cut = docs.where(hinted(text)).select(*kept, F.split(text, "\n").alias("lines"))
+    # an explode keeps the lower-case text from being computed for each hint
+    lower = docs.select(*kept, text.alias("text"), F.explode(F.array(F.lower(text))).alias("low"))
+    cut = lower.where(hinted_lower(F.col("low"))).select(*kept, F.split("text", "\n").alias("lines"))
     several = F.size("lines") > 1
     cut = cut.withColumn("plain", F.when(several, F.transform("lines", lambda x: F.trim(F.regexp_replace(x, COMMENT_MARKS, "")))).otherwise(F.array().cast("array<string>")))
     cut = cut.withColumn("full", F.transform("plain", lambda x: x.rlike(r"[\p{L}\p{N}]")))
@@ -252,7 +258,8 @@ def paragraphs_of(docs: DataFrame) -> DataFrame:
         return F.flatten(F.transform(longer, lambda b: F.transform(F.sequence(b["starts"], b["ends"] - (size - 1)), lambda i: row(i, i + (size - 1), b["starts"], False))))
 
     whole = F.transform("blocks", lambda b: row(b["starts"], b["ends"], b["starts"], True))
-    rows = cut.select(*kept, "blocks", F.explode_outer(F.concat(one, whole, windows(2), windows(3))).alias("r")).where(hinted(F.col("r.text")))
+    rows = cut.select(*kept, "blocks", F.explode_outer(F.concat(one, whole, windows(2), windows(3))).alias("r"))
+    rows = rows.withColumn("low", F.explode(F.array(F.lower("r.text")))).where(hinted_lower(F.col("low")))
     inside = F.get(F.filter("blocks", lambda b: (b["starts"] <= F.col("r.paragraph") + 1) & (b["ends"] > F.col("r.paragraph"))), F.lit(0))["starts"] - 1
     return rows.select(*kept, "r.paragraph", "r.last", F.coalesce("r.block", inside, "r.paragraph").alias("block"), "r.whole", "r.text")
 
