@@ -14,13 +14,13 @@ words beyond the broadcast list come from a join.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,17 +235,17 @@ def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared, norms:
                 base = np.bincount(owner[listed], logs[places[listed]], n)
                 known = np.bincount(owner[listed], seen[places[listed]], n).astype(int)
                 score = np.bincount(owner, scores, n)
-                rare: list[dict[bytes, int]] = [{} for _ in texts]
-                for i in np.flatnonzero(~listed).tolist():
-                    mine, w = rare[owner[i]], flat[i]
-                    mine[w] = mine.get(w, 0) + 1
-                out: list[tuple] = []
-                for i, doc_id in enumerate(part.column(0).to_pylist()):
-                    h = xxhash.xxh64_intdigest((texts[i] or "").encode("utf-8", "replace")) >> 1
-                    # a key of its own, which no word equals, keeps these rows from meeting in one task
-                    out.append((doc_id, h, b"\n%d %d" % (h, doc_id or 0), 0, sizes[i], int(known[i]), float(base[i]), float(score[i])))
-                    out.extend((doc_id, h, w, tf, None, None, None, None) for w, tf in rare[i].items())
-                yield _arrow(out)
+                ids = part.column(0).to_pylist()
+                hashes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace")) >> 1 for t in texts]
+                # a key of its own, which no word equals, keeps these rows from meeting in one task
+                own = [b"\n%d %d" % (h, i or 0) for h, i in zip(hashes, ids, strict=True)]
+                yield _rows(ids, hashes, own, [0] * n, pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score))
+                at = np.flatnonzero(~listed)
+                rare = Counter(zip(owner[at].tolist(), map(flat.__getitem__, at.tolist()), strict=True))
+                if rare:
+                    who = [i for i, _ in rare]
+                    none = [pa.nulls(len(who), pa.int64())] * 2 + [pa.nulls(len(who), pa.float64())] * 2
+                    yield _rows([ids[i] for i in who], [hashes[i] for i in who], [w for _, w in rare], list(rare.values()), *none)
 
     rows = docs.mapInArrow(run, _ROW)
     joined = rows.join(counts.where(F.col("c") > 0).select("word", "c"), "word", "left")
@@ -289,9 +289,8 @@ def _by_size(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start)
 
 
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ROW.names)
+def _rows(ids: list[int | None], hashes: list[int], words: list[bytes], tf: list[int], *more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), *more], names=_ROW.names)
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, listed: int = LISTED_WORDS, steps: int = STEPS, slices: int = SLICES) -> DataFrame:

@@ -259,13 +259,19 @@ class ClassModel:
         sums[self.first[5] : self.first[6]], sums[self.first[6] : self.first[7]] = pairs.sum(1), pairs.sum(0)
         sums[0] = pairs.sum((0, 1))
 
-    def log_probabilities(self, features: list[np.ndarray]) -> np.ndarray:
-        raw = np.take(self.weights, features[0], axis=0)
+    def summed(self) -> np.ndarray:
+        """The weights, but in the rows of pairs of classes the sums with the rows of both and the bias."""
+        n, out = self.count, self.weights.copy()
+        pairs = out[self.first[2] : self.first[3]].reshape(n, n, n)
+        pairs += self.weights[self.first[5] : self.first[6]][:, None] + self.weights[self.first[6] : self.first[7]][None, :] + self.weights[0]
+        return out
+
+    def log_probabilities(self, features: list[np.ndarray], summed: np.ndarray) -> np.ndarray:
+        raw = np.take(summed, features[0], axis=0)
         more = np.empty_like(raw)
-        for f in features[1:]:
-            np.take(self.weights, f, axis=0, out=more, mode="clip")
+        for f in features[1:-2]:
+            np.take(summed, f, axis=0, out=more, mode="clip")
             raw += more
-        raw += self.weights[0]
         # weights are log ratios of shares, so powers are far from the limits of floats
         raw -= np.log(np.exp(raw, out=more).sum(axis=1, keepdims=True))
         return raw
@@ -292,8 +298,7 @@ def class_counts(encoded: DataFrame, classes: Classes, model: ClassModel) -> np.
         total = np.zeros(m.rows * m.count, np.int32)
         for words, w1, w2, w3 in chunks_of(batches, c.end):
             said = c.of[words].astype(np.int64)
-            for f in m.features(c.of, w1, w2, w3)[:-2]:
-                np.add.at(total, f * m.count + said, 1)
+            total += np.bincount(np.concatenate([f * m.count + said for f in m.features(c.of, w1, w2, w3)[:-2]]), minlength=len(total)).astype(np.int32)
         yield from _parts(np.split(total, np.cumsum(sizes)[:-1]))
 
     out = _gather(sum_blocks(encoded.mapInArrow(count, _PART), "<i4"), sizes).reshape(model.rows, model.count)
@@ -343,9 +348,9 @@ def _gradient(shared, sizes: list[int], which: tuple[int, ...]) -> Callable[[Ite
         c, weights = shared.value
         model = ClassModel(c)
         model.weights = weights
-        total, n, fit = np.zeros(weights.shape, np.float32), 0, 0.0
+        total, n, fit, summed = np.zeros(weights.shape, np.float32), 0, 0.0, model.summed()
         for words, *before in chunks_of(batches, c.end):
-            g, f = gradient(model, c, words, before)
+            g, f = gradient(model, c, words, before, summed)
             for k in which:
                 _add_rows(total, *g[k])
             n, fit = n + len(words), fit + f
@@ -354,12 +359,12 @@ def _gradient(shared, sizes: list[int], which: tuple[int, ...]) -> Callable[[Ite
     return run
 
 
-def gradient(model: ClassModel, classes: Classes, words: np.ndarray, before: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
+def gradient(model: ClassModel, classes: Classes, words: np.ndarray, before: list[np.ndarray], summed: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
     """Pairs (rows, observed - expected) to be added up, the bias and single classes left to
     :meth:`ClassModel.marginals`, and the log likelihood of the words' classes."""
     said = classes.of[words].astype(np.int64)
     features = model.features(classes.of, *before)
-    log_p = model.log_probabilities(features)
+    log_p = model.log_probabilities(features, summed)
     each = np.arange(len(words))
     fit = float(log_p[each, said].sum(dtype=np.float64))
     error = -np.exp(log_p)
@@ -531,21 +536,21 @@ class Model:
         c = self.classes
         model = ClassModel(c)
         model.weights = self.weights
-        out = np.zeros(len(words))
+        out, summed = np.zeros(len(words)), model.summed()
         said = c.of[words].astype(np.int64)
         for at in range(0, len(words), CHUNK):
             part = slice(at, at + CHUNK)
-            log_p = model.log_probabilities(model.features(c.of, *(b[part] for b in before)))
+            log_p = model.log_probabilities(model.features(c.of, *(b[part] for b in before)), summed)
             out[part] = log_p[np.arange(len(log_p)), said[part]] / np.log(10)
         some = np.flatnonzero(words < c.n)
         w, w1 = words[some], before[0][some].astype(np.int64)
         value = self.tables[c.cluster[w1], w].astype(np.float64)
         p = self.pairs
         if len(p.keys):
-            listed = w1 < c.n
-            head = w1 << 32
-            value += np.where(listed, _looked_up(p.heads, p.rests, head | said[some], 0.0), 0.0)
-            value = np.where(listed, _looked_up(p.keys, p.values, head | w.astype(np.int64), value), value)
+            at = np.flatnonzero(w1 < c.n)
+            head = w1[at] << 32
+            value[at] += _looked_up(p.heads, p.rests, head | said[some[at]], 0.0)
+            value[at] = _looked_up(p.keys, p.values, head | w[at].astype(np.int64), value[at])
         out[some] += value
         return out
 

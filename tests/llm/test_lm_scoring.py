@@ -125,9 +125,9 @@ def test_gradient_is_that_of_the_likelihood(trained):
     m.weights = model.weights.astype(np.float64)
 
     def fit():
-        return M.gradient(m, c, words, before)[1]
+        return M.gradient(m, c, words, before, m.summed())[1]
 
-    parts, at = M.gradient(m, c, words, before)
+    parts, at = M.gradient(m, c, words, before, m.summed())
     total = np.zeros(m.weights.shape)
     for rows, error in parts:
         M._add_rows(total, rows, error)
