@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, license_scan, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
+from sparkloom.llm import exact_dedup, lexical_search, license_scan, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
 from sparkloom.shipping import ship
 
 
@@ -72,6 +72,10 @@ def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_pairs(table(spark, sf_dir, "conversations"))
 
 
+def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_tiff": op2_tiff,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_maximum_entropy": op8_maximum_entropy,
     "op9_entropy_balancing": op9_entropy_balancing,
+    "op12_nra_search": op12_nra_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -93,4 +98,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op12_nra_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents),
+        q AS (
+            SELECT item_id, t, count(*) AS q
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+            GROUP BY ALL),
+        c AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d),
+        p AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+        w AS (
+            SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+            FROM (SELECT t, count(*) AS df FROM p WHERE t IN (SELECT t FROM q) GROUP BY t), c),
+        s AS (
+            SELECT item_id, row, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM q JOIN w USING (t) JOIN p USING (t), c GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
 }
