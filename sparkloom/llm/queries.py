@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import exact_dedup, lexical_search, license_scan, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
+from sparkloom.llm import conversation_repair, exact_dedup, lexical_search, license_scan, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
 from sparkloom.shipping import ship
 
 
@@ -76,6 +76,10 @@ def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_tiff": op2_tiff,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maximum_entropy": op8_maximum_entropy,
     "op9_entropy_balancing": op9_entropy_balancing,
     "op12_nra_search": op12_nra_search,
+    "op13_auction_repair": op13_auction_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
