@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import conversation_repair, exact_dedup, lexical_search, license_scan, lm_scoring, mixing, near_dedup, packing, preference, quality, text_media, url_templates
+from sparkloom.llm import conversation_repair, exact_dedup, lexical_search, license_scan, lm_scoring, mixing, near_dedup, packing, pivot_index, preference, quality, text_media, url_templates
 from sparkloom.shipping import ship
 
 
@@ -72,6 +72,10 @@ def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.preference_pairs(table(spark, sf_dir, "conversations"))
 
 
+def op11_pivot_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op12_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_factorisation_machine": op7_factorisation_machine,
     "op8_maximum_entropy": op8_maximum_entropy,
     "op9_entropy_balancing": op9_entropy_balancing,
+    "op11_pivot_permutations": op11_pivot_permutations,
     "op12_nra_search": op12_nra_search,
     "op13_auction_repair": op13_auction_repair,
 }
@@ -103,6 +108,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_pivot_permutations": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        r(node, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a),
+        c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings e JOIN c ON e.vec_id = c.node LEFT JOIN n ON e.vec_id = n.a""",
     "op12_nra_search": r"""
         WITH d AS (
             SELECT row_number() OVER () AS row, doc_id,
