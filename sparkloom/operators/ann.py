@@ -1,41 +1,18 @@
-"""A layered neighbour graph and searches over it for batches of queries.
-
-The build does not depend on an order of insertion. Centres fitted on a bounded sample cut the vectors
-into cells, and each vector joins its nearest few. Cells that are too large are cut further, twice and
-independently, by the sides of hashed planes through their centres on which vectors lie, so neighbours stay
-together; what is still too large (equal vectors, mostly) at random. Within a piece each vector is linked to
-close but diverse ones. Links of all pieces are merged, made symmetric and trimmed. Upper layers hold the nodes
-of upper levels and are built alike. A search starts from the few nodes of the top layer, and walks down the
-layers for all queries at once, a join a hop.
-"""
+"""Levels and cells of approximate search; the graphs themselves are in :mod:`graph_index`."""
 
 from __future__ import annotations
 
 import math
-import time
-from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions.draws import digest_number
-from sparkloom.functions.vectors import distance
-from sparkloom.operators.knn import DIGITS, distances, knn, matrix, recall
-from sparkloom.shipping import checkpoint
 
 SAMPLE = 20_000
-PIECE_ROWS = 2_000
-SPREAD = 3
-CELLS = 4096
-PLANES = 24
-#: The top layer is the lowest one of at most so many nodes; it is compared with all queries.
-TOP_ROWS = 2048
 
 
 def levels(ids: DataFrame, m: int = 16, seed: int = 0) -> DataFrame:
@@ -52,169 +29,3 @@ def centres(corpus: DataFrame, n_cells: int, sample: int = SAMPLE, seed: int = 0
         return np.zeros((1, corpus.select(F.size("v")).first()[0]))
     some = corpus.orderBy(F.xxhash64("vec_id")).limit(sample).select(array_to_vector("v").alias("features"))
     return np.array(KMeans(k=n_cells, seed=seed, maxIter=10, initMode="random").fit(some).clusterCenters())
-
-
-def assign(corpus: DataFrame, cells: np.ndarray, spread: int, metric: str, seed: int = 0) -> DataFrame:
-    """(vec_id, v, cell, code0, code1), a row for each of a vector's ``spread`` nearest cells. The codes' bits
-    are sides of planes through the cell's centre, PLANES of them each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).normal(size=(2 * PLANES, cells.shape[1]))
-        powers = 1 << np.arange(PLANES)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                v = matrix(part.column(1))
-                near = np.argsort(distances(v, cells, metric), axis=1, kind="stable")[:, :spread]
-                rows = np.repeat(np.arange(part.num_rows), near.shape[1])
-                sides = (v[rows] - cells[near.reshape(-1)]) @ planes.T > 0
-                codes = [pa.array((sides[:, k * PLANES : (k + 1) * PLANES] @ powers).astype(np.int32)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows)).columns, pa.array(near.reshape(-1).astype(np.int32)), *codes], names=["vec_id", "v", "cell", "code0", "code1"])
-
-    return corpus.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, cell int, code0 int, code1 int")
-
-
-def cut(placed: DataFrame, most: int) -> DataFrame:
-    """``placed`` as :func:`assign` gives it, as rows (vec_id, v, cell, table, code, piece) of pieces of about ``most``
-    rows; vectors of cells that are cut come twice."""
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))  # at most CELLS rows
-    mask = (F.pow(F.lit(2.0), F.least(F.greatest(F.ceil(F.log2(F.col("n") / most)), F.lit(0)), F.lit(PLANES))) - 1).cast("int")
-    masked = placed.join(F.broadcast(sizes.select("cell", mask.alias("mask"))), "cell")
-    tables = [F.struct(F.lit(k).alias("table"), F.col(f"code{k}").bitwiseAND(F.col("mask")).alias("code")) for k in (0, 1)]
-    each = masked.select("vec_id", "v", "cell", F.explode(F.when(F.col("mask") > 0, F.array(*tables)).otherwise(F.array(tables[0]))).alias("t")).select("vec_id", "v", "cell", "t.*")
-    key = ["cell", "table", "code"]
-    pieces = checkpoint(each.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("pieces")))
-    return each.join(pieces, key).withColumn("piece", F.pmod(F.xxhash64("vec_id", "cell"), F.col("pieces")))
-
-
-def _diverse(d: np.ndarray, own: np.ndarray, m: int) -> list[int]:
-    """Of candidates by ascending distance ``own`` to a node, those closer to it than to any kept one; then
-    the nearest others up to m. ``d`` are the candidates' distances among each other."""
-    kept: list[int] = []
-    for i in range(len(own)):
-        if len(kept) == m:
-            break
-        if not kept or own[i] < d[i, kept].min():
-            kept.append(i)
-    return kept + [i for i in range(len(own)) if i not in kept][: m - len(kept)]
-
-
-def graph(corpus: DataFrame, m: int = 16, metric: str = "cosine", n_cells: int | None = None, spread: int = SPREAD, seed: int = 0) -> DataFrame:
-    """Symmetric edges (src, dst, dist), at most 2 m a node after trimming."""
-    if m < 2:
-        raise ValueError("m must be at least 2")
-    n = corpus.count()
-    n_cells = n_cells or max(1, min(CELLS, n // 500))
-    placed = checkpoint(assign(corpus, centres(corpus, n_cells, seed=seed), min(spread, n_cells), metric, seed))
-    salted = cut(placed, PIECE_ROWS)
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, v = rows["vec_id"].to_numpy(), np.stack(rows["v"].to_numpy())
-        d = distances(v, v, metric)
-        np.fill_diagonal(d, np.inf)
-        out = []
-        for i in range(len(ids)):
-            near = np.lexsort((ids, d[i]))[: min(3 * m, len(ids) - 1)]
-            for j in near[_diverse(d[np.ix_(near, near)], d[i, near], m)]:
-                out.append((ids[i], ids[j], d[i, j]))
-        return pd.DataFrame(out, columns=["src", "dst", "dist"])
-
-    one_way = salted.groupBy("cell", "table", "code", "piece").applyInPandas(link, "src long, dst long, dist double")
-    both = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).distinct()
-    return trim(both, 2 * m)
-
-
-def trim(edges: DataFrame, cap: int) -> DataFrame:
-    """Each node's ``cap`` nearest edges, of those the ones that are kept at both ends."""
-    w = W.partitionBy("src").orderBy("dist", "dst")
-    kept = checkpoint(edges.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn"))
-    back = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return kept.join(back, ["src", "dst"], "left_semi")
-
-
-def layers(corpus: DataFrame, m: int = 16, metric: str = "cosine", seed: int = 0) -> list[DataFrame]:
-    """Edges of the layers above the lowest and below the top one, from below; none for a small corpus."""
-    out = []
-    for _, nodes in _upper(corpus, m)[:-1]:
-        out.append(checkpoint(graph(nodes, m, metric, seed=seed)))
-    return out
-
-
-def _upper(corpus: DataFrame, m: int) -> list[tuple[int, DataFrame]]:
-    """(level, nodes at it or above) from 1 up to the top layer."""
-    placed = levels(corpus.select("vec_id"), m)
-    counts = {r["level"]: r["n"] for r in placed.groupBy("level").agg(F.count("*").alias("n")).collect()}
-    out, level = [], 1
-    while True:
-        above = sum(n for k, n in counts.items() if k >= level)
-        if not above:
-            return out or [(0, corpus)]
-        out.append((level, corpus.join(placed.where(F.col("level") >= level).select("vec_id"), "vec_id", "left_semi")))
-        if above <= TOP_ROWS:
-            return out
-        level += 1
-
-
-def beam_search(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int, ef: int = 50, metric: str = "cosine", m: int = 16, upper: list[DataFrame] | None = None) -> DataFrame:
-    """(qid, rank, vec_id, dist): for each query (qid, v) the k nearest nodes that a beam of width ``ef``
-    finds. It starts from the nearest nodes of the top layer and goes down the layers (``upper``, as :func:`layers`
-    gives them; built here if the corpus has any and they are not given)."""
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    ef = max(ef, k)
-    few = max(4, ef // 8)
-    above = _upper(corpus, m)
-    upper = layers(corpus, m, metric) if upper is None else upper
-    beam = knn(queries, above[-1][1], few, metric).select("qid", "vec_id", "dist")
-    for (_, nodes), links in zip(reversed(above[:-1]), reversed(upper), strict=True):
-        beam = _walk(queries, nodes, links, beam, few, metric)
-    beam = _walk(queries, corpus, edges, beam, ef, metric)
-    w = W.partitionBy("qid").orderBy("dist", "vec_id")
-    return beam.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist")
-
-
-def _walk(queries: DataFrame, corpus: DataFrame, edges: DataFrame, starts: DataFrame, ef: int, metric: str) -> DataFrame:
-    """(qid, vec_id, dist) of the beam when no node of it is left to follow. In each hop the edges of all nodes of the
-    beam that were not followed yet are followed; none is followed twice, so this ends."""
-    q = queries.select("qid", F.col("v").alias("qv"))
-    beam = checkpoint(starts.select("qid", "vec_id", "dist", F.lit(False).alias("done")))
-    seen = beam.select("qid", "vec_id")
-    w = W.partitionBy("qid").orderBy("dist", "vec_id")
-    while not (todo := beam.where("not done")).isEmpty():
-        fresh = todo.join(edges, F.col("vec_id") == F.col("src")).select("qid", F.col("dst").alias("vec_id")).distinct()
-        fresh = fresh.join(seen, ["qid", "vec_id"], "left_anti")
-        near = fresh.join(corpus, "vec_id").join(q, "qid").select("qid", "vec_id", F.round(distance(metric, F.col("v"), F.col("qv")), DIGITS).alias("dist"), F.lit(False).alias("done"))
-        near = checkpoint(near)
-        seen = checkpoint(seen.unionByName(near.select("qid", "vec_id")))
-        merged = beam.withColumn("done", F.lit(True)).unionByName(near)
-        beam = checkpoint(merged.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= ef).drop("rn"))
-    return beam.select("qid", "vec_id", "dist")
-
-
-def recall_sweep(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int, widths: tuple[int, ...], metric: str = "cosine") -> DataFrame:
-    """(ef, n_queries, mean_recall) against exact search."""
-    truth, upper = checkpoint(knn(queries, corpus, k, metric)), layers(corpus, metric=metric)
-    out = None
-    for ef in widths:
-        found = beam_search(queries, corpus, edges, k, ef, metric, upper=upper)
-        rows = recall(truth, found, k).agg(F.count("*").alias("n_queries"), F.round(F.avg("recall"), 6).alias("mean_recall")).select(F.lit(ef).alias("ef"), "n_queries", "mean_recall")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def timed_sweep(queries: DataFrame, corpus: DataFrame, edges: DataFrame, k: int, widths: tuple[int, ...], metric: str = "cosine") -> DataFrame:
-    """(ef, mean_recall, query_ms, exact_ms, speedup): wall-clock milliseconds a query of whole batches."""
-
-    def timed(make: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
-        start = time.perf_counter()
-        rows = checkpoint(make())
-        return rows, (time.perf_counter() - start) * 1000
-
-    n, upper = max(1, queries.count()), layers(corpus, metric=metric)
-    truth, exact = timed(lambda: knn(queries, corpus, k, metric))
-    rows = []
-    for ef in widths:
-        found, ms = timed(lambda ef=ef: beam_search(queries, corpus, edges, k, ef, metric, upper=upper))
-        mean = recall(truth, found, k).agg(F.avg("recall")).first()[0]
-        rows.append((ef, mean, ms / n, exact / n, exact / ms))
-    return queries.sparkSession.createDataFrame(rows, "ef int, mean_recall double, query_ms double, exact_ms double, speedup double")

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.vectors import norm, unit
-from sparkloom.operators import ann, knn
-from sparkloom.shipping import checkpoint
+from sparkloom.operators import ann, graph_index, knn
 from sparkloom.sources.catalog import vectors
 
 K = 10
@@ -57,22 +56,38 @@ def ann_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ann_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.graph(vectors(spark, sf_dir)).select("src", "dst", F.round("dist", 6).alias("dist"))
+    edges = graph_index.build(vectors(spark, sf_dir)).edges()
+    return edges.where("layer = 0").select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
 def ann_beam_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = vectors(spark, sf_dir)
-    return _rounded(ann.beam_search(_queries(c), c, checkpoint(ann.graph(c)), K, ef=64))
+    return _rounded(graph_index.search(graph_index.build(c), _queries(c), K, ef=64))
 
 
 def ann_recall_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = vectors(spark, sf_dir)
-    return ann.recall_sweep(_queries(c), c, checkpoint(ann.graph(c)), K, (16, 64))
+    return graph_index.recall_sweep(graph_index.build(c), _queries(c), c, K, (16, 64))
+
+
+def ann_insert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of nine tenths, the rest inserted, and beams wide enough to reach every node: the neighbours are
+    exact if the stored and the inserted links leave no node out of reach."""
+    c = vectors(spark, sf_dir)
+    index = graph_index.insert(graph_index.build(c.where("vec_id % 10 <> 3")), c.where("vec_id % 10 = 3"))
+    return _rounded(graph_index.search(index, _queries(c), K, ef=2 * graph_index.PIECE_ROWS))
+
+
+def ann_flat_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over one layer without caps, entered at hashed nodes."""
+    c = vectors(spark, sf_dir)
+    index = graph_index.build(c.where("vec_id % 10 <> 3"), graph_index.Settings(m=8, kind="flat"))
+    return _rounded(graph_index.search(graph_index.insert(index, c.where("vec_id % 10 = 3")), _queries(c), K, ef=2 * graph_index.PIECE_ROWS))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (knn_cosine_topk, knn_euclidean_topk, vector_norms, vector_unit, knn_append_ids, knn_self_recall, ann_levels, ann_graph_edges, ann_beam_search, ann_recall_sweep)
+    for f in (knn_cosine_topk, knn_euclidean_topk, vector_norms, vector_unit, knn_append_ids, knn_self_recall, ann_levels, ann_graph_edges, ann_beam_search, ann_recall_sweep, ann_insert_search, ann_flat_search)
 }
 
 _TOPK = """
@@ -87,6 +102,8 @@ ORACLE_SQL = {
         WITH u AS (SELECT (('0x' || substr(md5('0:' || vec_id), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE AS u FROM embeddings)
         SELECT floor(-ln(u) / ln(16.0::DOUBLE))::INT AS level, count(*) AS n FROM u GROUP BY 1""",
     "knn_cosine_topk": _TOPK.format(distance=_COSINE),
+    "ann_insert_search": _TOPK.format(distance=_COSINE),
+    "ann_flat_search": _TOPK.format(distance=_COSINE),
     "knn_euclidean_topk": _TOPK.format(distance="list_distance(q.v, c.v)"),
     "vector_norms": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
     "vector_unit": """

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as V
 from sparkloom.operators import ann, knn
-from sparkloom.shipping import checkpoint
 
 SCHEMA = "vec_id long, v array<double>"
 
@@ -73,41 +72,9 @@ def test_append_continues_ids(spark):
     assert sorted(r["vec_id"] for r in knn.append(c, c).collect()) == [0, 1, 2, 3]
 
 
-def test_graph_is_symmetric_capped_and_searchable(spark):
-    rng = np.random.default_rng(5)
-    m = rng.normal(size=(500, 32))
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    c = corpus(spark, m.tolist()).cache()
-    edges = ann.graph(c, m=8).cache()
-    pairs = {(r["src"], r["dst"]) for r in edges.collect()}
-    assert pairs == {(b, a) for a, b in pairs} and all(a != b for a, b in pairs)
-    assert max(r["n"] for r in edges.groupBy("src").agg(F.count("*").alias("n")).collect()) <= 16
-    q = c.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "v")
-    truth = knn.knn(q, c, 10)
-    got = ann.beam_search(q, c, edges, 10, ef=64)
-    assert knn.recall(truth, got, 10).agg(F.avg("recall")).first()[0] >= 0.9
-
-
 def test_levels_fall_by_m(spark):
     ids = spark.range(20000).select(F.col("id").alias("vec_id"))
     n = {r["level"]: r["n"] for r in ann.levels(ids, 8).groupBy("level").agg(F.count("*").alias("n")).collect()}
     assert abs(n[0] / 20000 - 7 / 8) < 0.02 and n[1] > n[2]
     with pytest.raises(ValueError):
         ann.levels(ids, 1)
-
-
-def test_large_cells_are_cut_by_neighbourhood(spark, monkeypatch):
-    """A table with one hot cell of near vectors and pieces far smaller than it keeps its recall."""
-    rng = np.random.default_rng(4)
-    hot = rng.normal(size=16) + 0.3 * rng.normal(size=(700, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((hot, rng.normal(size=(300, 16)))))]
-    corpus = spark.createDataFrame(rows, "vec_id long, v array<double>").cache()
-    q = corpus.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "v")
-    monkeypatch.setattr(ann, "PIECE_ROWS", 150)
-    edges = checkpoint(ann.graph(corpus, n_cells=4, spread=2))
-    placed = ann.assign(corpus, ann.centres(corpus, 4), 2, "cosine")
-    sizes = [r["count"] for r in ann.cut(placed, 150).groupBy("cell", "table", "code", "piece").count().collect()]
-    assert max(sizes) < 250 and len(sizes) > 8
-    monkeypatch.setattr(ann, "TOP_ROWS", 30)  # so that there are layers between
-    r = {x["ef"]: x["mean_recall"] for x in ann.timed_sweep(q, corpus, edges, 10, (64,)).collect()}
-    assert r[64] >= 0.9
