@@ -168,19 +168,26 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE_SHIFTS = {"l_quantity": Shift("mean_shift_up", 0.28, 4), "l_extendedprice": Shift("variance_inflation", 0.35, 6), "l_discount": Shift("mean_shift_down", 0.24, 8)}
 
 
-def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir).select("id", *[F.col(c).cast("double").alias(c) for c in LINE_FEATURES], (F.col("l_returnflag") == "R").cast("int").alias("target"))
-    baseline, pool = drift_stream.split_baseline(lines, "id")
+def _stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("id", *[F.col(c).cast("double").alias(c) for c in LINE_FEATURES], (F.col("l_returnflag") == "R").cast("int").alias("target"))
+
+
+def baseline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_stream.split_baseline(_stream_lines(spark, sf_dir), "id")[0]
+
+
+def line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    baseline, pool = drift_stream.split_baseline(_stream_lines(spark, sf_dir), "id")
     return drift_stream.stream(pool, baseline, "id", "target", LINE_SHIFTS)
 
 
 def drift_stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch, drifted features and possibly flipped label of every row of the stream."""
-    return _line_stream(spark, sf_dir).select("id", "batch", "target", *[F.round(c, 4).alias(c) for c in LINE_FEATURES])
+    return line_stream(spark, sf_dir).select("id", "batch", "target", *[F.round(c, 4).alias(c) for c in LINE_FEATURES])
 
 
 def drift_stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift_stream.manifest(_line_stream(spark, sf_dir), LINE_SHIFTS)
+    return drift_stream.manifest(line_stream(spark, sf_dir), LINE_SHIFTS)
 
 
 QUERIES = {

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sparkloom.functions.draws import digest_number
 from sparkloom.operators import consensus, drift, drift_stream, metrics, models
 from sparkloom.sources import files
+from sparkloom.shipping import checkpoint
 from sparkloom.streaming import replay
+from sparkloom.streaming.retrain import Policy, RetrainFlow
 
 
 def test_split_is_exact_by_class(spark):
@@ -120,3 +122,113 @@ def test_a_named_stream_goes_on(spark, tmp_path):
     assert sum(r["n"] for r in replay.replay(replay.table_stream(spark, folder, 100), count, "again").collect()) == 5
     spark.range(3).write.mode("append").parquet(folder)
     assert sorted(r["n"] for r in replay.replay(replay.table_stream(spark, folder, 100), count, "again").collect()) == [3, 5]
+
+
+def test_training_runs_are_recorded(spark, table, tmp_path):
+    t = models.run_training(table, "id", f"{tmp_path}", 3, model_name="m", settings={"maxIter": 20}, notes="first")
+    row = spark.read.parquet(f"{tmp_path}/runs").where("run_id = 3").first()
+    assert (row["status"], row["notes"], row["n_training_rows"], row["features"], row["target"]) == ("completed", "first", 960, ["a", "b"], "label")
+    assert row["metrics"]["accuracy"] > 0.9 and row["seconds"] > 0
+    kept = spark.read.parquet(f"{tmp_path}/snapshots/run_id=3")
+    assert kept.columns == t.features and kept.exceptAll(table.select("a", "b")).count() == 0
+    with pytest.raises(ValueError):
+        models.run_training(table.select("note", "label"), "id", f"{tmp_path}", 4, features=[], target="label", notes="none")
+    failed = spark.read.parquet(f"{tmp_path}/runs").where("run_id = 4").first()
+    assert failed["status"] == "failed" and failed["notes"].startswith("none\nERROR: ")
+
+
+def test_penalty_is_that_of_one_over_n(table):
+    last = models.train(table, "id", settings={"maxIter": 5}).model.stages[-1]
+    assert last.getOrDefault("regParam") == pytest.approx(1 / 960)
+    assert models.build(["a"], "label", "random_forest").getStages()[-1].getMaxDepth() == 30
+
+
+def test_logged_rows_are_those_of_the_call(spark, table, tmp_path):
+    t = models.train(table, "id", settings={"maxIter": 5})
+    rows = spark.createDataFrame([(1, "0.5", "x", 1), (2, None, "7", None)], "id long, a string, b string, y int")
+    first = models.predict_and_log(t.model, rows, t.features, "id", 7, f"{tmp_path}/log", "y", 0)
+    again = models.predict_and_log(t.model, rows.limit(1), t.features, "id", 7, f"{tmp_path}/log", "y", 1)
+    assert first.count() == 2
+    first = models.predict_and_log(t.model, rows, t.features, "id", 7, f"{tmp_path}/log", "y", 0)  # replaces
+    assert first.count() == 2 and again.count() == 1 and spark.read.parquet(f"{tmp_path}/log").count() == 3
+    told = {r["id"]: (r["features"], r["actual_label"]) for r in first.collect()}
+    assert told == {1: ({"a": 0.5, "b": None}, 1), 2: ({"a": None, "b": 7.0}, None)}
+
+
+def test_payload_shapes(spark):
+    rows = lambda p: [tuple(r) for r in models.payload_rows(spark, p).select("a", "actual_label").collect()]
+    assert rows({"a": 1.5}) == rows({"features": {"a": 1.5}}) == rows({"features": [{"a": 1.5}]}) == [("1.5", None)]
+    assert rows({"records": [{"a": 1}, {"b": 2}], "actual_labels": [0, None]}) == [("1", 0), (None, None)]
+    for bad in ({"features": []}, {"features": [1]}, {"records": [{"a": 1}], "actual_labels": [0, 1]}):
+        with pytest.raises(ValueError):
+            models.payload_rows(spark, bad)
+
+
+@pytest.fixture(scope="module")
+def drifting(spark, table):
+    base, pool = drift_stream.split_baseline(table.drop("note"), "id")
+    shifts = {"a": drift_stream.Shift("mean_shift_up", 2.0, 2), "b": drift_stream.Shift("mean_shift_up", 2.0, 2)}
+    return checkpoint(base), checkpoint(drift_stream.stream(pool, base, "id", "label", shifts, batches=5))
+
+
+def flow_over(spark, folder, drifting, name, batches, policy):
+    base, rows = drifting
+    flow = RetrainFlow(spark, folder, "id", "label", policy, settings={"maxIter": 10})
+    if not (spark._jvm.java.io.File(f"{folder}/runs").exists()):
+        flow.start(base)
+    for b in batches:
+        if not spark._jvm.java.io.File(f"{folder}/in/batch={b}").exists():
+            rows.where(F.col("batch") == b).drop("batch").write.parquet(f"{folder}/in/batch={b}")
+        flow.run(spark.readStream.schema(rows.drop("batch").schema).parquet(f"{folder}/in/*"), name)
+    return flow
+
+
+def told(flow):
+    return sorted((r["batch_id"], r["run_id"], r["decision"], r["n_significant"], r["n_labelled"], r["new_run_id"]) for r in flow.events().collect())
+
+
+def test_a_killed_batch_runs_again_without_doubles(spark, tmp_path, drifting, monkeypatch):
+    policy = Policy(window=80, every=2)
+    want = flow_over(spark, f"{tmp_path}/whole", drifting, f"whole-{tmp_path.name}", range(1, 6), policy)
+    assert [e[2] for e in told(want)] == ["retrain"] and told(want)[0][:2] == (1, 0)
+    usual, calls = models.run_training, []
+
+    def killed(*args, **kwargs):
+        if args[3] and not calls:
+            calls.append(1)
+            usual(*args, **kwargs)  # dies after the new model is kept, before the audit row is
+            raise RuntimeError("killed")
+        return usual(*args, **kwargs)
+
+    monkeypatch.setattr(models, "run_training", killed)
+    name = f"killed-{tmp_path.name}"
+    with pytest.raises(Exception, match="killed"):
+        flow_over(spark, f"{tmp_path}/killed", drifting, name, range(1, 6), policy)
+    got = flow_over(spark, f"{tmp_path}/killed", drifting, name, range(1, 6), policy)
+    assert calls and told(got) == told(want)
+    rows = lambda f: sorted((r["batch_id"], r["id"], r["run_id"], r["prediction"]) for r in f.log().collect())
+    assert rows(got) == rows(want) and len(rows(got)) == len({r[1] for r in rows(got)}) == drifting[1].count()
+    assert {r[2] for r in rows(got) if r[0] <= 1} == {0} and {r[2] for r in rows(got) if r[0] > 1} == {2}
+
+
+def test_checks_go_on_without_labels_and_after_retraining(spark, tmp_path, drifting):
+    base, rows = drifting
+    bare = (base, rows.withColumn("label", F.when(F.col("batch") > 2, F.col("label"))))
+    flow = flow_over(spark, f"{tmp_path}/bare", bare, f"bare-{tmp_path.name}", range(1, 6), Policy(window=80, every=1, once=False))
+    decisions = [e[2] for e in told(flow)]
+    assert decisions[0] == "no_action" and decisions[1] == "insufficient_labels" and "retrain" in decisions[2:]
+    assert flow.window(0, 1).count() == 80
+
+
+def test_window_state_keeps_the_newest(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.random()) for i in range(400)]
+    folder = f"{tmp_path}/in"
+    df = spark.createDataFrame(rows, "k long, o long, x double").withColumn("f", F.create_map(F.lit("x"), F.col("x"), F.lit("none"), F.lit(None).cast("double")))
+    held = lambda: replay.newest_rows(replay.table_stream(spark, folder, 1), "k", "o", "f", rows=25, name=f"held-{tmp_path.name}")
+    df.where("o % 3 = 0").coalesce(1).write.parquet(folder)
+    held()
+    df.where("o % 3 > 0").repartition(3).write.mode("append").parquet(folder)
+    got = sorted((r["k"], r["o"], r["feature"], r["x"]) for r in held().where("feature = 'x'").collect())
+    want = [(k, o, "x", x) for k in (1, 2) for k2, o, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])[-25:]]
+    assert got == want
