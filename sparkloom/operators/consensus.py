@@ -4,9 +4,10 @@ log_length), as joins, windows and aggregations."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ordered import RANGE_ROWS, previous
+
 
 def leaders_by_term(trace: DataFrame) -> DataFrame:
     """(seed, term, n_leaders): nodes that led in a term; above 1, the invariant is broken."""
@@ -18,10 +19,10 @@ def current_leader(trace: DataFrame) -> DataFrame:
     return trace.where("state = 'LEADER'").groupBy("seed").agg(F.max_by("node_id", F.struct("term", -F.col("node_id"))).alias("leader"))
 
 
-def transitions(trace: DataFrame) -> DataFrame:
-    """Steps at which a node's state or term differs from its step before, and rises of its commit index."""
-    w = W.partitionBy("seed", "node_id").orderBy("step")
-    seen = trace.select("*", F.lag("state").over(w).alias("was_state"), F.lag("term").over(w).alias("was_term"), F.lag("commit_index").over(w).alias("was_commit"))
+def transitions(trace: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Steps at which a node's state or term differs from its step before, and rises of its commit index. Long
+    traces of one node are cut into ranges of ``range_rows`` steps."""
+    seen = previous(trace, ["seed", "node_id"], "step", ["state", "term", "commit_index"], range_rows).withColumnRenamed("was_commit_index", "was_commit")
     changed = F.col("was_state").isNotNull() & ((F.col("state") != F.col("was_state")) | (F.col("term") != F.col("was_term")))
     return seen.where(changed).select("seed", "node_id", "step", "was_state", "state", "was_term", "term", (F.col("commit_index") > F.col("was_commit")).alias("committed"))
 

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.drift import SHARE_FLOOR, bin_of, drift_detected, ks_p_asymptotic, psi_severity
 from sparkloom.operators.ordered import quantiles, running_sums
+from sparkloom.shipping import checkpoint
 
 BINS = 10
 RETRAIN_FRACTION = 0.3
 RETRAIN_ROWS = 60
-#: Samples up to this size get the exact p-value.
-EXACT_ROWS = 10_000
+#: Cells of the band up to which paths are counted one by one: minutes at most for a feature.
+EXACT_CELLS = 2e10
 
 
 def clean(samples: DataFrame) -> DataFrame:
@@ -81,46 +82,75 @@ def ks(samples: DataFrame) -> DataFrame:
 
 
 def ks_p_exact(d: float, n: int, m: int) -> float:
-    """Share of lattice paths from (0, 0) to (n, m) that leave the band of width d around the diagonal.
+    """The chance that two samples of ``n`` and ``m`` from one continuous distribution are at least ``d`` apart.
 
-    Path counts are kept as probabilities of a uniformly drawn path, row by row.
+    It is the share of lattice paths from (0, 0) to (n, m) that leave the band of width d around the diagonal. For
+    equal samples reflections count them in closed form. Else paths are counted along the shorter side, within the
+    band alone, of 2 d max(n, m) places a row, and weighted so that nothing overflows or vanishes.
     """
-    if min(n, m) < 1:
+    if min(n, m) < 1 or d <= 0:
         return 1.0
+    if n == m:
+        k, out = max(1, math.ceil(d * n - 1e-9 * n)), 0.0
+        ways = math.lgamma(2 * n + 1) - 2 * math.lgamma(n + 1)
+        for i in range(1, n // k + 1):
+            part = math.exp(math.lgamma(2 * n + 1) - math.lgamma(n - i * k + 1) - math.lgamma(n + i * k + 1) - ways)
+            out += part if i % 2 else -part
+            if part < 1e-17 * out:
+                break
+        return min(1.0, max(0.0, 2 * out))
+    n, m = min(n, m), max(n, m)
     bound = d * n * m - 1e-9 * n * m
-    j = np.arange(m + 1)
-    stay = (np.abs(j * 0 - j * n) < bound).astype(float)
-    row = np.cumprod(stay) if bound > 0 else np.zeros(m + 1)
-    # row[j]: paths inside up to (i, j), scaled so that all paths to (i, m) have a fixed total
-    scale = 0.0
+    if bound <= 0:
+        return 1.0
+    # weights of paths that step with chances n and m in n + m; on the diagonal they are near 1 / sqrt(i + j)
+    p, q = n / (n + m), m / (n + m)
+    block = min(m + 1, int(300 / -math.log(q)))
+    up = q ** -np.arange(block, dtype=float)
+    down = 1 / up
+
+    def along(x: np.ndarray) -> np.ndarray:
+        """y[j] = x[j] + q y[j - 1]; what comes from more than a block before is below 1e-130."""
+        if len(x) <= block:
+            return np.cumsum(x * up[: len(x)]) * down[: len(x)]
+        y = np.cumsum(np.append(x, np.zeros(-len(x) % block)).reshape(-1, block) * up, axis=1) * down
+        y[1:] += y[:-1, -1:] * (q * down)
+        return y.reshape(-1)[: len(x)]
+
+    lo, row = 0, q ** np.arange(min(m, math.ceil(bound / n) - 1) + 1, dtype=float)
     for i in range(1, n + 1):
-        inside = np.abs(i * m - j * n) < bound
-        out = np.where(inside, row, 0.0)
-        # a path reaches (i, j) from (i - 1, j) or (i, j - 1) within the band, which is one run of places
-        row = np.cumsum(out) * inside
-        top = row.max()
-        if top <= 0:
+        # places j with |i m - j n| < bound
+        first = max(0, math.floor((i * m - bound) / n) + 1)
+        last = min(m, math.ceil((i * m + bound) / n) - 1)
+        if last < first or first - lo >= len(row):
             return 1.0
-        row /= top
-        scale += math.log(top)
-    total = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
-    return float(min(1.0, max(0.0, 1.0 - row[m] * math.exp(scale - total)))) if row[m] > 0 else 1.0
+        here = np.zeros(last - first + 1)
+        kept = row[first - lo :][: len(here)]
+        here[: len(kept)] = p * kept
+        row, lo = along(here), first
+    total = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(p) + m * math.log(q)
+    if lo + len(row) - 1 < m or row[-1] <= 0:
+        return 1.0
+    return float(min(1.0, max(0.0, 1.0 - math.exp(math.log(row[-1]) - total))))
 
 
 def _exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([ks_p_exact(a, int(b), int(c)) for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
 
 
-def ks_test(samples: DataFrame, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """:func:`ks` with ``p_asymptotic`` and ``p_value``, the exact one for samples of up to ``exact_rows``;
-    1 with fewer than two values on a side."""
+def ks_test(samples: DataFrame, exact_cells: float = EXACT_CELLS) -> DataFrame:
+    """:func:`ks` with ``p_asymptotic`` and ``p_value``; 1 with fewer than two values on a side.
+
+    ``p_value`` is exact for samples of equal sizes, and where the band has at most ``exact_cells`` cells: 2 d n m, which
+    10^5 values a side do not reach at any d that leaves a doubt. Beyond, both agree to more digits than a decision needs.
+    """
     found = ks(samples)
     enough = (F.col("n_base") > 1) & (F.col("n_current") > 1)
     asymptotic = F.when(enough, ks_p_asymptotic(F.col("d"), F.col("n_base"), F.col("n_current"))).otherwise(1.0)
-    small = enough & (F.greatest("n_base", "n_current") <= exact_rows)
+    counted = enough & ((F.col("n_base") == F.col("n_current")) | (2 * F.col("d") * F.col("n_base") * F.col("n_current") <= exact_cells))
     told = found.withColumn("p_asymptotic", asymptotic)
-    exact = F.pandas_udf(_exact, "double")(F.col("d"), F.when(small, F.col("n_base")).otherwise(0), F.when(small, F.col("n_current")).otherwise(0))
-    return told.withColumn("p_value", F.when(small, exact).otherwise(F.col("p_asymptotic")))
+    exact = F.pandas_udf(_exact, "double")(F.col("d"), F.when(counted, F.col("n_base")).otherwise(0), F.when(counted, F.col("n_current")).otherwise(0))
+    return told.withColumn("p_value", F.when(counted, exact).otherwise(F.col("p_asymptotic")))
 
 
 def moments(samples: DataFrame) -> DataFrame:
@@ -183,3 +213,40 @@ def histogram(samples: DataFrame, bins: int = 20) -> DataFrame:
     return every.join(counts, ["feature", "bin"], "left").select(
         "feature", "bin", (F.floor((F.col("lo") + (F.col("bin") + 0.5) * width) * 10000 + 0.5) / 10000).alias("center"), F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("now", F.lit(0)).alias("now")
     )
+
+
+def timeline(base: DataFrame, days: DataFrame, wanted: DataFrame, bins: int = BINS) -> DataFrame:
+    """(feature, day, psi, d) of every day of ``wanted`` (day) and feature of ``base`` (feature, x), from ``days`` (feature,
+    day, x); 0 where a day has no values.
+
+    The baseline is read once for its edges, once for its counts: each bin's share and the running counts at all values
+    that a day has. A day adds counts of its own, which any partition of its rows gives, so a new day costs itself.
+    """
+    base = clean(base.withColumn("is_current", F.lit(False))).select("feature", "x")
+    days = days.select("feature", "day", F.col("x").try_cast("double").alias("x")).where("x is not null and not isnan(x)")
+    edges = checkpoint(decile_edges(base.withColumn("is_current", F.lit(False)), bins))
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    counted = checkpoint(base.groupBy("feature", "x").agg(F.count("*").alias("b")))  # equal values once
+    of_days = checkpoint(days.groupBy("feature", "day", "x").agg(F.count("*").alias("n")))
+    every = edges.join(F.broadcast(wanted.select("day").distinct())).select("feature", "day")  # one row a day
+
+    shares = counted.join(edges, "feature").groupBy("feature", bin_of(F.col("x"), inner).alias("bin")).agg(F.sum("b").alias("b"))
+    totals = shares.groupBy("feature").agg(F.sum("b").alias("nb"))
+    places = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
+    expected = places.join(shares, ["feature", "bin"], "left").join(totals, "feature").select("feature", "bin", "nb", F.greatest(F.coalesce(F.col("b") / F.col("nb"), F.lit(0.0)), F.lit(SHARE_FLOOR)).alias("expected"))
+    got = of_days.join(edges, "feature").groupBy("feature", "day", bin_of(F.col("x"), inner).alias("bin")).agg(F.sum("n").alias("n"))
+    sizes = checkpoint(got.groupBy("feature", "day").agg(F.sum("n").alias("nd")))
+    cells = expected.join(sizes, "feature").join(got, ["feature", "day", "bin"], "left")
+    actual = F.greatest(F.coalesce(F.col("n") / F.col("nd"), F.lit(0.0)), F.lit(SHARE_FLOOR))
+    psi = cells.groupBy("feature", "day").agg(F.sum((actual - F.col("expected")) * F.ln(actual / F.col("expected"))).alias("psi"))
+
+    both = counted.unionByName(of_days.select("feature", "x", F.lit(0).cast("long").alias("b"))).groupBy("feature", "x").agg(F.sum("b").alias("b"))
+    upto = running_sums(both, ["feature"], "x", ["b"])
+    steps = running_sums(of_days, ["feature", "day"], "x", ["n"]).join(upto, ["feature", "x"]).join(sizes, ["feature", "day"]).join(totals, "feature")
+    # between two values of a day its own share stands still, so the gap is largest at one of them or just before
+    at = F.abs(F.col("b_upto") / F.col("nb") - F.col("n_upto") / F.col("nd"))
+    before = F.abs((F.col("b_upto") - F.col("b")) / F.col("nb") - (F.col("n_upto") - F.col("n")) / F.col("nd"))
+    enough = (F.col("nb") > 1) & (F.col("nd") > 1)
+    ks = steps.groupBy("feature", "day").agg(F.max(F.when(enough, F.greatest(at, before)).otherwise(0.0)).alias("d"))
+    found = psi.join(ks, ["feature", "day"])
+    return every.join(found, ["feature", "day"], "left").select("feature", "day", F.coalesce("psi", F.lit(0.0)).alias("psi"), F.coalesce("d", F.lit(0.0)).alias("d"))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.draws import digest_number, uniform
+from sparkloom.operators.ordered import ranks
 
+# The kinds of drift.
 KINDS = ("mean_shift_up", "mean_shift_down", "variance_inflation")
 BASELINE_SHARE = 0.6
 FLIP_RATE = 0.04
@@ -75,6 +77,22 @@ def stream(pool: DataFrame, baseline: DataFrame, id_col: str, label: str, shifts
     return joined.select(*[drifted.get(c, flipped if c == label else F.col(c)) for c in pool.columns], "batch")
 
 
+def bootstrap(pool: DataFrame, id_col: str, batches: int, batch_rows: int, seed: str = "bootstrap") -> DataFrame:
+    """The columns of ``pool`` with ``batch`` (from 1) and ``draw`` (from 1): ``batch_rows`` rows a batch, drawn with
+    replacement, the same in every run and on any cluster.
+
+    Rows have ranks by a digest of their id, then the id, then their columns; a draw is a digest of its batch and number, scaled to a rank.
+    Ranks come from counts of cells, so no task holds the pool, and draws meet rows by an equi-join on the rank.
+    """
+    told = pool.select(F.struct(*pool.columns).alias("row"), F.coalesce(digest_number(F.col(id_col), seed), F.lit((1 << 32) - 1)).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("tie"))
+    ranked = ranks(told, "key", ["tie", "row"], 1 << 32)
+    n = pool.count()
+    draws = pool.sparkSession.range(batches * batch_rows).select((F.floor(F.col("id") / batch_rows) + 1).cast("int").alias("batch"), (F.col("id") % batch_rows + 1).alias("draw"))
+    name = F.concat_ws(":", F.col("batch").cast("string"), F.col("draw").cast("string"))
+    wanted = draws.withColumn("rank_", F.floor(uniform(name, f"{seed}-draw") * n).cast("long"))
+    return wanted.join(ranked, "rank_").select("row.*", "batch", "draw")
+
+
 def manifest(streamed: DataFrame, shifts: dict[str, Shift]) -> DataFrame:
     """A row a batch: rows, names and levels of the drifting features, the flip probability, whether it is clean."""
     rows = streamed.groupBy("batch").agg(F.count("*").alias("rows"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ordered import running_sums
+from sparkloom.operators.ordered import RANGE_ROWS, previous, running_sums
 
 OPS = ("PUT", "DELETE", "COMMIT", "ABORT")
 
@@ -41,16 +41,16 @@ def snapshot(found: DataFrame, hi: int | Column | None = None, with_deleted: boo
     return newest if with_deleted else newest.where("value is not null")
 
 
-def conflicts(found: DataFrame, begun: DataFrame) -> DataFrame:
+def conflicts(found: DataFrame, begun: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Transactions of ``begun`` (txn_id, snapshot_hi) with a written key of which another transaction
     committed a version after the snapshot and before their own commit: (txn_id, key).
 
-    Only each key's versions meet; a pair is dropped as soon as the window of commits excludes it.
+    A transaction has one commit, so the commit before its own among those of a key decides: versions of a key
+    meet no others, and those of a hot key are cut into ranges of ``range_rows`` commits.
     """
-    mine = found.select("key", "txn_id", F.col("commit_order").alias("own")).distinct().join(begun, "txn_id")
-    other = found.select(F.col("key").alias("k"), F.col("txn_id").alias("t"), F.col("commit_order").alias("c")).distinct()
-    late = (F.col("key") == F.col("k")) & (F.col("c") > F.col("snapshot_hi")) & (F.col("c") < F.col("own")) & (F.col("t") != F.col("txn_id"))
-    return mine.join(other, late, "left_semi").select("txn_id", "key")
+    each = found.select("key", "txn_id", "commit_order").distinct()
+    behind = previous(each, ["key"], "commit_order", ["commit_order"], range_rows).where("was_commit_order is not null")
+    return behind.join(begun, "txn_id").where("was_commit_order > snapshot_hi").select("txn_id", "key")
 
 
 def vacuum(found: DataFrame, cutoff: int) -> DataFrame:

@@ -47,7 +47,7 @@ def drift_ks_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_ks_pvalue_asym(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.ks_test(event_samples(spark, sf_dir), exact_rows=0).select("feature", F.round("p_asymptotic", 6).alias("p_value"))
+    return drift.ks_test(event_samples(spark, sf_dir), exact_cells=0).select("feature", F.round("p_asymptotic", 6).alias("p_value"))
 
 
 def drift_feature_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +79,11 @@ def feature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drift_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PSI and D of each day against the first fifteen, per event type; one row a day and feature."""
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("feature"), F.col("value").alias("x"))
     cut = F.lit("2024-01-16").cast("date")
-    base = e.where(F.col("day") < cut).select("event_type", "value", F.explode(F.sequence(cut, F.lit("2024-01-30").cast("date"))).alias("day"))
-    name = F.concat_ws("|", F.date_format("day", "yyyy-MM-dd"), "event_type").alias("feature")
-    samples = base.select(name, F.col("value").alias("x"), F.lit(False).alias("is_current")).unionByName(e.where(F.col("day") >= cut).select(name, F.col("value").alias("x"), F.lit(True).alias("is_current")))
-    psi, ks = drift.psi(samples), drift.ks(samples).select("feature", "d")
-    parts = F.split("feature", r"\|")
-    return psi.join(ks, "feature").select(parts[0].alias("day"), parts[1].alias("event_type"), F.round("psi", 6).alias("psi"), F.round("d", 6).alias("d"))
+    wanted = spark.range(1).select(F.explode(F.sequence(cut, F.lit("2024-01-30").cast("date"))).alias("day"))
+    t = drift.timeline(e.where(F.col("day") < cut), e.where(F.col("day") >= cut), wanted.unionByName(e.where(F.col("day") >= cut).select("day")))
+    return t.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("feature").alias("event_type"), F.round("psi", 6).alias("psi"), F.round("d", 6).alias("d"))
 
 
 def recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +187,18 @@ def drift_stream_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift_stream.manifest(line_stream(spark, sf_dir), LINE_SHIFTS)
 
 
+def drift_bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve batches of 500 rows drawn with replacement from the pool of lines."""
+    pool = drift_stream.split_baseline(_stream_lines(spark, sf_dir), "id")[1]
+    return drift_stream.bootstrap(pool, "id", 12, 500).select("batch", "draw", "id", *[F.round(c, 4).alias(c) for c in LINE_FEATURES], "target")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         drift_decile_edges, drift_psi, drift_psi_lines, drift_psi_bins, drift_severity, drift_ks_stat, drift_ks_lines, drift_ks_pvalue_asym, drift_feature_moments, drift_summary, drift_report,
         drift_retrain_decision, feature_histogram, drift_timeline, recent_window, rolling_accuracy, positive_rate, prediction_listing, coerce_features, experiment_runs, run_listing, entity_counts,
-        classification_metrics, auc_ranksum, stratified_split, train_score_pipeline, drift_stream_rows, drift_stream_manifest,
+        classification_metrics, auc_ranksum, stratified_split, train_score_pipeline, drift_stream_rows, drift_stream_manifest, drift_bootstrap_rows,
     )
 }
 
@@ -245,6 +248,11 @@ _STREAM = f"""
                   em + (e - em) * (1 + 0.35 * greatest(0, batch - 5)) AS l_extendedprice, d - 0.24 * greatest(0, batch - 7) * ds AS l_discount, t AS l_tax FROM dr, mo WHERE NOT base)"""
 
 ORACLE_SQL = {
+    "drift_bootstrap_rows": f"""WITH {_STREAM},
+        p AS (SELECT *, row_number() OVER (ORDER BY {_draw("id", "bootstrap")}, id::VARCHAR, q, e, d, t, y) - 1 AS rank FROM dr WHERE NOT base), n AS (SELECT count(*) AS n FROM p),
+        w AS (SELECT b::INT AS k, j AS draw, floor({_draw("b || ':' || j", "bootstrap-draw")} / 4294967296 * n)::BIGINT AS rank FROM range(1, 13) AS x(b), range(1, 501) AS z(j), n)
+        SELECT k AS batch, draw, id, round(q, 4) AS l_quantity, round(e, 4) AS l_extendedprice, round(d, 4) AS l_discount, round(t, 4) AS l_tax, p.y AS target
+        FROM w JOIN p USING (rank)""",
     "stratified_split": f"""
         WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_draw("doc_id", "42")}, doc_id::VARCHAR) AS r FROM labels),
         k AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), a AS (SELECT sum(n)::BIGINT AS n, (sum(n) - ceil(round(sum(n) * 0.2, 6)))::BIGINT AS t FROM k),

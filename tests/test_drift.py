@@ -1,12 +1,13 @@
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import drift as D
-from sparkloom.operators import drift, ordered
+from sparkloom.operators import drift, drift_stream, ordered
 
 SCHEMA = "feature string, x double, is_current boolean"
 
@@ -82,6 +83,44 @@ def test_exact_p_counts_paths():
     assert drift.ks_p_exact(0.1, 272, 300) == pytest.approx(0.10551, abs=2e-3)
 
 
+def test_exact_p_of_large_samples_and_equal_ones():
+    """Against Kolmogorov's limit where it is good, and the two ways of counting against each other."""
+    import time
+
+    start = time.perf_counter()
+    n, m, d = 100_000, 90_000, 0.007
+    t = d * math.sqrt(n * m / (n + m))
+    limit = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 50))
+    assert drift.ks_p_exact(d, n, m) == pytest.approx(limit, rel=0.02)
+    assert time.perf_counter() - start < 30
+    for k, size in ((3, 10), (12, 60), (40, 900)):
+        closed, near = drift.ks_p_exact(k / size, size, size), drift.ks_p_exact(k / size, size, size * 7)
+        assert near < closed <= 1  # more values, less doubt about one gap
+    assert drift.ks_p_exact(0.0, 5, 5) == 1.0 and drift.ks_p_exact(1.0, 3, 3) == pytest.approx(2 / math.comb(6, 3))
+    assert drift.ks_p_exact(1.0, 4, 9) == pytest.approx(2 / math.comb(13, 4), rel=1e-6)
+
+
+def test_timeline_equals_a_report_a_day(spark):
+    rng = random.Random(11)
+    base = [("a", rng.gauss(0, 1)) for _ in range(300)] + [("b", float(rng.randint(0, 1))) for _ in range(50)] + [("a", None), ("a", float("nan"))]
+    days = [("a", d, rng.gauss(d / 3, 1)) for d in range(4) for _ in range(40)] + [("b", 1, 1.0), ("b", 2, 7.0), ("b", 2, None), ("c", 1, 1.0)] + [("a", 2, base[0][1])] * 3
+    got = {(r["feature"], r["day"]): (r["psi"], r["d"]) for r in drift.timeline(spark.createDataFrame(base, "feature string, x double"), spark.createDataFrame(days, "feature string, day int, x double"), spark.createDataFrame([(d,) for d in range(5)], "day int")).collect()}
+    assert got.keys() == {(f, d) for f in "ab" for d in range(5)}
+    for (f, d), (psi, gap) in got.items():
+        rows = [(f, x, False) for g, x in base if g == f] + [(f, x, True) for g, e, x in days if (g, e) == (f, d)]
+        s = spark.createDataFrame(rows, "feature string, x double, is_current boolean")
+        assert psi == pytest.approx(drift.psi(s).first()["psi"]) and gap == pytest.approx(drift.ks(s).first()["d"])
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    pool = spark.createDataFrame([(i, i * 1.5) for i in range(50)], "id long, x double")
+    once, again = (sorted(map(tuple, drift_stream.bootstrap(pool.repartition(n), "id", 4, 200).collect())) for n in (1, 5))
+    assert once == again and len(once) == 800 and {(r[2], r[3]) for r in once} == {(b, d) for b in range(1, 5) for d in range(1, 201)}
+    counts = [sum(r[0] == i for r in once) for i in range(50)]
+    assert min(counts) >= 4 and max(counts) <= 40 and len({r[0] for r in once if r[2] == 1}) < 200
+    assert drift_stream.bootstrap(pool.where("false"), "id", 2, 5).count() == 0
+
+
 def test_severity_and_decision_bounds(spark):
     df = spark.createDataFrame([(0.0,), (0.05,), (0.1,), (0.15,), (0.2,), (0.9,)], "psi double")
     assert [r[0] for r in df.select(D.psi_severity(F.col("psi"))).collect()] == ["stable", "stable", "moderate", "moderate", "significant", "significant"]

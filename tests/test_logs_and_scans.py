@@ -149,3 +149,34 @@ def test_trace_invariants(spark):
     assert [(r["node_id"], r["state"], r["committed"]) for r in x] == [(1, "LEADER", True)]
     m = spark.createDataFrame([(0, 2, 5), (0, 4, 5), (2, 1, 50)], "from_id int, to_id int, due int")
     assert {(r["from_id"], r["outcome"]) for r in consensus.deliveries(m, 10, [0, 1], [2, 3]).collect()} == {(0, "dropped"), (0, "delivered"), (2, "queued")}
+
+
+def test_hot_keys_and_long_traces_are_cut_into_ranges(spark):
+    """One node with nine tenths of the rows and one key of 10^4 versions, in ranges of a few hundred rows."""
+    import random
+
+    rng = random.Random(4)
+    steps = [(1, s, 0 if rng.random() < 0.9 else rng.randint(1, 5), rng.randint(0, 3), rng.choice(["LEADER", "FOLLOWER"]), rng.randint(0, 9), 1) for s in range(4000)]
+    t = spark.createDataFrame(steps, "seed int, step long, node_id int, term int, state string, commit_index int, log_length int")
+    got = sorted(map(tuple, consensus.transitions(t, range_rows=300).collect()))
+    assert got == sorted(map(tuple, consensus.transitions(t).collect()))
+    want, last = [], {}
+    for seed, s, node, term, state, commit, _ in steps:
+        if node in last and last[node][:2] != (state, term):
+            want.append((seed, node, s, last[node][0], state, last[node][1], term, commit > last[node][2]))
+        last[node] = (state, term, commit)
+    assert got == sorted(want)
+    found = spark.range(10_000).selectExpr("if(id % 10 = 0, concat('k', id % 7), 'hot') as key", "id as txn_id", "id + 1 as commit_order", "id as lsn", "'v' as value")
+    begun = spark.range(10_000).selectExpr("id as txn_id", "greatest(0, id - id % 4) as snapshot_hi")
+    a, b = (sorted(map(tuple, mvcc.conflicts(found, begun, n).collect())) for n in (700, 1_000_000))
+    keys = ["hot" if i % 10 else f"k{i % 7}" for i in range(10_000)]
+    plain = [(i, k) for i, k in enumerate(keys) if any(keys[j] == k for j in range(i - i % 4, i))]
+    assert a == b == sorted(plain)
+
+
+def test_ranges_bound_what_a_window_holds(spark):
+    from sparkloom.operators import ordered
+
+    df = spark.range(5000).selectExpr("if(id < 4500, 'hot', 'cold') as key", "id")
+    sizes = ordered._ranges(df, ["key"], "id", 500).groupBy("key", "range_").count().collect()
+    assert max(r["count"] for r in sizes if r["key"] == "hot") <= 600 and [r["count"] for r in sizes if r["key"] == "cold"] == [500]
