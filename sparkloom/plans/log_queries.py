@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import ancestors, human_size, parent, snake
 from sparkloom.operators import consensus, mvcc, scan
-from sparkloom.shipping import checkpoint
+from sparkloom.shipping import shared_folder
+from sparkloom.sources import tree
 from sparkloom.sources.catalog import table, trace, wal
 
 
@@ -113,6 +116,22 @@ def ignore_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("page_id", "path", scan.ignored(F.col("path"), scan.compile_rules(IGNORE_LINES)).alias("ignored"))
 
 
+def ignore_rules_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as a table: the lines above, then one for the path of every third page, every other of them negated."""
+    paths = _paths(spark, sf_dir)
+    lines = spark.createDataFrame(list(enumerate(IGNORE_LINES)), "rule_idx long, line string")
+    whole = F.element_at(ancestors(F.col("path")), -1)
+    more = paths.where("page_id % 3 = 0").select((F.col("page_id") + 100).alias("rule_idx"), F.concat(F.when(F.col("page_id") % 2 == 0, "!/").otherwise("/"), whole).alias("line"))
+    return scan.ignored_by(paths, scan.rule_table(lines.unionByName(more)))
+
+
+def tree_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the documents as text files of a tree, read in ranges of 64 KiB: lines by kind of secret."""
+    folder = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\0"))).select("text").write.text(f"{folder}/texts")
+    return tree.findings(spark, folder, range_bytes=1 << 16).groupBy("severity", "message").agg(F.count("*").alias("n"))
+
+
 def ignore_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.audit(_paths(spark, sf_dir), scan.compile_rules(IGNORE_LINES)).select("file_path", "severity", "message")
 
@@ -161,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         wal_replay_latest, snapshot_read_asof, version_history, write_conflicts, vacuum_dropped, vacuum_kept, vacuum_cutoff, txn_status, next_txn_id, wal_round_trip, secret_findings,
-        secret_severity_counts, large_documents, findings_report, human_sizes, path_ancestors, ignore_match, ignore_audit, snake_names, raft_one_leader_per_term, raft_current_leader,
+        secret_severity_counts, large_documents, findings_report, human_sizes, path_ancestors, ignore_match, ignore_rules_match, tree_findings, ignore_audit, snake_names, raft_one_leader_per_term, raft_current_leader,
         raft_transitions, raft_quorum_commit, raft_elections, raft_up_to_date, raft_deliveries, raft_convergence,
     )
 }
@@ -234,6 +253,11 @@ ORACLE_SQL = {
     "path_ancestors": f"WITH {_PATHS} SELECT page_id, pos, prefix FROM an",
     "ignore_match": f"""WITH {_PATHS}, {_IGNORED}
         SELECT page_id, path, CASE WHEN r5 OR r4 THEN true WHEN r3 THEN false WHEN r2 OR r1 THEN true ELSE false END AS ignored FROM m""",
+    "ignore_rules_match": f"""WITH {_PATHS}, {_IGNORED},
+        x AS (SELECT page_id + 100 AS i, array_to_string(seg, '/') AS p, page_id % 2 <> 0 AS yes FROM sg WHERE page_id % 3 = 0 AND len(seg) > 0),
+        l AS (SELECT an.page_id, max_by(yes, i) AS yes FROM an JOIN x ON an.prefix = x.p GROUP BY an.page_id)
+        SELECT DISTINCT path, coalesce(yes, CASE WHEN r5 OR r4 THEN true WHEN r3 THEN false WHEN r2 OR r1 THEN true ELSE false END) AS ignored FROM m LEFT JOIN l USING (page_id)""",
+    "tree_findings": f"WITH {_FILES}, {_SECRETS} SELECT severity, message, count(*) AS n FROM sf GROUP BY ALL",
     "ignore_audit": f"""WITH {_PATHS}, g AS (SELECT DISTINCT prefix, list_last(string_split(prefix, '/')) AS name FROM an),
         f AS (SELECT name, prefix, row_number() OVER (PARTITION BY name ORDER BY string_split(prefix, '/')) AS r FROM g WHERE name IN ('node_modules', '__pycache__', 'dist', 'build', '.env', '.venv'))
         SELECT prefix AS file_path, 'low' AS severity, 'Generated path is not ignored: ' || name AS message FROM f WHERE r = 1 AND name NOT IN ('node_modules', 'build')""",
