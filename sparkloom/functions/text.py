@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ def snake(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(name), "[ -]", "_"))
 
 
+def snake_name(name: str) -> str:
+    """:func:`snake` of one name, as those of columns."""
+    return re.sub("[ -]", "_", name.strip(" ")).lower()
+
+
 def human_size(size: Column) -> Column:
     """Bytes as they are, larger units with one digit, in steps of 1024, up to TB; exact
     halves go to the even digit."""

@@ -12,6 +12,8 @@ from sparkloom.shipping import checkpoint
 
 WINDOW = 300
 MOST_LISTED = 5000
+#: Classes of a split up to which their bounds are broadcast.
+MOST_CLASSES = 100_000
 
 
 def classification(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -83,16 +85,23 @@ def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.8,
     kinds = cells.groupBy("kind").agg(F.sum("n").alias("n"))
     n_train = F.col("all") - F.ceil(F.round(F.col("all") * (1 - share), 6)).cast("long")
     part = kinds.crossJoin(F.broadcast(kinds.agg(F.sum("n").alias("all")))).select("kind", "all", n_train.alias("n_train"), (n_train * F.col("n") / F.col("all")).alias("quota"))
-    everywhere = W.partitionBy()  # classes are few: one row each
-    part = part.withColumn("least", F.floor("quota")).withColumn("rest", F.col("n_train") - F.sum("least").over(everywhere))
-    order = F.row_number().over(everywhere.orderBy(F.desc(F.round(F.col("quota") - F.col("least"), 9)), "kind"))
-    take = part.select("kind", (F.col("least") + F.when(order <= F.col("rest"), 1).otherwise(0)).alias("take"))
+    part = checkpoint(part.withColumn("least", F.floor("quota")).withColumn("left", F.round(F.col("quota") - F.col("least"), 9)))
+    # what is left over goes to the classes of the largest remainders: those above the one at which it runs out
+    by_left = running_sums(part.groupBy((-F.col("left")).alias("o")).agg(F.count("*").alias("n")), [], "o", ["n"])
+    rest = part.agg((F.max("n_train") - F.sum("least")).alias("rest"))
+    edge = by_left.join(F.broadcast(rest)).where("n_upto >= rest and n_upto - n < rest").select((-F.col("o")).alias("edge"), (F.col("rest") - F.col("n_upto") + F.col("n")).alias("room"))  # one row at most
+    at_edge = part.join(F.broadcast(edge), F.col("left") == F.col("edge"))
+    tied = at_edge.withColumn("r", F.row_number().over(W.orderBy("kind"))).where("r <= room").select(F.col("kind").alias("tied"))
+    above = part.join(F.broadcast(edge)).where("left > edge").select(F.col("kind").alias("tied"))
+    more = checkpoint(tied.unionByName(above))
+    take = part.join(more, F.col("kind") == F.col("tied"), "left").select("kind", (F.col("least") + F.when(F.col("tied").isNotNull(), 1).otherwise(0)).alias("take"))
     upto = F.sum("n").over(W.partitionBy("kind").orderBy("cell"))
-    placed = cells.withColumn("upto", upto).join(F.broadcast(take), "kind")
+    placed = cells.withColumn("upto", upto).join(take, "kind")
     last = checkpoint(placed.where("upto - n < take and upto >= take").select("kind", "cell", (F.col("take") - F.col("upto") + F.col("n")).alias("room")))
-    ranked = rows.join(F.broadcast(last), ["kind", "cell"]).withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy("key", "id")))
-    limits = ranked.where("r = room").select(F.struct("kind").alias("k"), F.struct("key", "id").alias("bound"))
-    found = {r["k"]["kind"]: (r["bound"]["key"], r["bound"]["id"]) for r in limits.collect()}  # one a class
-    bound = F.create_map(*[x for k, (n, i) in found.items() for x in (F.lit(k), F.struct(F.lit(n).cast("long").alias("key"), F.lit(i).alias("id")))]) if found else None
+    ranked = rows.join(F.broadcast(last) if last.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES else last, ["kind", "cell"]).withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy("key", "id")))
+    bounds = checkpoint(ranked.where("r = room").select(F.col("kind").alias("kind_"), F.struct("key", "id").alias("bound_")))  # a row a class
     mine = F.struct(key.alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"))
-    return df.withColumn("in_train", F.coalesce(mine <= F.try_element_at(bound, kind), F.lit(False)) if found else F.lit(False))
+    told = df.withColumns({"mine_": mine, "own_": kind})
+    few = F.broadcast(bounds) if bounds.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES else bounds
+    joined = told.join(few, F.col("own_") == F.col("kind_"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col("mine_") <= F.col("bound_"), F.lit(False)).alias("in_train"))

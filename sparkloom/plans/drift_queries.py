@@ -224,6 +224,21 @@ _P = """
     pv AS (SELECT feature, CASE WHEN t2 < 0.04 THEN 1.0 ELSE greatest(0.0, least(1.0,
              list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * t2))))) END AS p
            FROM (SELECT feature, d * d * (n_base * n_current / (n_base + n_current)) AS t2 FROM ks))"""
+# The exact p: weights of lattice paths that stay in the band, a step of the shorter sample at a time. ks is needed.
+_EXACT = """
+    kn AS (SELECT feature, d, least(n_base, n_current) AS n, greatest(n_base, n_current) AS m FROM ks),
+    kb AS (SELECT *, n / (n + m) AS p, m / (n + m) AS q, d * n * m - 1e-9 * n * m AS bound FROM kn),
+    band(feature, i, j, w) AS (
+        SELECT feature, 0::BIGINT, j, pow(q, j) FROM kb, unnest(range(0, least(m, ceil(bound / n)::BIGINT - 1) + 1)) AS t(j)
+        UNION ALL
+        SELECT feature, i, j, pow(q, j - lo) * sum(p * w * pow(q, lo - j)) OVER (PARTITION BY feature ORDER BY j)
+        FROM (SELECT c.feature, c.i, c.p, c.q, c.lo, c.j, coalesce(band.w, 0) AS w
+              FROM (SELECT feature, i, p, q, lo, unnest(range(lo, hi + 1)) AS j
+                    FROM (SELECT kb.feature, b.i, p, q, greatest(0, floor((b.i * m - bound) / n)::BIGINT + 1) AS lo, least(m, ceil((b.i * m + bound) / n)::BIGINT - 1) AS hi
+                          FROM kb JOIN (SELECT feature, max(i) + 1 AS i FROM band GROUP BY feature) b USING (feature) WHERE b.i <= n)) c
+              LEFT JOIN band ON band.feature = c.feature AND band.j = c.j)),
+    pe AS (SELECT kb.feature, CASE WHEN d = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - w / exp(lgamma(n + m + 1) - lgamma(n + 1) - lgamma(m + 1) + n * ln(p) + m * ln(q)))) END AS p
+           FROM kb LEFT JOIN band ON band.feature = kb.feature AND i = n AND j = m)"""
 _SEVERITY = "CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.2 THEN 'moderate' ELSE 'significant' END"
 _REPORT = f"r AS (SELECT feature, psi, {_SEVERITY} AS severity, psi > 0.2 OR p < 0.05 AS drifted FROM psi JOIN pv USING (feature))"
 _LOG = """
@@ -278,6 +293,9 @@ ORACLE_SQL = {
     "drift_ks_pvalue_asym": f"WITH {_EVENTS}, {_KS}, {_P} SELECT feature, round(p, 6) AS p_value FROM pv",
     "drift_feature_moments": f"""WITH {_EVENTS} SELECT feature, round(avg(x) FILTER (NOT cur), 6) AS base_mean, round(stddev_pop(x) FILTER (NOT cur), 6) AS base_std,
         round(avg(x) FILTER (cur), 6) AS current_mean, round(stddev_pop(x) FILTER (cur), 6) AS current_std FROM s GROUP BY feature""",
+    "drift_report": f"""WITH RECURSIVE {_EVENTS}, {_BINS}, {_KS}, {_EXACT}
+        SELECT feature, round(psi, 5) AS psi, {_SEVERITY} AS severity, round(d, 5) AS d, round(p, 6) AS p_value, psi > 0.2 OR p < 0.05 AS drift_detected
+        FROM psi JOIN ks USING (feature) JOIN pe USING (feature)""",
     "drift_summary": f"""WITH {_EVENTS}, {_BINS}, {_KS}, {_P}, {_REPORT}
         SELECT count(*) AS n_checked, count(*) FILTER (severity = 'significant') AS n_significant, count(*) FILTER (drifted) AS n_drifted,
                coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (severity = 'significant'), '') AS significant_features,

@@ -9,9 +9,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.text import snake_name
+
 LOG_SCHEMA = "txn_id long, op string, key string, value string"
 
 
@@ -45,9 +48,9 @@ def load_npy(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], names=["file", "row", "v"])
 
     each = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, row long, v array<double>")
-    sizes = each.groupBy("file").agg(F.count("*").alias("n"))
-    starts = sizes.alias("a").join(sizes.alias("b"), F.col("b.file") < F.col("a.file"), "left").groupBy("a.file").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("first"))
-    return each.join(F.broadcast(starts), "file").select((F.col("first") + F.col("row")).alias("vec_id"), "v")
+    # a row a file, by name; its first number is what the files before it hold
+    starts = each.groupBy("file").agg(F.count("*").alias("n")).select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("first"))
+    return each.join(starts, "file").select((F.col("first") + F.col("row")).alias("vec_id"), "v")
 
 
 def save_index(tables: dict[str, DataFrame], path: str) -> None:
@@ -114,7 +117,7 @@ def base_table(spark: SparkSession, source: str, kept: str) -> DataFrame:
     path = hadoop.Path(f"{kept}/_SUCCESS")
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         df = load(spark, source)
-        df.toDF(*[c.strip().replace(" ", "_").replace("-", "_").lower() for c in df.columns]).write.mode("overwrite").csv(kept, header=True)
+        df.toDF(*map(snake_name, df.columns)).write.mode("overwrite").csv(kept, header=True)
     return load(spark, kept)
 
 
