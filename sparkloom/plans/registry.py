@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import drift_queries, log_queries, stream_queries, vector_queries
+from sparkloom.plans import drift_queries, log_queries, source_queries, stream_queries, vector_queries
 
-_PARTS = (vector_queries, drift_queries, log_queries, stream_queries)
+_PARTS = (vector_queries, drift_queries, log_queries, stream_queries, source_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

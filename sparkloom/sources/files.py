@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.text import snake_name
 
+#: Rows of a written .npy file.
+NPY_ROWS = 65_536
 LOG_SCHEMA = "txn_id long, op string, key string, value string"
 
 
@@ -53,6 +55,41 @@ def load_npy(spark: SparkSession, path: str) -> DataFrame:
     return each.join(starts, "file").select((F.col("first") + F.col("row")).alias("vec_id"), "v")
 
 
+def save_npy(vectors: DataFrame, folder: str) -> int:
+    """Write ``vectors`` (vec_id, v) in order of vec_id as .npy files of two dimensions in ``folder``, which tasks and
+    driver share; the number of files. A task that runs again writes its file again, under the same name."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        part, k, rows = TaskContext.get().partitionId(), 0, []
+
+        def out() -> None:
+            held = io.BytesIO()
+            np.save(held, np.concatenate(rows))
+            system.create_dir(base, recursive=True)
+            with system.open_output_stream(f"{base}/part-{part:06d}-{k:06d}.npy") as f:
+                f.write(held.getvalue())
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, NPY_ROWS):
+                piece = batch.column(1).slice(at, NPY_ROWS)
+                rows.append(np.stack([np.asarray(v, float) for v in piece.to_pylist()]))
+                if sum(map(len, rows)) >= NPY_ROWS:
+                    out()
+                    k, rows = k + 1, []
+        if rows:
+            out()
+        yield pa.RecordBatch.from_arrays([pa.array([k + bool(rows)], pa.int64())], names=["n"])
+
+    ordered = vectors.where("v is not null").select("vec_id", "v").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    return ordered.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def save_index(tables: dict[str, DataFrame], path: str) -> None:
     """An index as Parquet tables under one folder."""
     for name, df in tables.items():
