@@ -27,11 +27,11 @@ def payload(text: str | None) -> bytes:
 
 def store(raw: bytes) -> bytes:
     """Pages of RGB rows of UNIT bytes. The payload's checksum picks codec, layout and byte order, so
-    equal payloads are stored alike and each decoder serves a share of the table."""
+    equal payloads are stored alike and each decoder serves a third of the table."""
     rows = np.frombuffer(raw, np.uint8).reshape(-1, PIXELS, CHANNELS)
     pages = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
     pick = zlib.crc32(raw)
-    codec = {0: tiff.LZW, 1: tiff.PACKBITS, 2: tiff.PACKBITS}.get(pick % 32, tiff.DEFLATE)
+    codec = (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE)[pick % 3]
     return tiff.write_tiff(
         pages,
         compression=codec,
