@@ -54,16 +54,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     pass on what they have when it exceeds FLUSH_TOKENS words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
-        get = held.get
+        held: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in tokens_of(text):
-                    held[w] = get(w, 0) + 1
+                held.update(tokens_of(text))
                 if len(held) > FLUSH_TOKENS:
                     yield out()
                     held.clear()
@@ -81,18 +79,23 @@ class Lexicon:
     counts: np.ndarray
     tokens: int
     distinct: int
+    _place: dict[bytes, int] | None = None
 
     @property
     def end(self) -> int:
         return self.rank[END]
 
     def places(self, tokens: list[bytes]) -> np.ndarray:
-        found, n = list(map(self.rank.get, tokens)), len(self.rank)
-        if None in found:
-            for i, place in enumerate(found):
-                if place is None:
-                    found[i] = n + maxent.code_of(tokens[i])
-        return np.array(found, np.int32)
+        if self._place is None:
+            self._place = _Places(self.rank)
+        return np.fromiter(map(self._place.__getitem__, tokens), np.int32, len(tokens))
+
+
+class _Places(dict):
+    """Ranks, and codes of words that have none; the codes are not kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self) + maxent.code_of(word)
 
 
 def lexicon(counts: DataFrame, listed: int = LISTED_WORDS) -> Lexicon:
@@ -211,7 +214,7 @@ def rare_norms(counts: DataFrame, shared) -> np.ndarray:
 def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared, norms: np.ndarray) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, n_known, base_score, score).
 
-    A text yields one row with what the listed words give, and one row for each distinct other word.
+    A text yields one row with what the listed words give, and one row for each other word.
     Those rows join the counts by word, words that are not frequent by construction, and are summed
     by document. Rows that repeat id and text are summed together and parted again.
     """
@@ -241,11 +244,10 @@ def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared, norms:
                 own = [b"\n%d %d" % (h, i or 0) for h, i in zip(hashes, ids, strict=True)]
                 yield _rows(ids, hashes, own, [0] * n, pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score))
                 at = np.flatnonzero(~listed)
-                rare = Counter(zip(owner[at].tolist(), map(flat.__getitem__, at.tolist()), strict=True))
-                if rare:
-                    who = [i for i, _ in rare]
-                    none = [pa.nulls(len(who), pa.int64())] * 2 + [pa.nulls(len(who), pa.float64())] * 2
-                    yield _rows([ids[i] for i in who], [hashes[i] for i in who], [w for _, w in rare], list(rare.values()), *none)
+                if len(at):
+                    who = owner[at]
+                    none = [pa.nulls(len(at), pa.int64())] * 2 + [pa.nulls(len(at), pa.float64())] * 2
+                    yield _rows(part.column(0).take(pa.array(who)), np.array(hashes, np.int64)[who], [flat[i] for i in at.tolist()], np.ones(len(at), np.int64), *none)
 
     rows = docs.mapInArrow(run, _ROW)
     joined = rows.join(counts.where(F.col("c") > 0).select("word", "c"), "word", "left")
@@ -289,8 +291,8 @@ def _by_size(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start)
 
 
-def _rows(ids: list[int | None], hashes: list[int], words: list[bytes], tf: list[int], *more: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), *more], names=_ROW.names)
+def _rows(ids: list[int | None] | pa.Array, hashes: list[int] | np.ndarray, words: list[bytes], tf: list[int] | np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), *more], names=_ROW.names)
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, listed: int = LISTED_WORDS, steps: int = STEPS, slices: int = SLICES) -> DataFrame:
