@@ -298,9 +298,15 @@ def class_counts(encoded: DataFrame, classes: Classes, model: ClassModel) -> np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         total = np.zeros(m.rows * m.count, np.int32)
+        held: list[np.ndarray] = []
         for words, w1, w2, w3 in chunks_of(batches, c.end):
             said = c.of[words].astype(np.int64)
-            total += np.bincount(np.concatenate([f * m.count + said for f in m.features(c.of, w1, w2, w3)[:-2]]), minlength=len(total)).astype(np.int32)
+            held += [f * m.count + said for f in m.features(c.of, w1, w2, w3)[:-2]]
+            if len(held) >= 80:  # as many keys as there are sums, so that these are not gone through for a few
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
         yield from _parts(np.split(total, np.cumsum(sizes)[:-1]))
 
     out = _gather(sum_blocks(encoded.mapInArrow(count, _PART), "<i4"), sizes).reshape(model.rows, model.count)
@@ -468,7 +474,8 @@ def word_pairs(encoded: DataFrame, classes: Classes, tables: np.ndarray, most: i
         head = keys >> 32 << 32 | c.of[keys & 0xFFFFFFFF].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(head), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["head", "word", "n"])
 
-    counted = encoded.mapInArrow(count, "head long, word int, n long").groupBy("head", "word").agg(F.sum("n").alias("n"))
+    # dealt by head, so that both sums need one shuffle
+    counted = encoded.mapInArrow(count, "head long, word int, n long").repartition("head").groupBy("head", "word").agg(F.sum("n").alias("n"))
     by_head = counted.groupBy("head").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("word", "n"))).alias("found"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
