@@ -82,80 +82,87 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+_SINGLES = [bytes((i,)) for i in range(256)] + [b"", b""]
+#: Codes that a writer of ours gives between two clears, so that the table stays below 4,096 entries.
+_SEGMENT = 4094 - 258
+#: Widths of the codes after a clear, by place, and where their bits begin. From 4,096 entries on all have 12 bits.
+_WIDTHS = np.array([9 + (f >= 512) + (f >= 1024) + (f >= 2048) for f in range(258, 258 + 4096)])
+_BITS_BEFORE = np.concatenate(([0], np.cumsum(_WIDTHS)))
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, most significant first; a code grows one entry early."""
-    singles = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table = list(singles)
+    """Codes of 9 to 12 bits, most significant first; a code grows one entry early. The codes up to the next clear
+    are cut out at once, as their widths follow from their places."""
+    raw = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+    bits, at = 8 * len(data), 0
     out: list[bytes] = []
-    made, width, bits, n_bits, previous = 0, 9, 0, 0, b""
-    for byte in data:
-        bits = (bits << 8) | byte
-        n_bits += 8
-        if n_bits < width:
-            continue
-        n_bits -= width
-        code = bits >> n_bits
-        bits &= (1 << n_bits) - 1
-        if code == _CLEAR:
-            table, width, previous = list(singles), 9, b""
-            continue
-        if code == _END_OF_DATA or made >= size:
+    made, table, previous, place = 0, list(_SINGLES), b"", 0
+    while at + 9 <= bits and made < size:
+        if place < len(_WIDTHS):
+            widths, begin = _WIDTHS[place:], at + _BITS_BEFORE[place:-1] - _BITS_BEFORE[place]
+        else:
+            widths, begin = np.full(4096, 12), at + 12 * np.arange(4096)
+        n = int(np.searchsorted(begin + widths, bits, "right"))
+        if not n:
+            break
+        begin, widths = begin[:n], widths[:n]
+        byte = begin >> 3
+        window = raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]
+        codes = window >> (24 - (begin & 7) - widths).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
+        stops = np.flatnonzero((codes == _CLEAR) | (codes == _END_OF_DATA))
+        used = int(stops[0]) if len(stops) else n
+        for code in codes[:used].tolist():
+            known = len(table)
+            if code < known:
+                entry = table[code]
+                if previous and known < 4096:
+                    table.append(previous + entry[:1])
+            elif code == known and previous:
+                entry = previous + previous[:1]
+                if known < 4096:
+                    table.append(entry)
+            else:
+                raise TiffError("LZW code out of range")
+            out.append(entry)
+            previous = entry
+            made += len(entry)
+            if made >= size:
+                break
+        if used == n:
+            place, at = place + n, int(begin[-1] + widths[-1])
+        elif codes[used] == _END_OF_DATA:
             break
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and previous:
-            entry = previous + previous[:1]
         else:
-            raise TiffError("LZW code out of range")
-        out.append(entry)
-        made += len(entry)
-        if previous and len(table) < 4096:
-            table.append(previous + entry[:1])
-        previous = entry
-        width = min(12, (len(table) + 1).bit_length()) if len(table) >= 511 else 9
+            at, place = int(begin[used] + widths[used]), 0
+            table, previous = list(_SINGLES), b""
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    bits, n_bits, width = _CLEAR, 9, 9
-    table = {bytes((i,)): i for i in range(256)}
-    following = 258
-    prefix = b""
-    out = bytearray()
-
-    def flush() -> None:
-        nonlocal bits, n_bits
-        whole = n_bits // 8
-        if whole:
-            rest = n_bits - 8 * whole
-            out.extend((bits >> rest).to_bytes(whole, "big"))
-            bits, n_bits = bits & ((1 << rest) - 1), rest
-
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
-            continue
-        bits, n_bits = (bits << width) | table[prefix], n_bits + width
-        table[longer] = following
-        following += 1
-        width = min(12, following.bit_length()) if following >= 511 else 9
-        if following >= 4094:
-            bits, n_bits = (bits << width) | _CLEAR, n_bits + width
-            table = {bytes((k,)): k for k in range(256)}
-            following, width = 258, 9
-        prefix = data[i : i + 1]
-        if n_bits > 4096:
-            flush()
-    if prefix:
-        bits, n_bits = (bits << width) | table[prefix], n_bits + width
-        following += 1
-        width = min(12, following.bit_length()) if following >= 511 else 9
-    bits, n_bits = (bits << width) | _END_OF_DATA, n_bits + width
-    pad = -n_bits % 8
-    bits, n_bits = bits << pad, n_bits + pad
-    flush()
-    return bytes(out)
+    codes = [_CLEAR]
+    if data:
+        put, table, following = codes.append, {}, 258
+        prefix = data[0]
+        for byte in data[1:]:
+            key = prefix << 8 | byte
+            code = table.get(key)
+            if code is not None:
+                prefix = code
+                continue
+            put(prefix)
+            table[key] = following
+            following += 1
+            if following >= 258 + _SEGMENT:
+                put(_CLEAR)
+                table, following = {}, 258
+            prefix = byte
+        put(prefix)
+    codes.append(_END_OF_DATA)
+    all_codes = np.array(codes, np.uint16)
+    widths = np.concatenate(([9], _WIDTHS[np.arange(len(codes) - 1) % (_SEGMENT + 1)]))
+    # each code's bits, most significant first, without the leading ones of narrow codes
+    table = (all_codes[:, None] >> np.arange(11, -1, -1, dtype=np.uint16) & 1).astype(np.uint8)
+    return np.packbits(table[np.arange(12) >= 12 - widths[:, None]]).tobytes()
 
 
 def _decompress(data: bytes, compression: int, size: int) -> bytes:

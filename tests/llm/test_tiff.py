@@ -70,6 +70,40 @@ def test_bad_files_give_an_error_row(spark):
     assert by[5] == [(0, True), (None, False)] and by[6][-1] == (None, False)
 
 
+def never_cleared(data):
+    """LZW by a writer that keeps its full table, a bit at a time."""
+    table, bits, prefix, size = {bytes((i,)): i for i in range(256)}, format(256, "09b"), b"", 258
+    width = lambda: 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
+    for i in range(len(data)):
+        longer = prefix + data[i : i + 1]
+        if longer in table:
+            prefix = longer
+            continue
+        bits += format(table[prefix], f"0{width()}b")
+        if size < 4096:
+            table[longer] = size
+            size += 1
+        prefix = data[i : i + 1]
+    bits += format(table[prefix], f"0{width()}b")
+    bits += format(257, "012b")
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+@pytest.mark.parametrize("size", [1, 3836, 3837, 3838, 9000, 60_000])
+def test_lzw_of_any_length_and_of_writers_that_keep_a_full_table(size):
+    rng = np.random.default_rng(size)
+    for high in (2, 40, 256):
+        data = rng.integers(0, high, size).astype(np.uint8).tobytes()
+        coded = tiff.lzw_encode(data)
+        assert tiff.lzw_decode(coded, size) == data and tiff.lzw_decode(coded, size // 2)[: size // 2] == data[: size // 2]
+        if size >= 3836:
+            assert tiff.lzw_decode(never_cleared(data), size) == data
+    assert tiff.lzw_decode(tiff.lzw_encode(b""), 0) == b""
+    with pytest.raises(tiff.TiffError):
+        tiff.lzw_decode(bytes([0x80, 0x7F, 0xFF, 0xFF]), 9)
+
+
 def plain_feature(payload):
     """Pages of 2,048 rows of 64 pixels, statistics of all samples, and page 0 as 8 x 8 bits, one value at a time."""
     rows = [payload[i : i + 192] for i in range(0, len(payload), 192)]
