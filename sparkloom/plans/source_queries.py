@@ -148,12 +148,14 @@ ORACLE_SQL = {
     "numeric_features": " UNION ALL ".join(map(_features, ("customer", "supplier", "part", "lineitem", "labels"))),
     "training_runs": f"""
         WITH {_STREAM},
-        r AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY {_draw("id", "42")}, id::VARCHAR) AS r FROM dr WHERE base),
+        r AS (SELECT y, {{'k': {_draw("id", "42")}, 'i': id::VARCHAR}} AS place, row_number() OVER (PARTITION BY y ORDER BY {_draw("id", "42")}, id::VARCHAR) AS r FROM dr WHERE base),
         k AS (SELECT y, count(*) AS n FROM r GROUP BY y), a AS (SELECT sum(n)::BIGINT AS n, (sum(n) - ceil(round(sum(n) * 0.2, 6)))::BIGINT AS t FROM k),
-        qu AS (SELECT y, k.n, t * k.n / a.n AS quota, floor(t * k.n / a.n) AS least, t, a.n AS whole FROM k, a),
-        o AS (SELECT *, least + CASE WHEN row_number() OVER (ORDER BY round(quota - least, 9) DESC, y) <= t - sum(least) OVER () THEN 1 ELSE 0 END AS take FROM qu)
-        SELECT 1 AS run_id, 'completed' AS status, 'first' AS notes, '{",".join(LINE_FEATURES)}' AS features, any_value(t) AS n_training_rows, any_value(t) AS kept, any_value(whole) - any_value(t) AS tested,
-               (sum(n - take) FILTER (y = 1))::BIGINT AS tested_positive FROM o
+        qu AS (SELECT y, t * k.n / a.n AS quota, floor(t * k.n / a.n) AS least, t FROM k, a),
+        o AS (SELECT *, least + CASE WHEN row_number() OVER (ORDER BY round(quota - least, 9) DESC, y) <= t - sum(least) OVER () THEN 1 ELSE 0 END AS take FROM qu),
+        bd AS (SELECT y, max(place) AS bound FROM r JOIN o USING (y) WHERE r <= take GROUP BY y),
+        tr AS (SELECT y, place <= bound AS train FROM r JOIN bd USING (y))
+        SELECT 1 AS run_id, 'completed' AS status, 'first' AS notes, '{",".join(LINE_FEATURES)}' AS features, count(*) FILTER (train) AS n_training_rows, count(*) FILTER (train) AS kept,
+               count(*) FILTER (NOT train) AS tested, count(*) FILTER (NOT train AND y = 1) AS tested_positive FROM tr
         UNION ALL SELECT 2, 'failed', 'no features', NULL, NULL, NULL, NULL, NULL""",
     "scored_log": f"""WITH {_STREAM} SELECT 5 AS run_id, y AS actual_label, count(*) AS n, count(*) FILTER (id % 3 > 0) AS n_tax, 0::BIGINT AS n_discount,
         round(sum(t) FILTER (id % 3 > 0), 4) AS tax, count(*) AS n_proba, 0::BIGINT AS differ FROM dr WHERE base GROUP BY y""",
