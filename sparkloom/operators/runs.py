@@ -21,8 +21,9 @@ def starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change) + 1
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Each maximal run of rows with equal ``keys`` as one table; what does not fit a batch is carried on."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Each maximal run of rows with equal ``keys`` as one table; what does not fit a batch is carried on. Runs of
+    fewer than ``least`` rows may be left out."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -34,6 +35,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
                 held = []
         cuts = [0, *starts(batch, keys).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a < least and b < batch.num_rows and not held:
+                continue
             held.append(batch.slice(a, b - a))
             if b < batch.num_rows:
                 yield pa.Table.from_batches(held)
