@@ -169,7 +169,7 @@ def _ball_batch(out: list[tuple]) -> pa.RecordBatch:
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of (label, dim, list, x, y, block, ball, near) to candidates (a, b): members that share enough pivots, of
     one block where x = y, else of two."""
-    for part in runs(batches, ["label", "dim", "list", "x", "y"]):
+    for part in runs(batches, ["label", "dim", "list", "x", "y"], 2):
         if part.num_rows < 2:
             continue
         balls, block = part.column("ball").to_numpy(), part.column("block").to_numpy()
