@@ -43,5 +43,5 @@ def test_run_equals_the_stages(spark, sf_dir, stages):
 
 def test_entry_registers_all():
     found = __spark_entry__.queries()
-    assert "pipeline" in found and sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert "pipeline" in found and sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(found)
