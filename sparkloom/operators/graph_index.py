@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.draws import digest_number
 from sparkloom.functions.vectors import METRICS, NORM_FLOOR
 from sparkloom.operators.ann import centres
-from sparkloom.operators.knn import DIGITS, QUERY_BLOCK, distances, knn, matrix, recall
+from sparkloom.operators.knn import DIGITS, QUERY_BLOCK, Best, distances, knn, matrix, recall
 from sparkloom.operators.runs import runs
 from sparkloom.shipping import checkpoint
 
@@ -168,9 +168,8 @@ def chosen(x: np.ndarray, nodes: np.ndarray, src: np.ndarray, dst: np.ndarray, c
     return src[left], dst[left]
 
 
-def bridged(x: np.ndarray, nodes: np.ndarray, links: Links, metric: str) -> Links:
-    """``links`` with one more link for each part of ``nodes`` that no path joins to the largest."""
-    n = len(x)
+def parted(n: int, links: Links) -> np.ndarray:
+    """For each of ``n`` nodes the smallest node that paths join it to."""
     src, dst = links.pairs()
     label = np.arange(n)
     while True:
@@ -178,8 +177,15 @@ def bridged(x: np.ndarray, nodes: np.ndarray, links: Links, metric: str) -> Link
         np.minimum.at(new, src, label[dst])
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def bridged(x: np.ndarray, nodes: np.ndarray, links: Links, metric: str) -> Links:
+    """``links`` with one more link for each part of ``nodes`` that no path joins to the largest."""
+    n = len(x)
+    src, dst = links.pairs()
+    label = parted(n, links)
     parts, size = np.unique(label[nodes], return_counts=True)
     if len(parts) < 2:
         return links
@@ -271,23 +277,45 @@ class Piece:
             out.layers.append(bridged(x, out.nodes(layer) if s.kind != "flat" else np.arange(n), Links.of(n, a, b), s.metric))
         return out
 
-    def search(self, q: np.ndarray, k: int, ef: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of ``q``, id, distance) of each query's best ``k`` here."""
-        p, small, parts = prepared(q, s.metric), prepared(self.v, s.metric).astype(np.float32, copy=False), []
+    def search(self, best: Best, rows: np.ndarray, ef: int, s: Settings) -> None:
+        """Offer to ``best`` what beams of width ``ef`` find for its queries ``rows``.
+
+        A beam as wide as the piece drops no node, so it ends with all that links reach from where it entered. Beams of
+        half that width or more cost more than this set: it is compared as a whole, which misses nothing that they find.
+        """
+        p, small = prepared(best.q[rows], s.metric), prepared(self.v, s.metric).astype(np.float32, copy=False)
+        if 2 * ef >= len(self.ids):
+            for some, nodes in self._reached(p, small, s):
+                for at in range(0, len(nodes), 2048):
+                    part = nodes[at : at + 2048]
+                    best.add(self.ids[part], self.v[part].astype(np.float64), rows[some])
+            return
         for at in range(0, len(p), WALKERS):
-            found, d = self._walk(p[at : at + WALKERS].astype(np.float32), small, s, max(ef, k), 0)
+            found, d = self._walk(p[at : at + WALKERS].astype(np.float32), small, s, max(ef, best.k), 0)
             i, j = np.nonzero(np.isfinite(d))
             who = found[i, j]
             exact = gap(p[at + i], prepared(self.v[who].astype(np.float64), s.metric), s.metric)
             exact = np.round(np.clip(exact, 0, 2) if s.metric == "cosine" else np.sqrt(exact), DIGITS)
-            order = np.lexsort((self.ids[who], exact, i))
-            first = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-            order = order[first < k]
-            parts.append((at + i[order], self.ids[who[order]], exact[order]))
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+            best.merge(rows[at + i], self.ids[who], exact)
+
+    def _reached(self, q: np.ndarray, x: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of ``q``, nodes): the nodes that links of the lowest layer reach from these rows' entries."""
+        label = parted(len(x), self.layers[0])
+        if not label.any():  # one part, which all entries are in
+            yield np.arange(len(q)), np.arange(len(x))
+            return
+        for at in range(0, len(q), WALKERS):
+            own = np.sort(label[self._entries(q[at : at + WALKERS].astype(np.float32), x, s, 0)], axis=1)
+            sets, of = np.unique(own, axis=0, return_inverse=True)
+            for i, parts in enumerate(sets):
+                yield at + np.flatnonzero(of.reshape(-1) == i), np.flatnonzero(np.isin(label, parts))
 
     def _walk(self, q: np.ndarray, x: np.ndarray, s: Settings, ef: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, distances) of a beam of ``ef`` at layer ``floor``, down from the top layer."""
+        return _beam(q, x, self.layers[floor], self._entries(q, x, s, floor), ef, s.metric)
+
+    def _entries(self, q: np.ndarray, x: np.ndarray, s: Settings, floor: int) -> np.ndarray:
+        """Where each row of ``q`` enters layer ``floor``."""
         top = len(self.layers) - 1
         while top > floor and not len(self.nodes(top)):
             top -= 1
@@ -298,7 +326,7 @@ class Piece:
         for layer in range(top, floor, -1):
             found, d = _beam(q, x, self.layers[layer], starts, 4, s.metric)
             starts = np.where(np.isfinite(d), found, found[:, :1])
-        return _beam(q, x, self.layers[floor], starts, ef, s.metric)
+        return starts
 
 
 def _beam(q: np.ndarray, x: np.ndarray, links: Links, starts: np.ndarray, ef: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -526,12 +554,14 @@ def search(index: Index, queries: DataFrame, k: int, ef: int = 64, probes: int |
 def _searched(pieces: DataFrame, shared, k: int, ef: int, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q, near = shared.value
+        best = Best(q, k, s.metric)
         for batch in batches:
             for i in range(batch.num_rows if len(qid) else 0):
                 mine = np.arange(len(qid)) if near is None else np.flatnonzero((near == batch.column("cell")[i].as_py()).any(axis=1))
                 if len(mine):
-                    r, ids, d = _unpack(batch, i).search(q[mine], k, ef, s)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[mine[r]]), pa.array(ids), pa.array(d)], names=["qid", "vec_id", "dist"])
+                    _unpack(batch, i).search(best, mine, ef, s)
+        if best.who.size:  # the best of all pieces of the task
+            yield pa.RecordBatch.from_arrays([pa.array(qid[best.who]), pa.array(best.ids), pa.array(best.dist)], names=["qid", "vec_id", "dist"])
 
     return pieces.select("cell", "dim", "ids", "vectors", "levels", "layers").mapInArrow(run, "qid long, vec_id long, dist double")
 

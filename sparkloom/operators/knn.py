@@ -69,7 +69,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist")
 
 
-class _Best:
+class Best:
     """The k nearest of the vectors seen so far, of each query. Products of whole blocks tell which vectors
     may be among them; only those get their exact distance."""
 
@@ -81,25 +81,32 @@ class _Best:
         self.bound = np.full(len(q), np.inf)
         self.who, self.ids, self.dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
 
-    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
-        square = np.einsum("ij,ij->i", v, v)
+    def add(self, ids: np.ndarray, v: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Vectors for all queries, or for those of ``rows``."""
+        mine = slice(None) if rows is None else rows
+        square, own = np.einsum("ij,ij->i", v, v), self.square[mine]
         if self.cosine:
-            near = 1 - self.unit @ (v / np.maximum(np.sqrt(square), NORM_FLOOR)[:, None]).T
+            near = 1 - self.unit[mine] @ (v / np.maximum(np.sqrt(square), NORM_FLOOR)[:, None]).T
             slack = 1e-8
         else:
-            near = self.square[:, None] + square[None, :] - 2 * (self.q @ v.T)
-            slack = 1e-8 * (1 + self.square[:, None] + square[None, :])
-        limit = self.bound if self.cosine else self.bound * self.bound
+            near = own[:, None] + square[None, :] - 2 * (self.q[mine] @ v.T)
+            slack = 1e-8 * (1 + own[:, None] + square[None, :])
+        limit = self.bound[mine] if self.cosine else self.bound[mine] * self.bound[mine]
         if near.shape[1] > 4 * self.k and np.isinf(limit).any():
             limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
         i, j = np.nonzero(near <= limit[:, None] + slack)
         if not len(i):
             return
+        who = i if rows is None else rows[i]
         if self.cosine:
             dist = np.clip(near[i, j], 0.0, 2.0)
         else:
-            dist = np.concatenate([np.linalg.norm(self.q[i[at : at + 65536]] - v[j[at : at + 65536]], axis=1) for at in range(0, len(i), 65536)])
-        who, all_ids, dist = np.concatenate((self.who, i)), np.concatenate((self.ids, ids[j])), np.concatenate((self.dist, np.round(dist, DIGITS)))
+            dist = np.concatenate([np.linalg.norm(self.q[who[at : at + 65536]] - v[j[at : at + 65536]], axis=1) for at in range(0, len(i), 65536)])
+        self.merge(who, ids[j], np.round(dist, DIGITS))
+
+    def merge(self, who: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Vectors ``ids`` at known distances of the queries ``who``."""
+        who, all_ids, dist = np.concatenate((self.who, who)), np.concatenate((self.ids, ids)), np.concatenate((self.dist, dist))
         order = np.lexsort((all_ids, dist, who))
         place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
         order = order[place < self.k]
@@ -112,7 +119,7 @@ class _Best:
 def _nearest(corpus: DataFrame, shared, k: int, metric: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
-        best = _Best(q, k, metric)
+        best = Best(q, k, metric)
         for batch in batches:
             for at in range(0, batch.num_rows if len(qid) else 0, 2048):
                 best.add(batch.column(0).slice(at, 2048).to_numpy(), matrix(batch.column(1).slice(at, 2048)))

@@ -175,3 +175,36 @@ def test_sweep_reports_recall_and_times(spark):
     c = checkpoint(corpus(spark, np.random.default_rng(9).normal(size=(400, 8))))
     rows = gi.timed_sweep(gi.build(c), asked(c, 20), c, 10, (10, 64), rounds=1)
     assert [r["ef"] for r in rows] == [10, 64] and rows[1]["mean_recall"] >= 0.95 and rows[0]["speedup"] > 0
+
+
+def test_beams_as_wide_as_a_piece_do_not_walk(spark, monkeypatch):
+    """Wide beams take steps that sort them whole, a time that grows with the square of a piece; they compare what the
+    links reach at once. Narrow ones walk."""
+    c = checkpoint(corpus(spark, np.random.default_rng(10).normal(size=(600, 8))))
+    p = gi.Piece(np.arange(600), np.random.default_rng(10).normal(size=(600, 8)), np.zeros(600, np.int8)).build(gi.Settings(m=4))
+    walked = []
+    monkeypatch.setattr(gi, "_beam", lambda q, x, links, starts, ef, metric: walked.append(ef) or (starts[:, :1], np.zeros((len(q), 1), np.float32)))
+    best = knn.Best(p.v[:5], 7, "cosine")
+    p.search(best, np.arange(5), 600, gi.Settings(m=4))
+    assert not walked
+    d = knn.distances(p.v[:5], p.v, "cosine")
+    assert best.ids.reshape(5, 7).tolist() == [np.lexsort((p.ids, r))[:7].tolist() for r in d]
+    p.search(knn.Best(p.v[:5], 7, "cosine"), np.arange(5), 16, gi.Settings(m=4))
+    assert walked == [16]
+    assert gi.search(gi.build(c, gi.Settings(m=4)), asked(c, 50), 5, ef=600).count() == 60
+
+
+def test_wide_beams_find_nothing_that_links_do_not_reach():
+    v = np.random.default_rng(11).normal(size=(40, 6))
+    p = gi.Piece(np.arange(40), v, np.zeros(40, np.int8)).build(gi.Settings(m=4))
+    src, dst = p.layers[0].pairs()
+    same = (src < 20) == (dst < 20)
+    p.layers[0] = gi.Links.of(40, src[same], dst[same])
+    for kind, metric in (("layered", "cosine"), ("flat", "euclidean")):
+        s, q = gi.Settings(m=4, kind=kind, metric=metric), np.random.default_rng(12).normal(size=(30, 6))
+        best = knn.Best(q, 5, metric)
+        p.search(best, np.arange(30), 40, s)
+        found, d = p._walk(gi.prepared(q, metric).astype(np.float32), gi.prepared(v, metric).astype(np.float32), s, 40, 0)
+        for r in range(30):
+            reached = found[r][np.isfinite(d[r])]
+            assert len(reached) < 40 and best.ids[best.who == r].tolist() == reached[:5].tolist()
