@@ -34,6 +34,8 @@ from sparkloom.shipping import checkpoint
 PIECE_ROWS = 4096
 #: Rows of a piece whose candidates are compared at once.
 BLOCK = 256
+#: Pairs of vectors that are held at once.
+PAIRS = 1 << 14
 #: Queries that walk a piece at once, and nodes that each of them expands in a step.
 WALKERS, EXPAND = 256, 8
 MOST_CELLS = 4096
@@ -99,6 +101,14 @@ def gap(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.einsum("...j,...j->...", d, d)
 
 
+def gaps(x: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """:func:`gap` of the rows ``a`` and ``b`` of ``x``, some pairs at a time."""
+    out = np.empty(len(a), x.dtype)
+    for at in range(0, len(a), PAIRS):
+        out[at : at + PAIRS] = gap(x[a[at : at + PAIRS]], x[b[at : at + PAIRS]], metric)
+    return out
+
+
 def select(x: np.ndarray, nodes: np.ndarray, around: np.ndarray, own: np.ndarray, m: int, metric: str) -> np.ndarray:
     """Which of each node's candidates (positions ``around``, ascending distances ``own``, infinite where there is none)
     stay: those closer to the node than to every one kept before, then the nearest others, up to ``m``."""
@@ -144,7 +154,7 @@ def chosen(x: np.ndarray, nodes: np.ndarray, src: np.ndarray, dst: np.ndarray, c
     over[full] = True
     mine = over[src]
     s, t = src[mine], dst[mine]
-    d = gap(x[s], x[t], metric)
+    d = gaps(x, s, t, metric)
     order = np.lexsort((t, d, s))
     s, t, d = s[order], t[order], d[order]
     place = np.arange(len(s)) - np.searchsorted(s, s)
@@ -431,7 +441,7 @@ class Index:
                     x = prepared(p.v.astype(np.float64), metric)
                     for k, links in enumerate(p.layers):
                         a, b = links.pairs()
-                        d = gap(x[a], x[b], metric)
+                        d = gaps(x, a, b, metric)
                         d = np.round(np.clip(d, 0, 2) if metric == "cosine" else np.sqrt(d), DIGITS)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(p.ids[a]), pa.array(p.ids[b]), pa.array(d)], names=["layer", "src", "dst", "dist"])
 
@@ -465,13 +475,18 @@ def _keyed(placed: DataFrame, bits: np.ndarray, salts: np.ndarray) -> DataFrame:
     return dealt.select("cell", F.col("side").bitwiseAND(F.col("mask")).alias("code"), F.pmod(F.xxhash64("vec_id"), F.col("salts")).cast("int").alias("salt"), "vec_id", "v", "level")
 
 
-def _pieces(rows: DataFrame, s: Settings) -> DataFrame:
+def _pieces(rows: DataFrame, s: Settings, tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, _KEY):
             key = tuple(part.column(c)[0].as_py() for c in _KEY)
             yield _pack(key, Piece(part.column("vec_id").to_numpy(), matrix(part.column("v").combine_chunks()), part.column("level").to_numpy().astype(np.int8)).build(s), s.single)
 
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "vec_id").mapInArrow(run, STORED)
+    return rows.repartition(tasks, *_KEY).sortWithinPartitions(*_KEY, "vec_id").mapInArrow(run, STORED)
+
+
+def _tasks(spark: SparkSession, n: int, most: int) -> int:
+    """As many tasks as pieces of ``n`` vectors there may be, so that a task has few of them however many there are."""
+    return max(spark.sparkContext.defaultParallelism, -(-2 * n // most))
 
 
 def build(corpus: DataFrame, settings: Settings | None = None, piece_rows: int | None = None) -> Index:
@@ -489,7 +504,7 @@ def build(corpus: DataFrame, settings: Settings | None = None, piece_rows: int |
     codes = _keyed(placed, bits, np.ones(len(cells), int)).groupBy("cell", "code").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max("n").alias("n"))
     largest = {r["cell"]: r["n"] for r in codes.collect()}
     salts = np.array([max(1, -(-largest.get(i, 0) // (2 * most))) for i in range(len(cells))])
-    return Index(checkpoint(_pieces(_keyed(placed, bits, salts), s)), cells, bits, salts, s)
+    return Index(checkpoint(_pieces(_keyed(placed, bits, salts), s, _tasks(spark, n, most))), cells, bits, salts, s)
 
 
 def insert(index: Index, more: DataFrame, piece_rows: int | None = None) -> Index:
@@ -519,7 +534,7 @@ def insert(index: Index, more: DataFrame, piece_rows: int | None = None) -> Inde
             yield _pack(key, had.insert(new.column("vec_id").to_numpy(), matrix(new.column("v").combine_chunks()), new.column("level").to_numpy().astype(np.int8), s), s.single)
 
     order = [F.col(c) for c in _KEY] + [F.col("vec_id").asc_nulls_first()]
-    made = both.repartition(*_KEY).sortWithinPartitions(*order).mapInArrow(run, STORED)
+    made = both.repartition(_tasks(index.pieces.sparkSession, index.count(), most), *_KEY).sortWithinPartitions(*order).mapInArrow(run, STORED)
     rest = index.pieces.join(keys, _KEY, "left_anti")
     return replace(index, pieces=checkpoint(rest.unionByName(made)))
 

@@ -208,3 +208,15 @@ def test_wide_beams_find_nothing_that_links_do_not_reach():
         for r in range(30):
             reached = found[r][np.isfinite(d[r])]
             assert len(reached) < 40 and best.ids[best.who == r].tolist() == reached[:5].tolist()
+
+
+def test_links_of_a_full_piece_take_bounded_memory():
+    import tracemalloc
+
+    p = gi.Piece(np.arange(3000), np.random.default_rng(13).normal(size=(3000, 64)), np.zeros(3000, np.int8))
+    s = gi.Settings()
+    tracemalloc.start()
+    p.build(s)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
