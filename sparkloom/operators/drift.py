@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.drift import SHARE_FLOOR, bin_of, drift_detected, ks_p_asymptotic, psi_severity
-from sparkloom.operators.ordered import quantiles, running_sums
+from sparkloom.operators.ordered import counted_quantiles, few, running_sums
 from sparkloom.shipping import checkpoint
 
 BINS = 10
@@ -18,6 +18,8 @@ RETRAIN_FRACTION = 0.3
 RETRAIN_ROWS = 60
 #: Cells of the band up to which paths are counted one by one: minutes at most for a feature.
 EXACT_CELLS = 2e10
+#: Tasks that the features' paths are dealt to.
+MOST_TASKS = 10_000
 
 
 def clean(samples: DataFrame) -> DataFrame:
@@ -26,13 +28,25 @@ def clean(samples: DataFrame) -> DataFrame:
     return samples.select("feature", x.alias("x"), "is_current").where("x is not null and not isnan(x)")
 
 
+def counts(samples: DataFrame) -> DataFrame:
+    """(feature, x, base, now): how often each value occurs in either sample. The rest starts from these rows, so that
+    samples are read once and never shuffled by their feature alone."""
+    both = clean(samples).groupBy("feature", "x").agg(F.count_if(~F.col("is_current")).alias("base"), F.count_if("is_current").alias("now"))
+    return checkpoint(both)
+
+
 def decile_edges(samples: DataFrame, bins: int = BINS) -> DataFrame:
     """(feature, edges): distinct quantiles of the baseline, ascending, outer ones infinite.
 
     With at most two distinct edges there is one bin, so its PSI is 0.
     """
+    return _edges(counts(samples), bins)
+
+
+def _edges(counted: DataFrame, bins: int) -> DataFrame:
     shares = [k / bins for k in range(bins + 1)]
-    found = quantiles(clean(samples).where("not is_current"), "feature", "x", shares)
+    base = counted.where("base > 0").select("feature", "x", F.col("base").alias("n"))
+    found = counted_quantiles(base, "feature", "x", shares)
     edges = found.groupBy("feature").agg(F.array_sort(F.collect_set("value")).alias("e"))  # at most bins + 1 values
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
     return edges.select("feature", F.concat(F.array(F.lit(-math.inf)), inner, F.array(F.lit(math.inf))).alias("edges"))
@@ -43,17 +57,17 @@ def psi_bins(samples: DataFrame, bins: int = BINS) -> DataFrame:
 
     Shares are floored at 1e-6 and not normalised again.
     """
-    edges = decile_edges(samples, bins)
+    return _psi_bins(counts(samples), bins)
+
+
+def _psi_bins(counted: DataFrame, bins: int) -> DataFrame:
+    edges = checkpoint(_edges(counted, bins))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    counts = (
-        clean(samples)
-        .join(edges, "feature")
-        .groupBy("feature", bin_of(F.col("x"), inner).alias("bin"))
-        .agg(F.count_if(~F.col("is_current")).alias("base"), F.count_if("is_current").alias("now"))
-    )
-    totals = counts.groupBy("feature").agg(F.sum("base").alias("all_base"), F.sum("now").alias("all_now"))
+    placed = counted.join(few(edges), "feature").groupBy("feature", bin_of(F.col("x"), inner).alias("bin"))
+    counts_ = checkpoint(placed.agg(F.sum("base").alias("base"), F.sum("now").alias("now")))  # at most bins + 1 rows a feature
+    totals = counts_.groupBy("feature").agg(F.sum("base").alias("all_base"), F.sum("now").alias("all_now"))
     every = edges.select("feature", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    joined = every.join(counts, ["feature", "bin"], "left").join(totals, "feature")
+    joined = every.join(counts_, ["feature", "bin"], "left").join(totals, "feature")
     expected = F.greatest(F.coalesce(F.col("base") / F.col("all_base"), F.lit(0.0)), F.lit(SHARE_FLOOR))
     actual = F.greatest(F.coalesce(F.try_divide("now", "all_now"), F.lit(0.0)), F.lit(SHARE_FLOOR))
     contribution = F.when(F.col("all_now") > 0, (actual - expected) * F.ln(actual / expected)).otherwise(0.0)
@@ -64,7 +78,11 @@ def psi_bins(samples: DataFrame, bins: int = BINS) -> DataFrame:
 
 def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
     """(feature, psi): 0 where either sample is empty."""
-    found = psi_bins(samples, bins).groupBy("feature").agg(F.sum("contribution").alias("psi"))
+    return _psi(samples, counts(samples), bins)
+
+
+def _psi(samples: DataFrame, counted: DataFrame, bins: int) -> DataFrame:
+    found = _psi_bins(counted, bins).groupBy("feature").agg(F.sum("contribution").alias("psi"))
     features = samples.select("feature").distinct()
     return features.join(found, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
@@ -72,9 +90,12 @@ def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
 def ks(samples: DataFrame) -> DataFrame:
     """(feature, n_base, n_current, d): the largest gap of the two distribution functions; 0 with fewer
     than two values on a side."""
-    counted = clean(samples).groupBy("feature", "x").agg(F.count_if(~F.col("is_current")).alias("base"), F.count_if("is_current").alias("now"))
-    totals = counted.groupBy("feature").agg(F.sum("base").alias("n_base"), F.sum("now").alias("n_current"))
-    upto = running_sums(counted, ["feature"], "x", ["base", "now"]).join(totals, "feature")
+    return _ks(counts(samples))
+
+
+def _ks(counted: DataFrame) -> DataFrame:
+    totals = checkpoint(counted.groupBy("feature").agg(F.sum("base").alias("n_base"), F.sum("now").alias("n_current")))
+    upto = running_sums(counted, ["feature"], "x", ["base", "now"]).join(few(totals), "feature")
     gap = F.abs(F.try_divide("base_upto", "n_base") - F.try_divide("now_upto", "n_current"))
     found = upto.groupBy("feature", "n_base", "n_current").agg(F.max(gap).alias("d"))
     enough = (F.col("n_base") > 1) & (F.col("n_current") > 1)
@@ -86,7 +107,8 @@ def ks_p_exact(d: float, n: int, m: int) -> float:
 
     It is the share of lattice paths from (0, 0) to (n, m) that leave the band of width d around the diagonal. For
     equal samples reflections count them in closed form. Else paths are counted along the shorter side, within the
-    band alone, of 2 d max(n, m) places a row, and weighted so that nothing overflows or vanishes.
+    band alone, of 2 d max(n, m) places a row, and weighted so that nothing overflows or vanishes. Where the shorter
+    side is far shorter, they are counted along the longer one, in leaps (see :func:`_kept_by_leaps`).
     """
     if min(n, m) < 1 or d <= 0:
         return 1.0
@@ -105,6 +127,10 @@ def ks_p_exact(d: float, n: int, m: int) -> float:
         return 1.0
     # weights of paths that step with chances n and m in n + m; on the diagonal they are near 1 / sqrt(i + j)
     p, q = n / (n + m), m / (n + m)
+    total = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(p) + m * math.log(q)
+    if (wide := 2 * d * n + 1) * wide < d * m:
+        kept = _kept_by_leaps(n, m, bound, p, q)
+        return float(min(1.0, max(0.0, 1.0 - math.exp(math.log(kept) - total)))) if kept > 0 else 1.0
     block = min(m + 1, int(300 / -math.log(q)))
     up = q ** -np.arange(block, dtype=float)
     down = 1 / up
@@ -128,12 +154,33 @@ def ks_p_exact(d: float, n: int, m: int) -> float:
         kept = row[first - lo :][: len(here)]
         here[: len(kept)] = p * kept
         row, lo = along(here), first
-    total = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(p) + m * math.log(q)
     if lo + len(row) - 1 < m or row[-1] <= 0:
         return 1.0
     return float(min(1.0, max(0.0, 1.0 - math.exp(math.log(row[-1]) - total))))
 
 
+def _kept_by_leaps(n: int, m: int, bound: float, p: float, q: float) -> float:
+    """The weight of paths to (n, m) that stay in the band. Between two columns at which a row enters or leaves it,
+    nothing bounds a path, and the ways up have a closed form; there are 2 n such columns, however large m is."""
+    i = np.arange(n + 1, dtype=float)
+    first = np.maximum(0, np.floor((i * m - bound) / n) + 1).astype(np.int64)
+    last = np.minimum(m, np.ceil((i * m + bound) / n) - 1).astype(np.int64)
+    ends = np.unique(np.concatenate((first, last + 1, [0, m + 1])))
+    ends = ends[ends <= m + 1]
+    f = np.zeros(n + 1)
+    f[0] = 1 / q  # the first column is entered without a step
+    for at, to in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+        lo, hi = int(np.searchsorted(last, at)), int(np.searchsorted(first, at, side="right"))
+        if lo >= hi:
+            return 0.0
+        up = np.arange(1, hi - lo, dtype=float)
+        ways = q ** (to - at) * np.cumprod(np.concatenate(([1.0], p * (up + (to - at) - 1) / up)))
+        here = np.convolve(f[lo:hi], ways)[: hi - lo]
+        f = np.zeros(n + 1)
+        f[lo:hi] = here
+    return float(f[n])
+
+
 def _exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([ks_p_exact(a, int(b), int(c)) for a, b, c in zip(d, n, m, strict=True)], dtype="float64")
 
@@ -144,7 +191,13 @@ def ks_test(samples: DataFrame, exact_cells: float = EXACT_CELLS) -> DataFrame:
     ``p_value`` is exact for samples of equal sizes, and where the band has at most ``exact_cells`` cells: 2 d n m, which
     10^5 values a side do not reach at any d that leaves a doubt. Beyond, both agree to more digits than a decision needs.
     """
-    found = ks(samples)
+    return _ks_test(counts(samples), exact_cells)
+
+
+def _ks_test(counted: DataFrame, exact_cells: float = EXACT_CELLS) -> DataFrame:
+    found = checkpoint(_ks(counted))
+    # a feature a task: the paths of one may take minutes
+    found = found.repartitionByRange(max(1, min(MOST_TASKS, found.count())), "feature")
     enough = (F.col("n_base") > 1) & (F.col("n_current") > 1)
     asymptotic = F.when(enough, ks_p_asymptotic(F.col("d"), F.col("n_base"), F.col("n_current"))).otherwise(1.0)
     counted = enough & ((F.col("n_base") == F.col("n_current")) | (2 * F.col("d") * F.col("n_base") * F.col("n_current") <= exact_cells))
@@ -166,7 +219,9 @@ def moments(samples: DataFrame) -> DataFrame:
 
 def report(samples: DataFrame, p_column: str = "p_value", bins: int = BINS) -> DataFrame:
     """One row a feature: ``psi, severity, d, p_value, drift_detected, n_base, n_current``."""
-    joined = psi(samples, bins).join(ks_test(samples), "feature", "left")
+    counted = counts(samples)
+    # the paths are counted once, before anything is joined
+    joined = _psi(samples, counted, bins).join(checkpoint(_ks_test(counted)), "feature", "left")
     p = F.coalesce(p_column, F.lit(1.0))
     return joined.select(
         "feature", "psi", psi_severity(F.col("psi")).alias("severity"), F.coalesce("d", F.lit(0.0)).alias("d"), p.alias("p_value"), drift_detected(F.col("psi"), p).alias("drift_detected"),

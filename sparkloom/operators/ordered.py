@@ -10,6 +10,13 @@ from sparkloom.shipping import checkpoint
 
 #: Rows of a group that one window may hold; larger groups are cut at approximate quantiles.
 RANGE_ROWS = 500_000
+#: Numbers, of ranges of all groups, that are broadcast.
+MOST_CUTS = 100_000
+
+
+def few(side: DataFrame, most: int = MOST_CUTS) -> DataFrame:
+    """``side``, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -21,21 +28,27 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: list[str],
     row count reaches the driver, nothing else.
     """
     group = [F.col(k) for k in keys]
-    largest = (df.groupBy(*group).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))).agg(F.max("n")).first()[0] or 0
-    ranges = max(1, -(-largest // range_rows))
+    sizes = df.groupBy(*group).agg(F.count("*").alias("n")) if keys else df.agg(F.count("*").alias("n"))
+    found = sizes.agg(F.max("n").alias("largest"), F.count("*").alias("groups")).first()
+    ranges = max(1, -(-(found["largest"] or 0) // range_rows))
     if ranges == 1 and keys:
         w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
         return df.select("*", *[F.sum(v).over(w).alias(f"{v}_upto") for v in values])
     shares = [k / ranges for k in range(1, ranges)] or [0.5]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, shares, 10_000).alias("cuts_"))
+    cuts = checkpoint(df.groupBy(*group).agg(F.percentile_approx(order, shares, 10_000).alias("cuts_")))
+
+    def small(side: DataFrame) -> DataFrame:
+        """Shuffled by the keys, a group would be whole in one task; so cuts and sums of ranges go to the rows."""
+        return F.broadcast(side) if ranges * found["groups"] <= MOST_CUTS else side
+
     # one row a group, an array of as many numbers as ranges
-    placed = (df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))).withColumn("range_", F.size(F.filter("cuts_", lambda c: c < F.col(order)))).drop("cuts_")
+    placed = (df.join(small(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))).withColumn("range_", F.size(F.filter("cuts_", lambda c: c < F.col(order)))).drop("cuts_")
     before = W.partitionBy(*keys).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
     totals = placed.groupBy(*group, "range_").agg(*[F.sum(v).alias(f"{v}_t") for v in values])
     starts = totals.select(*keys, "range_", *[F.coalesce(F.sum(f"{v}_t").over(before), F.lit(0)).alias(f"{v}_s") for v in values])
     within = W.partitionBy(*keys, "range_").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     summed = placed.select("*", *[F.sum(v).over(within).alias(f"{v}_w") for v in values])
-    return summed.join(starts, [*keys, "range_"]).select(*df.columns, *[(F.col(f"{v}_s") + F.col(f"{v}_w")).alias(f"{v}_upto") for v in values])
+    return summed.join(small(starts), [*keys, "range_"]).select(*df.columns, *[(F.col(f"{v}_s") + F.col(f"{v}_w")).alias(f"{v}_upto") for v in values])
 
 
 def quantiles(df: DataFrame, key: str, x: str, shares: list[float]) -> DataFrame:
@@ -44,10 +57,14 @@ def quantiles(df: DataFrame, key: str, x: str, shares: list[float]) -> DataFrame
     Equal values are counted first, so a row is a distinct value; the two values around each position are
     found by their running counts.
     """
-    counted = df.groupBy(key, x).agg(F.count("*").alias("n"))
+    return counted_quantiles(checkpoint(df.groupBy(key, x).agg(F.count("*").alias("n"))), key, x, shares)
+
+
+def counted_quantiles(counted: DataFrame, key: str, x: str, shares: list[float]) -> DataFrame:
+    """:func:`quantiles` from (key, x, n), how often each value occurs, which is read several times."""
     upto = running_sums(counted, [key], x, ["n"])
-    total = counted.groupBy(key).agg(F.sum("n").alias("total"))
-    placed = upto.join(total, key)
+    total = checkpoint(counted.groupBy(key).agg(F.sum("n").alias("total")))
+    placed = upto.join(few(total), key)
     first = F.col("n_upto") - F.col("n")
 
     def holds(position):

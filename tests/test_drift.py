@@ -152,3 +152,50 @@ def test_running_sums_over_ranges_without_keys(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("o"), F.lit(1).cast("long").alias("one"))
     got = ordered.running_sums(df, [], "o", ["one"], range_rows=37)
     assert got.where("one_upto <> o + 1").count() == 0 and got.count() == 1000
+
+
+def test_samples_are_read_once(spark):
+    """Before, each step of a report read and counted the samples anew, and joins dealt them by their feature alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(6)
+    some = samples(spark, rng.normal(size=300), rng.normal(size=200)).withColumn("x", F.udf(read, "double").asNondeterministic()("x"))
+    assert drift.report(some).count() == 1
+    assert seen.value == 500
+
+
+def test_ranges_do_not_shuffle_rows_by_group(spark):
+    rows = spark.createDataFrame([("f", float(i), 1) for i in range(300)], "k string, x double, n long")
+    told = ordered.running_sums(rows, ["k"], "x", ["n"], range_rows=50)
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert [r["n_upto"] for r in told.orderBy("x").collect()] == list(range(1, 301))
+
+
+def test_paths_of_each_feature_have_their_own_task(spark):
+    rng = np.random.default_rng(7)
+    some = None
+    for name in "abcde":
+        one = samples(spark, rng.normal(size=40), rng.normal(size=31), name)
+        some = one if some is None else some.unionByName(one)
+    tasks = drift.ks_test(some).select("feature", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in tasks}) == len(tasks) == 5
+
+
+def test_paths_by_leaps_equal_those_by_rows():
+    for d, n, m in ((0.3, 7, 2000), (0.9, 3, 100), (0.2, 1, 50), (0.15, 20, 301)):
+        p, q, bound = n / (n + m), m / (n + m), d * n * m - 1e-9 * n * m
+        row = np.array([q**j if j * n < bound else 0.0 for j in range(m + 1)])
+        for i in range(1, n + 1):
+            new, last = np.zeros(m + 1), 0.0
+            for j in range(m + 1):
+                last = p * row[j] + q * last if abs(i * m - j * n) < bound else 0.0
+                new[j] = last
+            row = new
+        assert abs(drift._kept_by_leaps(n, m, bound, p, q) - row[m]) < 1e-12
+    # rows of this length would take minutes and gigabytes
+    assert abs(drift.ks_p_exact(0.05, 300, 1_000_000_000) - drift.ks_p_exact(0.05, 300, 1_000_000)) < 1e-3
