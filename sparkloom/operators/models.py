@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators import metrics
+from sparkloom.shipping import checkpoint
 
 #: Names under which a target is looked for, in this order (fixed values).
 TARGET_NAMES = ("target", "label", "y", "Churn", "default")
@@ -72,13 +73,15 @@ def train(df: DataFrame, id_col: str, target: str | None = None, features: list[
     rows = coerced(df.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("int")), features)
     if not features:
         raise ValueError("no numeric feature columns")
-    split = metrics.stratified_split(rows, target, id_col, 1 - test_share)
+    # kept, since fitting, measuring and whoever keeps the rows read it again
+    split = checkpoint(metrics.stratified_split(rows, target, id_col, 1 - test_share))
     fitted = split.where("in_train").drop("in_train")
     usual = {"regParam": 1 / max(1, fitted.count())} if model_type == "logistic_regression" else {}
     model = build(features, target, model_type, usual | (settings or {})).fit(fitted)
     scored = predict(model, split.where("not in_train"), features).select(F.col(target).alias("label"), F.col("prediction").cast("int").alias("predicted"), F.col("probability").alias("score"))
+    scored = checkpoint(scored)
     measured = metrics.classification(scored).crossJoin(F.broadcast(metrics.auc(scored)))  # one row each
-    return Trained(model, features, target, measured, fitted)
+    return Trained(model, features, target, checkpoint(measured), fitted)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:

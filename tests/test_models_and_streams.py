@@ -232,3 +232,18 @@ def test_window_state_keeps_the_newest(spark, tmp_path):
     got = sorted((r["k"], r["o"], r["feature"], r["x"]) for r in held().where("feature = 'x'").collect())
     want = [(k, o, "x", x) for k in (1, 2) for k2, o, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])[-25:]]
     assert got == want
+
+
+def test_training_splits_once(spark, table):
+    """Only the split reads the rows; fitting, measuring and the metrics, however often they are asked for, do not."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    odd = table.select("id", "label", "b", F.udf(read, "double").asNondeterministic()("a").alias("a"))
+    trained = models.train(odd, "id", "label", settings={"maxIter": 3})
+    assert seen.value == 1200
+    assert trained.metrics.count() == trained.metrics.count() == 1 and trained.rows.count() == 960
+    assert seen.value == 1200
