@@ -55,7 +55,8 @@ def stream_retrain_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(ship(spark))}/retrain-{uuid.uuid4().hex}"
     flow = RetrainFlow(spark, folder, "id", "target", settings={"maxIter": 20})
     flow.start(baseline_lines(spark, sf_dir))
-    rows = checkpoint(line_stream(spark, sf_dir))
+    line_stream(spark, sf_dir).write.partitionBy("batch").parquet(f"{folder}/due")
+    rows = spark.read.parquet(f"{folder}/due")
     batches = [r["batch"] for r in rows.select("batch").distinct().orderBy("batch").collect()]  # at most 12
     for b in batches:  # batches arrive one after another
         rows.where(F.col("batch") == b).drop("batch").write.parquet(f"{folder}/arrived/batch={b}")
