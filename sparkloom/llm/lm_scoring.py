@@ -14,12 +14,12 @@ words beyond the broadcast list come from a join.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ SLICES = 32
 FLUSH_TOKENS = 1_000_000
 #: Tokens of a written row.
 ROW_TOKENS = 200_000
+#: Bytes of texts whose words are looked up at once.
+PIECE_BYTES = 1 << 21
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -46,6 +48,31 @@ def tokens_of(text: str | None) -> list[bytes]:
     return out
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of ``texts`` (binary), one after the other, and how many each text has: :func:`tokens_of` without ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays([texts]).view(pa.string())))
+    words, sizes = lists.flatten().view(pa.binary()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # white space at an edge of a text leaves an empty word, and so does an empty text
+    empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)
+    if len(empty):
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sizes -= np.bincount(owner[empty], minlength=len(sizes))
+        words = words.filter(pc.not_equal(pc.binary_length(words), 0))
+    return words, sizes
+
+
+def pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows of about PIECE_BYTES, a longer text being one of its own, with their texts as bytes; null is empty."""
+    texts = pc.fill_null(batch.column(column).cast(pa.binary()), b"")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        most = PIECE_BYTES + (upto[start - 1] if start else 0)
+        end = max(start + 1, int(np.searchsorted(upto, most, "right")))
+        yield batch.slice(start, end - start), texts.slice(start, end - start)
+        start = end
+
+
 # --- counts -----------------------------------------------------------------------------------------
 
 
@@ -54,18 +81,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     pass on what they have when it exceeds FLUSH_TOKENS words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held, rows, ends = [], 0, 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(tokens_of(text))
-                if len(held) > FLUSH_TOKENS:
-                    yield out()
-                    held.clear()
-        yield out()
+            for _, piece in pieces_of(batch, 0):
+                found = words_of(piece)[0].value_counts()
+                held.append(pa.table([found.field(0), found.field(1)], names=["word", "n"]))
+                rows, ends = rows + len(found), ends + len(piece)
+                if rows > 2 * FLUSH_TOKENS:
+                    held = [added()]
+                    rows = held[0].num_rows
+                    if rows > FLUSH_TOKENS:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if ends:
+            held.append(pa.table([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"]))
+            yield from added().to_batches()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -79,23 +113,28 @@ class Lexicon:
     counts: np.ndarray
     tokens: int
     distinct: int
-    _place: dict[bytes, int] | None = None
+    _listed: pa.Array | None = None
 
     @property
     def end(self) -> int:
         return self.rank[END]
 
-    def places(self, tokens: list[bytes]) -> np.ndarray:
-        if self._place is None:
-            self._place = _Places(self.rank)
-        return np.fromiter(map(self._place.__getitem__, tokens), np.int32, len(tokens))
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Ranks of ``words`` (binary, no nulls), and codes of those that have none."""
+        if self._listed is None:
+            self._listed = pa.array(list(self.rank), pa.binary())
+        out = pc.fill_null(pc.index_in(words, value_set=self._listed), -1).to_numpy().copy()
+        other = np.flatnonzero(out < 0)
+        out[other] = len(self.rank) + maxent.codes_of(words.take(pa.array(other)))
+        return out
 
-
-class _Places(dict):
-    """Ranks, and codes of words that have none; the codes are not kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self) + maxent.code_of(word)
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Places of all tokens of ``texts``, how many each text has, and the words that are not listed."""
+        words, sizes = words_of(texts)
+        places = self.places(words)
+        out = np.full(len(words) + len(sizes), self.end, np.int32)
+        out[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = places
+        return out, sizes + 1, words.take(pa.array(np.flatnonzero(places >= len(self.rank))))
 
 
 def lexicon(counts: DataFrame, listed: int = LISTED_WORDS) -> Lexicon:
@@ -137,12 +176,14 @@ def write_encoded(texts: DataFrame, shared, slices: int) -> str:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([k], pa.int32())], names=["places", "slice"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                k = xxhash.xxh32_intdigest((text or "").encode("utf-8", "replace")) % slices
-                held[k].append(lex.places(tokens_of(text)))
-                sizes[k] += len(held[k][-1])
-                if sizes[k] > ROW_TOKENS:
-                    yield out(k)
+            for _, piece in pieces_of(batch, 0):
+                places, lengths, _ = lex.encoded(piece)
+                for text, data in zip(piece.to_pylist(), np.split(places, np.cumsum(lengths)[:-1]), strict=True):
+                    k = xxhash.xxh32_intdigest(text) % slices
+                    held[k].append(data.copy())
+                    sizes[k] += len(data)
+                    if sizes[k] > ROW_TOKENS:
+                        yield out(k)
         for k in range(slices):
             if held[k]:
                 yield out(k)
@@ -196,7 +237,7 @@ def rare_norms(counts: DataFrame, shared) -> np.ndarray:
         c = model.classes
         tokens, distinct = np.zeros(c.count - c.rare), np.zeros(c.count - c.rare)
         for batch in batches:
-            place = lex.places(batch.column(0).to_pylist())
+            place = lex.places(batch.column(0))
             some = place >= c.n
             of = c.of[place[some]] - c.rare
             tokens += np.bincount(of, batch.column(1).to_numpy()[some], len(tokens))
@@ -224,30 +265,25 @@ def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared, norms:
         logs, c, end = np.log10(lex.counts + 0.5), model.classes, lex.end
         seen = lex.counts > 0
         for batch in batches:
-            for part in _by_size(batch):
-                texts = part.column(1).to_pylist()
-                tokens = [tokens_of(t) for t in texts]
-                sizes = [len(t) for t in tokens]
-                flat = [w for t in tokens for w in t]
-                places = lex.places(flat)
+            for part, piece in pieces_of(batch, 1):
+                places, sizes, others = lex.encoded(piece)
                 listed = places < c.n
-                owner = np.repeat(np.arange(len(texts)), sizes)
+                n = len(piece)
+                owner = np.repeat(np.arange(n), sizes)
                 scores = model.scores(places, maxent.histories(places, end))
                 scores[~listed] -= norms[c.of[places[~listed]] - c.rare]
-                n = len(texts)
                 base = np.bincount(owner[listed], logs[places[listed]], n)
                 known = np.bincount(owner[listed], seen[places[listed]], n).astype(int)
                 score = np.bincount(owner, scores, n)
                 ids = part.column(0).to_pylist()
-                hashes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "replace")) >> 1 for t in texts]
+                hashes = [xxhash.xxh64_intdigest(t) >> 1 for t in piece.to_pylist()]
                 # a key of its own, which no word equals, keeps these rows from meeting in one task
                 own = [b"\n%d %d" % (h, i or 0) for h, i in zip(hashes, ids, strict=True)]
-                yield _rows(ids, hashes, own, [0] * n, pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(score))
-                at = np.flatnonzero(~listed)
-                if len(at):
-                    who = owner[at]
-                    none = [pa.nulls(len(at), pa.int64())] * 2 + [pa.nulls(len(at), pa.float64())] * 2
-                    yield _rows(part.column(0).take(pa.array(who)), np.array(hashes, np.int64)[who], [flat[i] for i in at.tolist()], np.ones(len(at), np.int64), *none)
+                yield _rows(part.column(0), hashes, pa.array(own, pa.binary()), np.zeros(n, np.int64), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score))
+                if len(others):
+                    who = owner[~listed]
+                    none = [pa.nulls(len(who), pa.int64())] * 2 + [pa.nulls(len(who), pa.float64())] * 2
+                    yield _rows(part.column(0).take(pa.array(who)), np.array(hashes, np.int64)[who], others, np.ones(len(who), np.int64), *none)
 
     rows = docs.mapInArrow(run, _ROW)
     joined = rows.join(counts.where(F.col("c") > 0).select("word", "c"), "word", "left")
@@ -279,20 +315,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, lex: Lexicon, shared, norms:
     ).drop("copy")
 
 
-def _by_size(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``most`` characters; a longer text is a run of its own."""
-    start, size = 0, 0
-    for i, text in enumerate(batch.column(1)):
-        size += len(text.as_py() or "")
-        if size >= most:
-            yield batch.slice(start, i + 1 - start)
-            start, size = i + 1, 0
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
-def _rows(ids: list[int | None] | pa.Array, hashes: list[int] | np.ndarray, words: list[bytes], tf: list[int] | np.ndarray, *more: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64()), *more], names=_ROW.names)
+def _rows(ids: pa.Array, hashes: list[int] | np.ndarray, words: pa.Array, tf: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.int64()), words, pa.array(tf), *more], names=_ROW.names)
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, listed: int = LISTED_WORDS, steps: int = STEPS, slices: int = SLICES) -> DataFrame:

@@ -42,8 +42,14 @@ PAIRS = 1 << 19
 RATE = 0.2
 LEAST_GAIN = 2.0
 DISCOUNT = 0.75
-CHUNK = 1 << 13
+CHUNK = 1 << 14
+#: Tokens whose classes are scored at once, so that their rows stay in a core's cache.
+SCORED = 1 << 12
 ROWS_A_BLOCK = 256
+#: Pairs are counted in so many buckets of words before. Of 65,536 listed words a bucket has about 4.2 million pairs at most.
+PAIR_BUCKETS = 1024
+#: Pairs that a task holds before it passes on their counts.
+PAIRS_HELD = 1 << 21
 
 
 def code_of(word: bytes) -> int:
@@ -52,6 +58,31 @@ def code_of(word: bytes) -> int:
     return (zlib.crc32(word[:3]) & mask) << CODE_BITS | zlib.crc32(word[-3:]) & mask
 
 
+#: What a byte does to a CRC-32.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def codes_of(words: pa.Array) -> np.ndarray:
+    """:func:`code_of` of every word (binary, no nulls)."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = pa.concat_arrays([words])
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size = np.minimum(np.diff(at), 3)
+
+    def crc(first: np.ndarray) -> np.ndarray:
+        out = np.full(len(first), 0xFFFFFFFF, np.uint32)
+        for k in range(3):
+            on = np.flatnonzero(size > k)
+            out[on] = _CRC[(out[on] ^ data[first[on] + k]) & np.uint32(0xFF)] ^ out[on] >> np.uint32(8)
+        return (~out & np.uint32((1 << CODE_BITS) - 1)).astype(np.int64)
+
+    return crc(at[:-1]) << CODE_BITS | crc(at[1:] - size)
+
+
 # --- sums of blocks -----------------------------------------------------------------------------------
 
 
@@ -133,11 +164,11 @@ def neighbour_counts(encoded: DataFrame, n: int, end: int) -> np.ndarray:
         return np.where(places < own, places, own + places % 8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * DIMS, np.int32)
+        total, one = np.zeros(n * DIMS, np.int32), np.ones(CHUNK, np.int32)  # adding an array is faster than a number
         for words, before, _, _ in chunks_of(batches, end):
             a, b = np.flatnonzero(words < n), np.flatnonzero(before < n)
-            np.add.at(total, words[a].astype(np.int64) * DIMS + kinds(before[a]), 1)
-            np.add.at(total, before[b].astype(np.int64) * DIMS + half + kinds(words[b]), 1)
+            np.add.at(total, words[a].astype(np.int64) * DIMS + kinds(before[a]), one[: len(a)])
+            np.add.at(total, before[b].astype(np.int64) * DIMS + half + kinds(words[b]), one[: len(b)])
         yield from _parts([total[at * DIMS : (at + per) * DIMS] for at in range(0, n, per)])
 
     sums = sum_blocks(encoded.mapInArrow(count, _PART), "<i4")
@@ -231,8 +262,9 @@ def make_classes(words: list[bytes], counts: np.ndarray, end: int, own: np.ndarr
 
 
 def _hash(x: np.ndarray, rows: int) -> np.ndarray:
+    """``rows`` is a power of two."""
     h = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(32)) % np.uint64(rows)).astype(np.int64)
+    return (h >> np.uint64(32) & np.uint64(rows - 1)).astype(np.int64)
 
 
 class ClassModel:
@@ -266,28 +298,42 @@ class ClassModel:
         pairs += self.weights[self.first[5] : self.first[6]][:, None] + self.weights[self.first[6] : self.first[7]][None, :] + self.weights[0]
         return out
 
-    def log_probabilities(self, features: list[np.ndarray], summed: np.ndarray) -> np.ndarray:
-        raw = np.take(summed, features[0], axis=0)
-        more = np.empty_like(raw)
-        for f in features[1:-2]:
-            np.take(summed, f, axis=0, out=more, mode="clip")
-            raw += more
-        # weights are log ratios of shares, so powers are far from the limits of floats
-        raw -= np.log(np.exp(raw, out=more).sum(axis=1, keepdims=True))
-        return raw
+    def scored(self, features: list[np.ndarray], summed: np.ndarray, said: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each run of SCORED tokens its place, what the classes' probabilities are in proportion to, the sum of
+        these, and log P(``said``). The arrays are used again for the next run."""
+        rows, more = np.empty((2, min(SCORED, len(said)), self.count), summed.dtype)
+        ones = np.ones(self.count, summed.dtype)
+        for at in range(0, len(said), SCORED):
+            part = slice(at, min(at + SCORED, len(said)))
+            size = part.stop - at
+            raw, other = rows[:size], more[:size]
+            np.take(summed, features[0][part], axis=0, out=raw, mode="clip")
+            for f in features[1:-2]:
+                np.take(summed, f[part], axis=0, out=other, mode="clip")
+                raw += other
+            own = raw[np.arange(size), said[part]]
+            # weights are log ratios of shares, so powers are far from the limits of floats
+            np.exp(raw, out=raw)
+            total = raw @ ones
+            yield part, raw, total, own - np.log(total)
 
     def blocks(self) -> list[int]:
         return [min(ROWS_A_BLOCK, self.rows - at) * self.count for at in range(0, self.rows, ROWS_A_BLOCK)]
 
 
 def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """total[at] += rows, where places in ``at`` repeat."""
-    # a feature's rows are few, so 16 bits order them, which takes an eighth of the time
-    low = int(at.min(initial=0))
-    order = np.argsort((at - low).astype(np.uint16), kind="stable")
-    sorted_at = at[order]
-    starts = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
-    total[sorted_at[starts]] += np.add.reduceat(np.take(rows, order, axis=0), starts, axis=0)
+    """total[at] += rows, where places in ``at`` repeat. A column at a time, which is fast where columns are contiguous."""
+    if not len(at):
+        return
+    if (at[1:] >= at[:-1]).all():
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        total[at[starts]] += np.add.reduceat(rows.T, starts, axis=1).T
+        return
+    low = int(at.min())
+    at = at - low
+    for c in range(rows.shape[1]):
+        sums = np.bincount(at, rows[:, c])
+        total[low : low + len(sums), c] += sums
 
 
 def class_counts(encoded: DataFrame, classes: Classes, model: ClassModel) -> np.ndarray:
@@ -354,9 +400,11 @@ def _gradient(shared, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]],
         c, weights = shared.value
         model = ClassModel(c)
         model.weights = weights
-        total, n, fit, summed = np.zeros(weights.shape, np.float32), 0, 0.0, model.summed()
+        total, n, fit, summed = np.zeros(weights.shape[::-1], np.float32).T, 0, 0.0, model.summed()
         for words, *before in chunks_of(batches, c.end):
-            g, f = gradient(model, c, words, before, summed)
+            # ordered by the class of the third word before, the feature of the fewest rows
+            order = np.argsort(c.of[before[2]].astype(np.uint16), kind="stable")
+            g, f = gradient(model, c, words[order], [b[order] for b in before], summed)
             for rows, error in g:
                 _add_rows(total, rows, error)
             n, fit = n + len(words), fit + f
@@ -370,12 +418,13 @@ def gradient(model: ClassModel, classes: Classes, words: np.ndarray, before: lis
     :meth:`ClassModel.marginals`, and the log likelihood of the words' classes."""
     said = classes.of[words].astype(np.int64)
     features = model.features(classes.of, *before)
-    log_p = model.log_probabilities(features, summed)
-    each = np.arange(len(words))
-    fit = float(log_p[each, said].sum(dtype=np.float64))
-    error = -np.exp(log_p)
-    error[each, said] += 1
-    return [(f, error) for f in features[:-2]], fit
+    error, fit = np.empty((model.count, len(words))), 0.0
+    for part, odds, total, log_p in model.scored(features, summed, said):
+        odds *= (-1 / total)[:, None]
+        error[:, part] = odds.T
+        fit += float(log_p.sum(dtype=np.float64))
+    error[said, np.arange(len(words))] += 1
+    return [(f, error.T) for f in features[:-2]], fit
 
 
 # --- words of a class ---------------------------------------------------------------------------------
@@ -393,10 +442,10 @@ def word_tables(encoded: DataFrame, classes: Classes, steps: int = 25, ridge: fl
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         total = np.zeros((groups, c.n), np.int32)
-        flat = total.reshape(-1)
+        flat, one = total.reshape(-1), np.ones(CHUNK, np.int32)
         for words, before, _, _ in chunks_of(batches, c.end):
-            some = words < c.n
-            np.add.at(flat, c.cluster[before[some]].astype(np.int64) * c.n + words[some], 1)
+            some = np.flatnonzero(words < c.n)
+            np.add.at(flat, c.cluster[before[some]].astype(np.int64) * c.n + words[some], one[: len(some)])
         yield from _parts([np.ascontiguousarray(total[:, c.order[a : a + w]]).reshape(-1) for a, w in zip(c.starts, width, strict=False)])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,42 +506,34 @@ def word_pairs(encoded: DataFrame, classes: Classes, tables: np.ndarray, most: i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, _ = shared.value
-        keys, sums, held, size = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        held, size = [], 0
         for words, before, _, _ in chunks_of(batches, c.end):
             some = (words < c.n) & (before < c.n) & (words != c.end)
             held.append(before[some].astype(np.int64) << 32 | words[some])
             size += len(held[-1])
-            if size > 1_000_000:
-                keys, sums, held, size = *_merged(keys, sums, held), [], 0
-                if len(keys) > 1_000_000:
-                    yield out(c, keys, sums)
-                    keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-        keys, sums = _merged(keys, sums, held)
-        yield out(c, keys, sums)
-
-    def out(c: Classes, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        head = keys >> 32 << 32 | c.of[keys & 0xFFFFFFFF].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(head), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["head", "word", "n"])
-
-    # dealt by head, so that both sums need one shuffle
-    counted = encoded.mapInArrow(count, "head long, word int, n long").repartition("head").groupBy("head", "word").agg(F.sum("n").alias("n"))
-    by_head = counted.groupBy("head").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("word", "n"))).alias("found"))
+            if size > PAIRS_HELD:
+                yield _bucketed(held)
+                held, size = [], 0
+        if size:
+            yield _bucketed(held)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, tables = shared.value
-        for batch in batches:
-            heads, totals = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = batch.column(2)
-            sizes = np.diff(found.offsets.to_numpy())
-            flat = found.flatten()
-            owner = np.repeat(np.arange(len(heads)), sizes)
-            words, n = flat.field("word").to_numpy(), flat.field("n").to_numpy()
-            base = 10.0 ** tables[c.cluster[heads[owner] >> 32], words].astype(np.float64)
-            gain = n * np.log(np.maximum(n - DISCOUNT, 1e-9) / (totals[owner] * base))
+        for keys, n in _pair_counts(batches):
+            words = keys & 0xFFFFFFFF
+            heads, owner = np.unique(keys >> 32 << 32 | c.of[words].astype(np.int64), return_inverse=True)
+            totals = np.bincount(owner, n).astype(np.int64)[owner]
+            base = 10.0 ** tables[c.cluster[keys >> 32], words].astype(np.float64)
+            gain = n * np.log(np.maximum(n - DISCOUNT, 1e-9) / (totals * base))
             some = gain >= LEAST_GAIN
-            yield pa.RecordBatch.from_arrays([pa.array(heads[owner][some]), pa.array(totals[owner][some]), pa.array(words[some]), pa.array(n[some]), pa.array(base[some]), pa.array(gain[some])], names=["head", "total", "word", "n", "base", "gain"])
-
-    chosen = by_head.mapInArrow(choose, "head long, total long, word int, n long, base double, gain double")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(heads[owner[some]]), pa.array(totals[some]), pa.array(words[some].astype(np.int32)), pa.array(n[some]), pa.array(base[some]), pa.array(gain[some])],
+                names=["head", "total", "word", "n", "base", "gain"],
+            )
+
+    # dealt by the word before, so that pairs and what begins them are counted in one go
+    blocks = encoded.mapInArrow(count, "bucket int, pairs binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    chosen = blocks.mapInArrow(choose, "head long, total long, word int, n long, base double, gain double")
     chosen = checkpoint(chosen)
     cells = chosen.groupBy(F.floor(F.log2("gain") * 8).cast("int").alias("cell")).agg(F.count("*").alias("n")).orderBy(F.desc("cell")).collect()
     least, held = None, 0
@@ -506,12 +547,49 @@ def word_pairs(encoded: DataFrame, classes: Classes, tables: np.ndarray, most: i
     return solve_pairs(*(c.to_numpy() for c in rows.columns))
 
 
-def _merged(keys: np.ndarray, sums: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not held:
-        return keys, sums
-    new, n = np.unique(np.concatenate(held), return_counts=True)
-    both, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-    return both, np.bincount(at, np.concatenate((sums, n)), len(both)).astype(np.int64)
+def _bucketed(held: list[np.ndarray]) -> pa.RecordBatch:
+    """A row a bucket: its pairs, ascending, and how often each occurs."""
+    keys = np.concatenate(held)
+    keys.sort()
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    n = np.diff(np.append(starts, len(keys))).astype(np.int32)
+    keys = keys[starts]
+    bucket = _hash(keys >> 32, PAIR_BUCKETS).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    keys, n, bucket = keys[order], n[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends = np.append(cuts[1:], len(keys))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cuts].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (keys, n))], names=["bucket", "pairs", "n"]
+    )
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs and their counts, a bucket at a time, from rows ordered by bucket; pairs of several rows are added up
+    as soon as there are PAIRS_HELD."""
+    at, keys, n, size = None, [], [], 0
+    for batch in batches:
+        for bucket, k, m in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if bucket != at:
+                if at is not None:
+                    yield _merged(keys, n)
+                at, keys, n, size = bucket, [], [], 0
+            keys.append(np.frombuffer(k.as_buffer(), np.int64))
+            n.append(np.frombuffer(m.as_buffer(), np.int32))
+            size += len(keys[-1])
+            if size > PAIRS_HELD:
+                keys, n = ([x] for x in _merged(keys, n))
+                size = 0
+    if at is not None:
+        yield _merged(keys, n)
+
+
+def _merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    both, of = np.concatenate(keys), np.concatenate(n)
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    starts = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[starts], np.add.reduceat(of[order].astype(np.int64), starts)
 
 
 def solve_pairs(head: np.ndarray, total: np.ndarray, word: np.ndarray, n: np.ndarray, base: np.ndarray) -> Pairs:
@@ -546,15 +624,17 @@ class Model:
         out, summed = np.zeros(len(words)), model.summed()
         said = c.of[words].astype(np.int64)
         for at in range(0, len(words), CHUNK):
-            part = slice(at, at + CHUNK)
-            log_p = model.log_probabilities(model.features(c.of, *(b[part] for b in before)), summed)
-            out[part] = log_p[np.arange(len(log_p)), said[part]] / np.log(10)
+            chunk = slice(at, at + CHUNK)
+            found = out[chunk]
+            for part, _, _, log_p in model.scored(model.features(c.of, *(b[chunk] for b in before)), summed, said[chunk]):
+                found[part] = log_p / np.log(10)
         some = np.flatnonzero(words < c.n)
         w, w1 = words[some], before[0][some].astype(np.int64)
         value = self.tables[c.cluster[w1], w].astype(np.float64)
         p = self.pairs
         if len(p.keys):
             at = np.flatnonzero(w1 < c.n)
+            at = at[np.argsort(w1[at] << 32 | w[at])]  # what is looked up in order is found in the cache
             head = w1[at] << 32
             value[at] += _looked_up(p.heads, p.rests, head | said[some[at]], 0.0)
             value[at] = _looked_up(p.keys, p.values, head | w[at].astype(np.int64), value[at])

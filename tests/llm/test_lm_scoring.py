@@ -2,10 +2,12 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import lm_scoring as S
@@ -215,3 +217,71 @@ def test_columns_with_clashing_names(make_docs):
     clash = df.selectExpr("*", "1 as copies", "'x' as word", "2 as tf", "3 as c", "4 as score", "5 as slice")
     key = lambda r: r["doc_id"]
     assert sorted(S.lm_scores(clash).collect(), key=key) == sorted(S.lm_scores(df).collect(), key=key)
+
+
+def test_words_of_many_texts_are_those_of_each(monkeypatch):
+    """White space of all kinds and at edges, bytes that are none, and the codes of words."""
+    rng = np.random.default_rng(4)
+    kinds = ["a", "B", "Z", "é", "İ", "\0", *" \t\n\v\f\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003"]
+    texts = [None, "", " ", "\n a", "a \t", *("".join(rng.choice(kinds, rng.integers(0, 30))) for _ in range(800))]
+    monkeypatch.setattr(S, "PIECE_BYTES", 500)
+    got = []
+    for part, piece in S.pieces_of(pa.RecordBatch.from_arrays([pa.array(["left out", *texts])], names=["text"]).slice(1), 0):
+        words, sizes = S.words_of(piece)
+        assert part.num_rows == len(piece) == len(sizes) and len(words) == sizes.sum()
+        got += [[w.as_py() for w in words[a : a + n]] + [S.END] for a, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True)]
+    assert got == [S.tokens_of(t) for t in texts]
+    words = [b"", *(w for t in got for w in t)]
+    assert M.codes_of(pa.array(words, pa.binary())[1:]).tolist() == [M.code_of(w) for w in words[1:]]
+
+
+def test_texts_that_are_not_utf8(spark):
+    rows = [r"(2, cast(unhex('61FF2042C3') as string))", "(3, 'a b')", "(4, cast(unhex('FF') as string))"]
+    got = {r["doc_id"]: r["n_tokens"] for r in S.lm_scores(spark.sql(f"select * from values {', '.join(rows)} as t(doc_id, text)"), listed=10, steps=1, slices=1).collect()}
+    assert got == {2: 3, 3: 3, 4: 2}
+
+
+def test_places_take_less_than_a_word_at_a_time():
+    rng = np.random.default_rng(5)
+    known = [b"w%d" % i for i in range(20_000)]
+    lex = S.Lexicon({w: i for i, w in enumerate([*known, S.END])}, np.ones(20_001), 1, 1)
+    texts = pa.array([" ".join(f"W{i}" for i in rng.integers(0, 25_000, 400)) for _ in range(500)]).cast(pa.binary())
+
+    def plain():
+        return [lex.rank.get(w, len(lex.rank) + M.code_of(w) if w not in lex.rank else 0) for t in texts.to_pylist() for w in S.tokens_of(t.decode())]
+
+    def seconds(f):
+        start = time.process_time()
+        f()
+        return time.process_time() - start
+
+    places, sizes, others = lex.encoded(texts)
+    assert places.tolist() == plain() and sizes.tolist() == [401] * 500 and len(others) == (places >= len(lex.rank)).sum()
+    assert min(seconds(lambda: lex.encoded(texts)) for _ in range(5)) < 0.7 * min(seconds(plain) for _ in range(3))
+
+
+def test_rows_are_added_in_any_order():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(500, 7))
+    for at in (rng.integers(3, 40, 500), np.sort(rng.integers(3, 40, 500)), np.full(500, 9), np.zeros(0, np.int64)):
+        for total in (np.ones((50, 7)), np.ones((7, 50)).T):
+            want = np.ones((50, 7))
+            np.add.at(want, at, rows[: len(at)])
+            M._add_rows(total, at, rows[: len(at)])
+            assert total == pytest.approx(want)
+
+
+def test_pairs_are_passed_on_as_a_row_a_bucket(monkeypatch):
+    """Whatever their number, and counted the same when a task holds few at once."""
+    rng = np.random.default_rng(7)
+    held = [rng.zipf(1.3, 5000).clip(max=65_000) << 32 | rng.zipf(1.3, 5000).clip(max=65_000) for _ in range(40)]
+    rows = [M._bucketed(held[a : a + 10]) for a in range(0, 40, 10)]
+    assert all(r.num_rows <= M.PAIR_BUCKETS for r in rows)
+    table = pa.Table.from_batches(rows).sort_by("bucket").combine_chunks()
+    want = Counter(np.concatenate(held).tolist())
+    for most in (M.PAIRS_HELD, 50):
+        monkeypatch.setattr(M, "PAIRS_HELD", most)
+        found = list(M._pair_counts(iter(table.to_batches(max_chunksize=300))))
+        assert sum(len(k) for k, _ in found) == len(want)
+        assert {int(a): int(b) for k, n in found for a, b in zip(k, n, strict=True)} == want
+        assert len(found) == len(set(table.column("bucket").to_pylist())) and all((np.diff(k) > 0).all() for k, _ in found)
